@@ -165,4 +165,4 @@ def bib_safe(c: Column) -> Column:
 
 def md_cell(c: Column, limit: int = 90) -> Column:
     s = F.translate(F.coalesce(c.cast("string"), F.lit("")), "\r\n", "  ")
-    return F.substring(F.regexp_replace(s, r"\|", r"\\\\|"), 1, limit)
+    return F.substring(F.replace(s, F.lit("|"), F.lit("\\|")), 1, limit)

@@ -354,7 +354,7 @@ def match_arxiv(refs: DataFrame, arxiv: DataFrame, model: SimilarityModel = SEQU
 def _with_prefix_ratio(model: SimilarityModel, title: Column, registered: Column, need: Column) -> Column:
     t, r = F.when(need, title), F.when(need, registered)
     head = F.when(F.length(r) >= F.length(t), F.substr(r, F.lit(1), F.length(t)))
-    return F.greatest(model.plain(t, r), F.coalesce(model.plain(t, head), F.lit(0.0)))
+    return F.when(need, F.greatest(model.plain(t, r), F.coalesce(model.plain(t, head), F.lit(0.0))))
 
 
 def confirm_secondary(refs: DataFrame, s2_papers: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
