@@ -123,9 +123,8 @@ def script_family(c: Column) -> Column:
     classes["latin"] = rf"[\p{{L}}&&[^{others}]]"
 
     def scored(name, cls):
-        kept = F.regexp_replace(s, cls.replace("[", "[^", 1) if name != "latin" else rf"[^\p{{L}}]|[{others}]", "")
-        first = F.regexp_instr(s, F.lit(cls))
-        return F.struct(F.length(kept).alias("n"), (-first).alias("p"), F.lit(name).alias("f"))
+        return F.struct(F.regexp_count(s, F.lit(cls)).alias("n"), (-F.regexp_instr(s, F.lit(cls))).alias("p"),
+                        F.lit(name).alias("f"))
 
     ranked = F.array_max(F.array(*[scored(n, k) for n, k in classes.items()]))
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def search_words(title: Column) -> Column:
 
 def two_longest(words: Column) -> Column:
     """The two longest words; equal lengths keep title order."""
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(
-        (-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.named_struct(
+        F.lit("n"), -F.length(w), F.lit("i"), i, F.lit("w"), w)))
     return F.transform(F.slice(ranked, 1, 2), lambda s: s["w"])
 
 
@@ -35,116 +37,170 @@ def word_pairs(words: Column) -> Column:
         F.slice(words, i + 2, F.size(words)), lambda b: _pair(a, b))))
 
 
-def best_title_match(claims: DataFrame, records: DataFrame, min_length: int,
-                     score: SimilarityModel = SEQUENCE, floor: float = fv.SIM_MISMATCH,
-                     year_gate: bool = True, measure: str = "title") -> DataFrame:
-    """Best record per claim.
+@dataclass(frozen=True)
+class TitleSource:
+    """How titles are searched in one registry."""
+
+    name: str
+    min_length: int
+    floor: float = fv.SIM_MISMATCH
+    year_gate: bool = True
+    prefix: bool = False  # plain and prefix ratio instead of the two-channel title measure
+
+
+PUBMED = TitleSource("pubmed", 20)
+OPENALEX = TitleSource("openalex", 18)
+S2 = TitleSource("s2", 18, floor=fv.SIM_CONSISTENT, year_gate=False, prefix=True)
+
+_ROW = ["r_ord", "r_id", "r_title", "r_year", "r_doi"]
+
 
-    ``claims``: q_id, q_title, q_year.  ``records``: r_id, r_title, r_year, optional r_doi.
-    Returns q_id, r_id, r_title, r_year, r_doi, sim for claims with a score of at least ``floor``.
+def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSource],
+                 model: SimilarityModel = SEQUENCE) -> DataFrame:
+    """Best record per claim and source.
+
+    ``claims``: q_id, q_title, q_year.  ``records``: source, r_ord, r_id, r_title, r_year, r_doi (ties
+    go to the smallest r_ord, r_id).  Returns q_id, source, r_id, r_title, r_year, r_doi, sim for
+    scores of at least the source's floor.
 
     * Copies collapse first on both sides, so a title repeated a billion times is matched once.
     * An equal title key with a compatible year scores 1 and needs no search.
     * The others meet the records that contain their two longest words, keyed by the *pair* of
       words; one frequent word alone never forms a group, and there is no cap on candidates.
-    * Rows that cannot reach ``floor`` are dropped by exact native bounds before the ratio UDF.
+    * Rows that cannot reach the floor are dropped by exact native bounds before the ratio UDF.
     * The best row is an aggregate with a map-side part, not a sort of a group.
     """
-    if "r_doi" not in records.columns:
-        records = records.withColumn("r_doi", F.lit(None).cast("string"))
-    questions = (
-        claims.filter(F.length(tx.strip(F.col("q_title"))) >= min_length)
-        .select("q_id", "q_title", F.coalesce("q_year", F.lit(-1)).alias("q_year")))
-    distinct_q = questions.select("q_title", "q_year").distinct().withColumn("q_words", search_words(F.col("q_title")))
-    distinct_q = distinct_q.filter(F.size("q_words") >= 2).withColumn("q_key", tx.title_key(F.col("q_title")))
+    def per_source(field, default):
+        out = F.lit(default)
+        for s in sources:
+            out = F.when(F.col("source") == s.name, F.lit(getattr(s, field))).otherwise(out)
+        return out
+
+    text = claims.select(
+        "q_id", F.col("q_title"), F.coalesce("q_year", F.lit(-1)).alias("q_year"),
+        F.length(tx.strip(F.col("q_title"))).alias("q_len")).filter(
+            F.col("q_len") >= min(s.min_length for s in sources))
+    questions = text.select("q_id", "q_title", "q_year")
+    distinct_q = (
+        text.select("q_title", "q_year", "q_len").distinct()
+        .withColumn("q_words", search_words(F.col("q_title"))).filter(F.size("q_words") >= 2)
+        .select("q_title", "q_year", "q_len", two_longest(F.col("q_words")).alias("top"),
+                tx.title_key(F.col("q_title")).alias("q_key"),
+                F.explode(F.array(*[F.lit(s.name) for s in sources])).alias("source")))
+    distinct_q = distinct_q.filter(F.col("q_len") >= per_source("min_length", 0)).drop("q_len")
     distinct_r = (
         records.filter(F.coalesce(F.trim("r_title"), F.lit("")) != "")
-        .groupBy("r_title", "r_year").agg(
-            F.min("r_id").alias("r_id"), F.min_by("r_doi", "r_id").alias("r_doi"))
-        .withColumn("r_key", tx.title_key(F.col("r_title"))))
-    year_ok = tx.years_compatible(F.nullif(F.col("q_year"), F.lit(-1)), F.col("r_year")) if year_gate else F.lit(True)
-    row = F.struct("r_id", "r_title", "r_year", "r_doi", "sim")
-
-    if measure == "title" and score.name == "sequence":
-        by_key = distinct_r.groupBy("r_key", "r_year").agg(
-            F.min(F.struct("r_id", "r_title", "r_doi")).alias("r")).select(
-                "r_key", "r_year", "r.*")
-        equal = distinct_q.join(by_key, F.col("q_key") == F.col("r_key")).filter(
-            (F.col("q_key") != "") & year_ok).withColumn("sim", F.lit(1.0))
-        exact = equal.groupBy("q_title", "q_year").agg(F.min_by(row, "r_id").alias("m"))
-        open_q = distinct_q.join(exact.select("q_title", "q_year"), ["q_title", "q_year"], "left_anti")
-    else:
-        exact, open_q = None, distinct_q
-    longest = two_longest(F.col("q_words"))
-    keyed_q = open_q.select("q_title", "q_year", "q_key", _pair(
-        F.try_element_at(longest, F.lit(1)), F.try_element_at(longest, F.lit(2))).alias("pair"))
-    keyed_r = distinct_r.select("r_id", "r_title", "r_year", "r_doi", "r_key",
-                                F.explode(word_pairs(search_words(F.col("r_title")))).alias("pair"))
-    pairs = keyed_q.join(keyed_r, "pair").filter(year_ok)
-    if measure == "prefix":
-        head = F.when(F.length("r_title") >= F.length("q_title"),
-                      F.substr(F.col("r_title"), F.lit(1), F.length("q_title")))
-        sim = F.greatest(score.plain(F.col("q_title"), F.col("r_title")),
-                         F.coalesce(score.plain(F.col("q_title"), head), F.lit(0.0)))
-    else:
-        possible = (tx.token_sim(F.col("q_title"), F.col("r_title")) >= floor) | (
-            length_bound(F.col("q_key"), F.col("r_key")) >= floor)
-        pairs = pairs.filter(possible)
-        sim = score.title(F.col("q_title"), F.col("r_title"))
-    scored = pairs.withColumn("sim", sim).filter(F.col("sim") >= floor)
-    near = _max_then_min_id(scored, row)
+        .groupBy("source", "r_title", "r_year").agg(F.min(F.struct("r_ord", "r_id", "r_doi")).alias("r"))
+        .select("source", "r_title", "r_year", "r.*", tx.title_key(F.col("r_title")).alias("r_key")))
+    gated = per_source("year_gate", True)
+    year_ok = ~gated | tx.years_compatible(F.nullif(F.col("q_year"), F.lit(-1)), F.col("r_year"))
+    keys = ["source", "q_title", "q_year"]
+    row = F.struct(*_ROW, "sim")
+    plain_sources = [s for s in sources if not s.prefix]
+    open_q, exact = distinct_q, None
+    if plain_sources and model.name == "sequence":
+        names = [s.name for s in plain_sources]
+        by_key = distinct_r.filter(F.col("source").isin(*names)).groupBy("source", "r_key", "r_year").agg(
+            F.min(F.struct("r_ord", "r_id", "r_title", "r_doi")).alias("r")).select(
+                "source", F.col("r_key").alias("q_key"), "r_year", "r.*")
+        equal = distinct_q.filter(F.col("q_key") != "").join(by_key, ["source", "q_key"]).filter(year_ok)
+        exact = equal.withColumn("sim", F.lit(1.0)).groupBy(*keys).agg(
+            F.min_by(row, F.struct("r_ord", "r_id")).alias("m"))
+        open_q = distinct_q.join(exact.select(*keys), keys, "left_anti")
+    keyed_q = open_q.select(*keys, "q_key", _pair(
+        F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))).alias("pair"))
+    keyed_r = distinct_r.select("source", *_ROW, "r_key", F.explode(
+        word_pairs(search_words(F.col("r_title")))).alias("pair"))
+    pairs = keyed_q.join(keyed_r, ["source", "pair"]).filter(year_ok)
+    floor = per_source("floor", 0.0)
+    by_title, by_prefix = F.lit(None).cast("double"), F.lit(None).cast("double")
+    use_prefix = per_source("prefix", False)
+    if plain_sources:
+        possible = (length_bound(F.col("q_key"), F.col("r_key")) >= floor) | (
+            tx.token_sim(F.col("q_title"), F.col("r_title")) >= floor)
+        pairs = pairs.filter(use_prefix | possible)
+        by_title = model.title(F.when(~use_prefix, F.col("q_title")), F.when(~use_prefix, F.col("r_title")))
+    if len(plain_sources) < len(sources):
+        hyphens = r"[\-‐-―]+"
+        t = F.when(use_prefix, F.regexp_replace("q_title", hyphens, " "))
+        r = F.when(use_prefix, F.regexp_replace("r_title", hyphens, " "))
+        head = F.when(F.length(r) >= F.length(t), F.substr(r, F.lit(1), F.length(t)))
+        by_prefix = F.greatest(model.plain(t, r), model.plain(t, head))
+    scored = pairs.withColumn("sim", F.coalesce(by_title, by_prefix)).filter(F.col("sim") >= floor)
+    near = scored.groupBy(*keys).agg(F.min_by(row, F.struct(-F.col("sim"), "r_ord", "r_id")).alias("m"))
     found = near if exact is None else exact.unionByName(near)
-    return questions.join(found, ["q_title", "q_year"]).select("q_id", "m.*")
+    return questions.join(found, ["q_title", "q_year"]).select(
+        "q_id", "source", "m.r_id", "m.r_title", "m.r_year", "m.r_doi", "m.sim")
+
+
+# --- the registries as search records ------------------------------------------------------------
+
+def _claims(refs: DataFrame) -> DataFrame:
+    return refs.select(F.col("ref_id").alias("q_id"), F.col("clean_title").alias("q_title"),
+                       F.col("year").try_cast("int").alias("q_year"))
+
 
+def pubmed_records(pubmed: DataFrame) -> DataFrame:
+    return pubmed.filter(F.col("lookup_status") == "hit").select(
+        F.lit(PUBMED.name).alias("source"), F.lit(None).cast("bigint").alias("r_ord"), F.col("pmid").alias("r_id"),
+        tx.squeeze(F.col("title")).alias("r_title"), F.col("year").alias("r_year"), F.lit(None).cast("string").alias("r_doi"))
 
-def _max_then_min_id(scored: DataFrame, row: Column) -> DataFrame:
-    """Largest sim, then smallest r_id, as one order-free aggregate."""
-    return scored.groupBy("q_title", "q_year").agg(
-        F.min_by(row, F.struct(-F.col("sim"), F.col("r_id"))).alias("m"))
+
+def openalex_records(openalex: DataFrame) -> DataFrame:
+    doi = F.trim(F.regexp_replace(F.coalesce("doi", F.lit("")), r"^https://doi\.org/", ""))
+    return openalex.select(
+        F.lit(OPENALEX.name).alias("source"), F.col("rank_id").alias("r_ord"), F.col("rank_id").cast("string").alias("r_id"),
+        tx.squeeze(F.col("display_name")).alias("r_title"), F.col("publication_year").alias("r_year"), doi.alias("r_doi"))
+
+
+def s2_records(s2_papers: DataFrame) -> DataFrame:
+    return s2_papers.select(
+        F.lit(S2.name).alias("source"), F.col("paper_id").alias("r_ord"), F.col("paper_id").cast("string").alias("r_id"),
+        tx.squeeze(F.col("title")).alias("r_title"), F.col("year").alias("r_year"), F.lit(None).cast("string").alias("r_doi"))
+
+
+def _reading(source: str) -> dict[str, Column]:
+    """What a hit of each source means for the reference."""
+    sim = F.col("sim")
+    sure = sim >= fv.SIM_CONSISTENT
+    return {
+        PUBMED.name: {
+            "reverse_pmid": F.col("r_id"), "reverse_sim": sim,
+            "reverse_adjust": F.when(sure, "").otherwise("partial")},
+        OPENALEX.name: {
+            "openalex_sim": sim, "openalex_confirmed": sure, "openalex_near": ~sure & (sim >= fv.SIM_NEAR),
+            "openalex_doi": F.when(sure, F.lower(F.col("r_doi")))},
+        S2.name: {"s2_title_matched": F.lit(True), "s2_title_sim": sim},
+    }[source]
+
+
+def _read(hits: DataFrame, source: str) -> DataFrame:
+    return hits.select(F.col("q_id").alias("ref_id"), *[c.alias(n) for n, c in _reading(source).items()])
 
 
 def reverse_title_lookup(refs: DataFrame, pubmed: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
     """PubMed record of a reference without identifiers, by title.  One row per hit."""
-    claims = refs.select(F.col("ref_id").alias("q_id"), F.col("clean_title").alias("q_title"),
-                         F.col("year").try_cast("int").alias("q_year"))
-    records = pubmed.filter(F.col("lookup_status") == "hit").select(
-        F.col("pmid").alias("r_id"), tx.squeeze(F.col("title")).alias("r_title"), F.col("year").alias("r_year"))
-    m = best_title_match(claims, records, 20, model)
-    return m.select(
-        F.col("q_id").alias("ref_id"), F.col("r_id").alias("reverse_pmid"), F.col("sim").alias("reverse_sim"),
-        F.when(F.col("sim") >= fv.SIM_CONSISTENT, "").otherwise("partial").alias("reverse_adjust"))
-
-
-def anchor_openalex(refs: DataFrame, openalex: DataFrame, model: SimilarityModel = SEQUENCE,
-                    year_gate: bool = True) -> DataFrame:
+    return _read(title_search(_claims(refs), pubmed_records(pubmed), [PUBMED], model), PUBMED.name)
+
+
+def anchor_openalex(refs: DataFrame, openalex: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
     """Open-index record by title; a confirmed one yields a DOI for the registry check."""
-    claims = refs.select(F.col("ref_id").alias("q_id"), F.col("clean_title").alias("q_title"),
-                         F.col("year").try_cast("int").alias("q_year"))
-    records = openalex.select(
-        F.col("rank_id").alias("r_id"), tx.squeeze(F.col("display_name")).alias("r_title"),
-        F.col("publication_year").alias("r_year"),
-        F.trim(F.regexp_replace(F.coalesce("doi", F.lit("")), r"^https://doi\.org/", "")).alias("r_doi"))
-    m = best_title_match(claims, records, 18, model, year_gate=year_gate)
-    confirmed = F.col("sim") >= fv.SIM_CONSISTENT
-    return m.select(
-        F.col("q_id").alias("ref_id"), F.col("sim").alias("openalex_sim"), confirmed.alias("openalex_confirmed"),
-        (~confirmed & (F.col("sim") >= fv.SIM_NEAR)).alias("openalex_near"),
-        F.when(confirmed, F.lower(F.col("r_doi"))).alias("openalex_doi"))
+    return _read(title_search(_claims(refs), openalex_records(openalex), [OPENALEX], model), OPENALEX.name)
 
 
 def confirm_by_title(refs: DataFrame, s2_papers: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
     """Second index by title: full or prefix ratio of at least 0.82; silent otherwise."""
-    hyphens = r"[\-‐-―]+"
-    claims = refs.select(F.col("ref_id").alias("q_id"), F.col("clean_title").alias("q_title"),
-                         F.lit(None).cast("int").alias("q_year"))
-    records = s2_papers.select(F.col("paper_id").alias("r_id"), tx.squeeze(F.col("title")).alias("r_title"),
-                               F.col("year").alias("r_year"))
-    m = best_title_match(
-        claims.withColumn("q_title", F.regexp_replace("q_title", hyphens, " ")),
-        records.withColumn("r_title", F.regexp_replace("r_title", hyphens, " ")),
-        18, model, floor=fv.SIM_CONSISTENT, year_gate=False, measure="prefix")
-    return m.select(F.col("q_id").alias("ref_id"), F.lit(True).alias("s2_title_matched"),
-                    F.col("sim").alias("s2_title_sim"))
+    return _read(title_search(_claims(refs), s2_records(s2_papers), [S2], model), S2.name)
+
+
+def search_all(refs: DataFrame, pubmed: DataFrame, openalex: DataFrame, s2_papers: DataFrame,
+               model: SimilarityModel = SEQUENCE) -> DataFrame:
+    """The three title searches as one search over the united registries; one row per reference."""
+    records = pubmed_records(pubmed).unionByName(openalex_records(openalex)).unionByName(s2_records(s2_papers))
+    hits = title_search(_claims(refs), records, [PUBMED, OPENALEX, S2], model)
+    cols = [F.max(F.when(F.col("source") == s.name, c)).alias(n)
+            for s in (PUBMED, OPENALEX, S2) for n, c in _reading(s.name).items()]
+    return hits.groupBy(F.col("q_id").alias("ref_id")).agg(*cols)
 
 
 def cross_registry_consistency(works: DataFrame, openalex: DataFrame, pubmed: DataFrame,

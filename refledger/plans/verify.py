@@ -62,20 +62,22 @@ def verify(refs: DataFrame, registries: Registries, medical: bool = False, offli
            model: SimilarityModel = SEQUENCE, require_version: bool = False) -> DataFrame:
     """Verdict, human flag, rule number and every check column per reference.
 
-    Two branches share no rows: references that resolve to a URL meet the identifier registries;
-    the others are searched by title and locator.  ``ref_id`` must be unique.
+    References without a resolvable URL are searched by title first; a confirmed anchor DOI then
+    takes the same registry path as a claimed one, so every registry is joined once.  ``ref_id`` must
+    be unique.
     """
     base = normalise.normalise_refs(refs, medical)
     if offline:
         return _offline(base)
     reg = _fill(registries, refs.sparkSession)
     landing = match.landing_titles(reg.pages) if reg.pages is not None else None
-    resolved = _resolved_branch(base.filter(F.col("resolved_url").isNotNull()), reg, landing, model, require_version)
-    loose = _loose_branch(base.filter(F.col("resolved_url").isNull()), reg, landing, model)
-    out = resolved.unionByName(loose, allowMissingColumns=True)
+    df = _search(base, reg, model)
+    df = _checks(df, reg, landing, model, require_version)
+    df = _decide(df, reg, landing, model)
     if reg.oa_status is not None:
-        out = match.join_open_access(out, reg.oa_status)
-    return out.withColumn("offline", F.lit(False))
+        df = match.join_open_access(df.withColumn("claimed_doi", F.col("doi")).withColumn(
+            "doi", F.col("doi_filled")), reg.oa_status).withColumn("doi", F.col("claimed_doi")).drop("claimed_doi")
+    return df.withColumn("offline", F.lit(False))
 
 
 def _offline(base: DataFrame) -> DataFrame:
@@ -90,46 +92,76 @@ def _offline(base: DataFrame) -> DataFrame:
     })
 
 
-def _resolved_branch(df: DataFrame, reg: Registries, landing, model, require_version) -> DataFrame:
-    df = match.match_doi(df, reg.works, model, "works" in reg.complete, landing, reg.openalex)
+def _search(base: DataFrame, reg: Registries, model: SimilarityModel) -> DataFrame:
+    """Title search for references that resolve to nothing."""
+    titled = F.coalesce(F.col("clean_title"), F.lit("")) != ""
+    malformed = tx.strip(F.coalesce(F.col("arxiv"), F.lit(""))) != ""
+    loose = F.col("resolved_url").isNull()
+    open_rows = base.filter(loose & titled & ~malformed)
+    found = fuzzy.search_all(open_rows, reg.pubmed, reg.openalex, reg.s2_papers, model)
+    df = base.join(found, "ref_id", "left")
+    anchor = F.when(F.col("reverse_adjust").isNull(), ids.doi_key(F.col("openalex_doi")))
+    return df.withColumns({"anchor_doi": anchor, "titled": titled, "arxiv_malformed": loose & malformed})
+
+
+def _checks(df: DataFrame, reg: Registries, landing, model, require_version) -> DataFrame:
+    """Every registry once, by the claimed identifier or the anchor."""
+    key = F.coalesce(F.col("doi_norm"), F.col("anchor_doi"))
+    df = match.match_doi(df, reg.works, model, "works" in reg.complete, landing, reg.openalex, key=key)
     df = match.confirm_secondary(df, reg.s2_papers, model)
-    df = match.join_retractions(df, reg.retractions)
+    df = match.join_retractions(df, reg.retractions, key=key)
     df = match.match_arxiv(df, reg.arxiv, model, "arxiv" in reg.complete, require_version, landing,
                            when=F.col("doi_norm").isNull())
     df = match.crosscheck_doi_pmid(df, reg.pubmed)
     df = match.match_pmid(df, reg.pubmed, model, "pubmed" in reg.complete, landing, reg.openalex)
     df = match.join_reachability(df, reg.probes, list(reg.probe_order))
-    # a foreign-language PubMed title may be corroborated by the locator of the same record
+    # the locator serves two cases: references without any match so far, and a foreign-language
+    # PubMed title that the locator of the same record can corroborate
+    untitled = F.col("resolved_url").isNull() & F.col("titled") & ~F.col("arxiv_malformed") & F.col("reverse_adjust").isNull()
     df = match.locator_lookup(df, match.locator_index(reg.pubmed), model,
-                              when=F.col("pmid_cross_language") & _b("reachable"))
+                              when=untitled | (F.col("pmid_cross_language") & _b("reachable")))
     corroborated = F.col("pmid_cross_language") & F.col("locator_matched") & (
         F.col("locator_pmid") == F.col("pmid_norm"))
-    df = df.withColumn("pmid_corroborated", F.coalesce(corroborated, F.lit(False)))
+    return df.withColumn("pmid_corroborated", F.coalesce(corroborated, F.lit(False)))
+
 
-    trusted = F.col("tier").isin(*fv.TRUSTED_TIERS)
+def _decide(df: DataFrame, reg: Registries, landing, model) -> DataFrame:
+    """One ordered decision over the check columns; the first rule that holds wins."""
+    loose = F.col("resolved_url").isNull()
+    anchored = F.col("anchor_doi").isNotNull()
+    concern = F.coalesce(F.col("retraction_nature") == "expression_of_concern", F.lit(False))
+    noticed = F.col("retracted") | concern
+    trusted = F.coalesce(F.col("tier").isin(*fv.TRUSTED_TIERS), F.lit(False))
     whole = F.size("missing") == 0
     doi_partial = F.coalesce(F.col("doi_adjust") == "partial", F.lit(False))
     ax_partial = F.coalesce(F.col("arxiv_adjust") == "partial", F.lit(False))
     pm_partial = F.coalesce(F.col("pmid_adjust") == "partial", F.lit(False)) & ~F.col("pmid_corroborated")
-    concern = F.coalesce(F.col("retraction_nature") == "expression_of_concern", F.lit(False))
-    noticed = F.col("retracted") | concern
     reachable = F.col("reachable")
     status = F.col("http_status")
     known = F.col("doi_matched") | F.col("arxiv_matched") | F.col("s2_matched")
-    pmid_absent = F.coalesce(F.col("pmid_state") == "not_found", F.lit(False))
-    pmid_invalid = F.coalesce(F.col("pmid_adjust") == "invalid", F.lit(False))
     resolver_404 = (status == 404) & ~(F.col("doi_matched") | F.col("arxiv_matched")) & F.col(
         "resolved_url").rlike(fv.ARXIV_RESOLVER)
-    rescued = ~reachable & known & (status == 403)
     sound = trusted & whole & ~doi_partial & ~ax_partial
-
     rule = (
-        F.when(~ids.is_http(F.col("resolved_url")), 11)
+        # no resolvable URL
+        F.when(loose & F.col("arxiv_malformed"), 1)
+        .when(loose & ~F.col("titled"), 2)
+        .when(loose & (F.col("reverse_adjust") == ""), 3)
+        .when(loose & (F.col("reverse_adjust") == "partial"), 4)
+        .when(loose & F.col("locator_matched"), 5)
+        .when(loose & anchored & (F.col("doi_adjust") == "invalid"), 6)
+        .when(loose & anchored & (~F.col("doi_matched") | doi_partial | noticed), 7)
+        .when(loose & anchored, 8)
+        .when(loose & _b("openalex_confirmed"), 9)
+        .when(loose, 10)
+        # resolvable
+        .when(~ids.is_http(F.col("resolved_url")), 11)
         .when((F.col("doi_adjust") == "invalid") | (F.col("arxiv_adjust") == "invalid"), 12)
         .when(F.col("stitched"), 13)
-        .when(rescued, 14)
+        .when(~reachable & known & (status == 403), 14)
         .when(~reachable & resolver_404, 15)
-        .when(pmid_absent | (reachable & pmid_invalid), 16)
+        .when(F.coalesce(F.col("pmid_state") == "not_found", F.lit(False)) | (
+            reachable & (F.col("pmid_adjust") == "invalid")), 16)
         .when(~reachable, 17)
         .when(sound & ~pm_partial & ~noticed, 18)
         .otherwise(19)
@@ -143,68 +175,29 @@ def _resolved_branch(df: DataFrame, reg: Registries, landing, model, require_ver
         df = df.withColumns({"landing_sim": F.lit(None).cast("double"), "landing_confirmed": F.lit(False),
                              "landing_near": F.lit(False)})
     r = F.col("rule")
-    rescued_ok = (r == 14) & sound & ~noticed
     verdict = (
-        F.when(r.isin(11, 12, 13, 15, 16), "invalid")
-        .when(rescued_ok | (r == 18), "verified")
+        F.when(r.isin(1, 2, 6, 11, 12, 13, 15, 16), "invalid")
+        .when(r.isin(3, 5, 8, 18) | ((r == 14) & sound & ~noticed), "verified")
+        .when(r == 10, "unverified")
         .when(r == 17, "unreachable")
-        .otherwise("partial")
-    )
+        .otherwise("partial"))
     human = (
-        F.when(r == 11, False)
-        .when(r.isin(12, 13, 15, 16, 17), True)
+        F.when(r.isin(1, 2, 3, 5, 8, 11, 18), False)
+        .when(r.isin(4, 6, 7, 9, 10, 12, 13, 15, 16, 17), True)
         .when(r == 14, F.col("retracted") | (sound & noticed))
-        .when(r == 18, False)
-        .otherwise(noticed | ax_partial | pm_partial | F.col("landing_confirmed"))
-    )
-    df = df.withColumns({"verdict": verdict, "needs_human": human})
+        .otherwise(noticed | ax_partial | pm_partial | F.col("landing_confirmed")))
+    given = tx.blank_to_null(F.coalesce(F.col("pmid"), F.lit("")))
+    df = df.withColumns({
+        "verdict": verdict, "needs_human": human,
+        "pmid_filled": F.when(r == 3, F.coalesce(given, F.col("reverse_pmid"))).when(
+            r == 5, F.coalesce(given, F.col("locator_pmid"))).otherwise(F.col("pmid")),
+        "doi_filled": F.when(r == 8, F.coalesce(tx.blank_to_null(F.coalesce(F.col("doi"), F.lit(""))), F.col(
+            "anchor_doi"))).otherwise(F.col("doi")),
+        "reachable": F.when(r > 13, reachable),
+    })
     if reg.archives is not None:
         df = match.latest_archive(df, reg.archives, reg.archive_order)
-    df = df.withColumn("pmid_filled", F.col("pmid")).withColumn("doi_filled", F.col("doi"))
-    return df.withColumn("reachable", F.when(r > 13, F.col("reachable")))
-
-
-def _loose_branch(df: DataFrame, reg: Registries, landing, model) -> DataFrame:
-    titled = F.coalesce(F.col("clean_title"), F.lit("")) != ""
-    malformed = tx.strip(F.coalesce(F.col("arxiv"), F.lit(""))) != ""
-    open_rows = df.filter(titled & ~malformed)
-    rev = fuzzy.reverse_title_lookup(open_rows, reg.pubmed, model)
-    oax = fuzzy.anchor_openalex(open_rows, reg.openalex, model)
-    s2t = fuzzy.confirm_by_title(open_rows, reg.s2_papers, model)
-    df = df.join(rev, "ref_id", "left").join(oax, "ref_id", "left").join(s2t, "ref_id", "left")
-    searched = titled & ~malformed
-    unsettled = searched & F.col("reverse_adjust").isNull()
-    df = match.locator_lookup(df, match.locator_index(reg.pubmed), model, when=unsettled)
-    anchor = F.when(unsettled & ~F.col("locator_matched"), ids.doi_key(F.col("openalex_doi")))
-    df = df.withColumn("anchor_doi", anchor)
-    df = match.match_doi(df, reg.works, model, "works" in reg.complete, landing, reg.openalex, key=F.col("anchor_doi"))
-    df = match.join_retractions(df, reg.retractions, key=F.col("anchor_doi"))
-    concern = F.coalesce(F.col("retraction_nature") == "expression_of_concern", F.lit(False))
-    anchored = F.col("anchor_doi").isNotNull()
-    rule = (
-        F.when(malformed, 1)
-        .when(~titled, 2)
-        .when(F.col("reverse_adjust") == "", 3)
-        .when(F.col("reverse_adjust") == "partial", 4)
-        .when(F.col("locator_matched"), 5)
-        .when(anchored & (F.col("doi_adjust") == "invalid"), 6)
-        .when(anchored & (~F.col("doi_matched") | (F.col("doi_adjust") == "partial") | F.col("retracted") | concern), 7)
-        .when(anchored, 8)
-        .when(_b("openalex_confirmed"), 9)
-        .otherwise(10)
-    )
-    df = df.withColumn("rule", rule)
-    r = F.col("rule")
-    verdict = (
-        F.when(r.isin(1, 2, 6), "invalid").when(r.isin(3, 5, 8), "verified")
-        .when(r.isin(4, 7, 9), "partial").otherwise("unverified"))
-    return df.withColumns({
-        "verdict": verdict,
-        "needs_human": r.isin(4, 6, 7, 9, 10),
-        "pmid_filled": F.when(r == 3, F.coalesce(tx.blank_to_null(F.col("pmid")), F.col("reverse_pmid")))
-        .when(r == 5, F.coalesce(tx.blank_to_null(F.col("pmid")), F.col("locator_pmid"))).otherwise(F.col("pmid")),
-        "doi_filled": F.when(r == 8, F.coalesce(tx.blank_to_null(F.col("doi")), F.col("anchor_doi"))).otherwise(F.col("doi")),
-    })
+    return df.drop("titled", "arxiv_malformed")
 
 
 NOTES = {
