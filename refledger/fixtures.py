@@ -229,7 +229,9 @@ def with_views(sql: str) -> str:
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in required(body)]
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
+    if body.startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
