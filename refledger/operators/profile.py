@@ -100,8 +100,8 @@ def _slice(ts: str, width: str) -> Column:
     return F.date_trunc(width, F.col(ts))
 
 
-def failure_runs(probes: DataFrame, width: str = "day") -> DataFrame:
-    """Runs of consecutive transport failures per host: host, first_ts, last_ts, run_length.
+def _runs(probes: DataFrame, width: str) -> DataFrame:
+    """host, first and last (ts, probe_id), n of every run of consecutive transport failures.
 
     Each (host, day) is sorted on its own; runs that touch the first or last probe of their day are
     stitched over the days of the host, a table that is smaller by the probes per day.
@@ -115,11 +115,11 @@ def failure_runs(probes: DataFrame, width: str = "day") -> DataFrame:
     }).withColumn("run", F.sum("turn").over(local))
     runs = marked.groupBy("host", "sl", "run").agg(
         F.bool_and("bad").alias("bad"), F.min("rn").alias("rn_lo"), F.max("rn").alias("rn_hi"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+        F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"), F.count("*").alias("n"))
     ends = runs.groupBy("host", "sl").agg(F.max("rn_hi").alias("rows"))
     edged = runs.join(ends, ["host", "sl"]).withColumn(
         "edge", (F.col("rn_lo") == 1) | (F.col("rn_hi") == F.col("rows")))
-    inner = edged.filter("bad and not edge").select("host", "first_ts", "last_ts", "n")
+    inner = edged.filter("bad and not edge").select("host", "first", "last", "n")
     across = Window.partitionBy("host").orderBy("sl", "rn_lo")
     # within a day two edge runs of one kind always have another run between them
     linked = F.coalesce(
@@ -128,9 +128,28 @@ def failure_runs(probes: DataFrame, width: str = "day") -> DataFrame:
         edged.filter("edge").withColumn("brk", (~linked).cast("int"))
         .withColumn("grp", F.sum("brk").over(across)).filter("bad")
         .groupBy("host", "grp").agg(
-            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n")))
-    return inner.unionByName(stitched.select("host", "first_ts", "last_ts", "n")).select(
-        "host", "first_ts", "last_ts", F.col("n").alias("run_length"))
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")))
+    return inner.unionByName(stitched.select("host", "first", "last", "n"))
+
+
+def failure_runs(probes: DataFrame, width: str = "day") -> DataFrame:
+    """Runs of consecutive transport failures per host: host, first_ts, last_ts, run_length."""
+    return _runs(probes, width).select(
+        "host", F.col("first.ts").alias("first_ts"), F.col("last.ts").alias("last_ts"), F.col("n").alias("run_length"))
+
+
+def run_summary(probes: DataFrame, width: str = "day") -> DataFrame:
+    """Per host: failures before the first answer, after the last one, longest run, and whether all failed.
+
+    Two consecutive summaries of a host combine into the summary of both."""
+    span = probes.groupBy("host").agg(
+        F.count("*").alias("n"), F.min(F.struct("ts", "probe_id")).alias("lo"), F.max(F.struct("ts", "probe_id")).alias("hi"))
+    runs = span.join(_runs(probes, width).select("host", "first", "last", F.col("n").alias("len")), "host", "left")
+    at = runs.groupBy("host").agg(
+        F.coalesce(F.max(F.when(F.col("first") == F.col("lo"), F.col("len"))), F.lit(0)).alias("head"),
+        F.coalesce(F.max(F.when(F.col("last") == F.col("hi"), F.col("len"))), F.lit(0)).alias("tail"),
+        F.coalesce(F.max("len"), F.lit(0)).alias("longest"), F.max("n").alias("n"))
+    return at.select("host", "head", "tail", "longest", (F.col("head") == F.col("n")).alias("all_failed"))
 
 
 def host_health(probes: DataFrame, threshold: int = 2, degrade_hosts: int = 3) -> DataFrame:

@@ -1 +1,155 @@
+"""Streaming jobs run to completion over the table files (availableNow)."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refledger.fixtures import driver_table, view
+from refledger.functions.similarity import TOKEN
+from refledger.operators import match
+from refledger.plans.queries.base import host_sql, query, registries, title_key_sql, url_key_sql
+from refledger.plans.queries.joins import NOTICE_SQL, VERIFY_SQL
+from refledger.plans.queries.lists import SCORE_SQL, _RUNS, _V
+from refledger.plans.verify import verify
+from refledger.streaming import jobs
+
+
+def scratch(spark: SparkSession) -> str:
+    """Fresh folder in the cluster's shared checkpoint folder; a temporary one in local tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
+        shared = tempfile.mkdtemp(prefix="refledger-stream-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = driver_table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def stream_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream of references: the row arithmetic of the batch view."""
+    d = stream_table(spark, sf, "documents")
+    return d.selectExpr(
+        "cast(floor(doc_id / 25.0) as bigint) as list_id", "doc_id as ref_id",
+        "trim(regexp_extract(replace(text, chr(10), ' '), '^ *([^.]{1,120})', 1)) as title", "source", "lang",
+        "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id) as ts")
+
+
+def drain(query_handle) -> None:
+    query_handle.awaitTermination()
+
+
+def to_table(stream: DataFrame, where: str, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    drain(stream.writeStream.format("parquet").option("path", f"{where}/out").option(
+        "checkpointLocation", f"{where}/checkpoint").outputMode(mode).trigger(availableNow=True).start())
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+@query("st1_verify_stream", VERIFY_SQL + "SELECT list_id, ref_id, rule, verdict, needs_human FROM verdicts")
+def st1(spark, sf):
+    where = scratch(spark)
+    batch_refs = view(spark, sf, "fx_records")
+    reg = registries(spark, sf, with_pages=False)
+    # the stream carries the row ids; each micro-batch takes its claimed fields from the reference table
+    ids = stream_table(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"))
+    drain(jobs.verify_stream(
+        ids, lambda b: verify(batch_refs.join(b, "ref_id", "left_semi"), reg, model=TOKEN).select(
+            "list_id", "ref_id", "rule", "verdict", "needs_human"), f"{where}/out", f"{where}/checkpoint"))
+    return spark.read.parquet(f"{where}/out").drop("batch")
+
+
+@query("st1_registry_stream", "WITH " + NOTICE_SQL + f"""
+, r AS (SELECT doc_id AS ref_id, '10.5555/j' || CAST(doc_id * 37 AS VARCHAR) || 'x' AS doi FROM documents)
+SELECT r.ref_id, w.lookup_status AS doi_state, c.nature AS retraction_nature FROM r LEFT JOIN fx_works w ON lower(w.doi) = r.doi LEFT JOIN notice_class c ON c.doi = r.doi""")
+def st1_static(spark, sf):
+    refs = stream_refs(spark, sf).withColumn("doi", F.concat(F.lit("10.5555/j"), (F.col("ref_id") * 37).cast("string"), F.lit("x")))
+    index = match.build_retraction_index(view(spark, sf, "fx_notices"))
+    out = jobs.registry_stream(refs, view(spark, sf, "fx_works"), index).select("ref_id", "doi_state", "retraction_nature")
+    return to_table(out, scratch(spark))
+
+
+@query("st2_verdict_cache", """
+WITH v AS (SELECT ref_id, 'k' || CAST(ref_id % 50 AS VARCHAR) AS cache_key, ref_id::DOUBLE AS ts_hours, ref_id % 97 = 0 AS bypass_read,
+  CASE WHEN ref_id % 5 = 0 THEN CASE ref_id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'unreachable' ELSE 'invalid' END END AS verdict FROM fx_refs),
+s AS (SELECT *, max_by(verdict, ts_hours) FILTER (WHERE verdict IN ('verified', 'partial', 'invalid')) OVER w AS last_v, max(ts_hours) FILTER (WHERE verdict IN ('verified', 'partial', 'invalid')) OVER w AS last_t
+  FROM v WINDOW w AS (PARTITION BY cache_key ORDER BY ts_hours ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ref_id, cache_key, CASE WHEN verdict IS NOT NULL THEN verdict WHEN ts_hours - last_t <= 168 AND NOT bypass_read THEN last_v END AS verdict,
+  verdict IS NULL AND last_t IS NOT NULL AND ts_hours - last_t <= 168 AND NOT bypass_read AS cached FROM s""")
+def st2(spark, sf):
+    r = F.col("ref_id")
+    fresh = F.when(r % 5 == 0, F.when(r % 4 == 0, "verified").when(r % 4 == 1, "partial").when(r % 4 == 2, "unreachable").otherwise("invalid"))
+    rows = stream_table(spark, sf, "documents").select(F.col("doc_id").alias("ref_id")).select(
+        F.concat(F.lit("k"), (r % 50).cast("string")).alias("cache_key"), "ref_id",
+        F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, cast(ref_id as int))").alias("ts"),
+        fresh.alias("verdict"), (r % 97 == 0).alias("bypass_read"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = to_table(jobs.verdict_cache(rows), scratch(spark))
+    finally:
+        spark.conf.set(provider, before)
+    return out.select("ref_id", "cache_key", "verdict", "cached")
+
+
+_DEDUPE_KEY = f"""CASE WHEN sig <> '' THEN 'url|' || u || '|' || sig ELSE 'row|' || CAST(doc_id AS VARCHAR) END"""
+
+
+@query("st3_dedupe_stream", f"""
+SELECT list_id, key AS dedupe_key, count(DISTINCT key) AS n FROM (SELECT list_id, {_DEDUPE_KEY} AS key FROM (
+  SELECT doc_id, doc_id // 250 AS list_id, substr({title_key_sql("trim(regexp_extract(replace(text, chr(10), ' '), '^ *([^.]{1,120})', 1))")}, 1, 120) AS sig,
+    'https://example.org/' || CAST(doc_id % 3 AS VARCHAR) AS u FROM documents)) GROUP BY 1, 2""")
+def st3(spark, sf):
+    s = stream_refs(spark, sf).withColumns({
+        "list_id": F.expr("ref_id div 250"), "doi": F.lit(None).cast("string"), "pmid": F.lit(None).cast("string"),
+        "url": F.concat(F.lit("https://example.org/"), (F.col("ref_id") % 3).cast("string"), F.lit("/"))})
+    out = to_table(jobs.dedupe_stream(s), scratch(spark))
+    return out.groupBy("list_id", "dedupe_key").agg(F.count("*").alias("n"))
+
+
+def _probe_stream(spark, sf) -> DataFrame:
+    return stream_table(spark, sf, "events").select(
+        F.col("event_id").alias("probe_id"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "error", F.lit("timeout")).alias("error_kind"))
+
+
+@query("st4_probe_windows", """
+WITH b AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS w, host, error_kind FROM fx_probes)
+SELECT w AS window_start, host, count(*) AS n_probes, count(error_kind) AS n_failures FROM b
+WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM fx_probes) GROUP BY 1, 2""")
+def st4_windows(spark, sf):
+    return to_table(jobs.probe_windows(_probe_stream(spark, sf)), scratch(spark))
+
+
+@query("st4_probe_health", _RUNS + """
+SELECT h.host, coalesce(m, 0) AS longest_run, coalesce(m, 0) >= 2 AS is_open FROM (SELECT DISTINCT host FROM fx_probes) h
+LEFT JOIN (SELECT host, max(run_length) AS m FROM runs GROUP BY 1) r ON r.host = h.host""")
+def st4_health(spark, sf):
+    where = scratch(spark)
+    drain(jobs.probe_health_stream(_probe_stream(spark, sf), f"{where}/state", f"{where}/checkpoint"))
+    state = spark.read.parquet(f"{where}/state")
+    last = state.agg(F.max("version").alias("version"))
+    return state.join(F.broadcast(last), "version").select("host", "longest_run", "is_open")
+
+
+@query("st5_trace_stream", f"""
+WITH v AS (SELECT doc_id // 25 AS list_id, CASE doc_id % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'partial' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'unverified' ELSE 'verified' END AS verdict,
+  false AS retracted, false AS needs_human FROM documents),""" + SCORE_SQL.format(src="v").strip()[4:] + f"""
+SELECT '2026-01-31' AS run_date, list_id, total, score, grade, {_V} FROM card""")
+def st5(spark, sf):
+    where = scratch(spark)
+    m = F.col("doc_id") % 7
+    verdict = F.when(m == 0, "invalid").when(m == 1, "partial").when(m == 2, "unreachable").when(m == 3, "unverified").otherwise("verified")
+    rows = stream_table(spark, sf, "documents").select(F.expr("doc_id div 25").alias("list_id"), verdict.alias("verdict"))
+    drain(jobs.trace_stream(rows, f"{where}/trace", f"{where}/checkpoint", "2026-01-31"))
+    return spark.read.parquet(f"{where}/trace").select(
+        "run_date", "list_id", "total", "score", "grade", *[c.strip() for c in _V.split(",")])

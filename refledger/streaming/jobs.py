@@ -13,7 +13,7 @@ from refledger import fixed_values as fv
 from refledger.functions import identifiers as ids
 from refledger.functions import text as tx
 from refledger.functions.shipping import ship_by_value
-from refledger.operators import score
+from refledger.operators import profile, score
 from refledger.sources import exports
 
 ship_by_value(__name__)
@@ -53,19 +53,23 @@ def with_cache_key(refs: DataFrame, profile: str = "general") -> DataFrame:
 class VerdictCache(StatefulProcessor):
     """Last cacheable verdict per key.
 
-    Input rows: cache_key, ref_id, ts_hours (clock of the row), verdict (null asks the cache) and
-    bypass_read.  Output: ref_id, verdict, cached, age_hours.  State expires after the TTL; the row
-    clock is compared as well, so replays give the same answer."""
+    Input rows: cache_key, ref_id, ts (event time), ts_hours (the same clock in hours), verdict (null
+    asks the cache) and bypass_read.  Output: cache_key, ref_id, verdict, cached, age_hours.  The age
+    is taken from the row clock, so replays give the same answer; an event-time timer clears an entry
+    once the watermark has passed its TTL.  The rows of a key pass through as a stream of Arrow
+    batches, so a hot key needs no more memory than one batch."""
 
     def __init__(self, ttl_hours: float = fv.CACHE_TTL_HOURS):
         self.ttl_hours = ttl_hours
         self.cacheable = frozenset(fv.CACHEABLE_VERDICTS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "verdict string, ts_hours double", int(self.ttl_hours * 3600 * 1000))
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "verdict string, ts_hours double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         stored = self.entry.get() if self.entry.exists() else None
+        before = stored
         for frame in rows:
             out = []
             for r in frame.sort_values(["ts_hours", "ref_id"]).itertuples(index=False):
@@ -79,8 +83,18 @@ class VerdictCache(StatefulProcessor):
                 else:
                     out.append((key[0], r.ref_id, None, False, None))
             yield pd.DataFrame(out, columns=["cache_key", "ref_id", "verdict", "cached", "age_hours"])
-        if stored is not None:
+        if stored is not None and stored != before:
             self.entry.update((stored[0], float(stored[1])))
+            self.handle.registerTimer(self._expiry(stored[1]))
+
+    def _expiry(self, ts_hours: float) -> int:
+        return int((ts_hours + self.ttl_hours) * 3_600_000) + 1
+
+    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        # an older entry's timer leaves a newer entry alone
+        if self.entry.exists() and self._expiry(self.entry.get()[1]) <= expired_timer_info.getExpiryTimeInMs():
+            self.entry.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -89,12 +103,13 @@ class VerdictCache(StatefulProcessor):
 CACHE_OUT = "cache_key string, ref_id bigint, verdict string, cached boolean, age_hours double"
 
 
-def verdict_cache(rows: DataFrame, ttl_hours: float = fv.CACHE_TTL_HOURS) -> DataFrame:
-    """Keyed cache over a stream of lookups and fresh verdicts."""
-    return rows.select("cache_key", "ref_id", "ts_hours", "verdict", "bypass_read").groupBy(
-        "cache_key").transformWithStateInPandas(
-            statefulProcessor=VerdictCache(ttl_hours), outputStructType=CACHE_OUT, outputMode="Append",
-            timeMode="ProcessingTime")
+def verdict_cache(rows: DataFrame, ttl_hours: float = fv.CACHE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Keyed cache over a stream of lookups and fresh verdicts (cache_key, ref_id, ts, verdict, bypass_read)."""
+    clock = F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000.0
+    keyed = rows.withWatermark("ts", delay).select(
+        "cache_key", "ref_id", "ts", clock.alias("ts_hours"), "verdict", "bypass_read")
+    return keyed.groupBy("cache_key").transformWithStateInPandas(
+        statefulProcessor=VerdictCache(ttl_hours), outputStructType=CACHE_OUT, outputMode="Append", timeMode="EventTime")
 
 
 # --- dedupe, health, trace ---------------------------------------------------------------------------
@@ -119,38 +134,33 @@ def probe_windows(probes: DataFrame, window: str = "1 day", delay: str = "1 hour
     """Failure rate per host and tumbling event-time window; rows later than the watermark are dropped."""
     return probes.withWatermark("ts", delay).groupBy(F.window("ts", window), "host").agg(
         F.count("*").alias("n_probes"), F.count_if(F.col("error_kind").isNotNull()).alias("n_failures")).select(
-            F.col("window.start").alias("window_start"), "host", "n_probes", "n_failures")
-
-
-class HostBreaker(StatefulProcessor):
-    """Consecutive transport failures per host; open stays open, an answer resets the count."""
-
-    def __init__(self, threshold: int = 2):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "fails int, longest int, is_open boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        fails, longest, is_open = self.state.get() if self.state.exists() else (0, 0, False)
-        frame = pd.concat(list(rows)).sort_values(["ts", "probe_id"])
-        for bad in frame["failed"]:
-            fails = fails + 1 if bad else 0
-            longest = max(longest, fails)
-            is_open = is_open or fails >= self.threshold
-        self.state.update((int(fails), int(longest), bool(is_open)))
-        yield pd.DataFrame([(key[0], longest, is_open)], columns=["host", "longest_run", "is_open"])
+            F.col("window.start").cast("timestamp_ntz").alias("window_start"), "host", "n_probes", "n_failures")
 
-    def close(self) -> None:
-        pass
 
+def probe_health_stream(probes: DataFrame, state_path: str, checkpoint: str, threshold: int = 2):
+    """Host health kept over micro-batches: host, tail, longest_run, is_open under ``state_path``.
 
-def probe_health_stream(probes: DataFrame, threshold: int = 2) -> DataFrame:
-    """Host health after every micro-batch, in update mode; each batch holds one host's new probes only."""
-    rows = probes.select("host", "ts", "probe_id", F.col("error_kind").isNotNull().alias("failed"))
-    return rows.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=HostBreaker(threshold), outputStructType="host string, longest_run int, is_open boolean",
-        outputMode="Update", timeMode="None")
+    A micro-batch is reduced to one summary per host by the skew-safe batch operator and merged with
+    the previous version of the state table; versions are keyed by batch id, so a replay rewrites its
+    own version.  An open host stays open; an answer resets the running count."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        new = profile.run_summary(batch)
+        if batch_id > 0:
+            old = batch.sparkSession.read.parquet(f"{state_path}/version={batch_id - 1}")
+        else:
+            old = new.limit(0).select("host", F.col("tail"), F.col("longest").alias("longest_run"), F.lit(False).alias("is_open"))
+        old = old.select("host", F.col("tail").alias("old_tail"), "longest_run", "is_open")
+        j = new.join(old, "host", "full_outer")
+        carried = F.coalesce("old_tail", F.lit(0))
+        joined = carried + F.coalesce("head", F.lit(0))
+        longest = F.greatest(F.coalesce("longest_run", F.lit(0)), F.coalesce("longest", F.lit(0)),
+                             F.when(F.col("head").isNotNull(), joined).otherwise(F.lit(0)))
+        tail = F.when(F.col("head").isNull(), carried).when(F.col("all_failed"), joined).otherwise(F.col("tail"))
+        j.select("host", tail.cast("bigint").alias("tail"), longest.cast("bigint").alias("longest_run"),
+                 (F.coalesce("is_open", F.lit(False)) | (longest >= threshold)).alias("is_open")).write.mode(
+                     "overwrite").parquet(f"{state_path}/version={batch_id}")
+
+    return probes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def trace_stream(results: DataFrame, path: str, checkpoint: str, run_date: str):
