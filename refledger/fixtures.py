@@ -58,11 +58,10 @@ SELECT ref_id AS rank_id, title AS display_name, year + CASE WHEN ref_id % 6 = 0
   CASE WHEN ref_id % 3 = 0 THEN 'repository' ELSE 'journal' END AS source_type FROM fx_refs
 """
 
-VIEWS["fx_notices"] = """
-SELECT lower(doi) AS doi, ref_id * 2 + k AS line_no, CASE CAST((ref_id + k * 3) % 6 AS INT) WHEN 0 THEN 'Retraction' WHEN 1 THEN 'Expression of concern'
+_NOTICE = """SELECT lower(doi) AS doi, ref_id * 2 + {k} AS line_no, CASE CAST((ref_id + {k} * 3) % 6 AS INT) WHEN 0 THEN 'Retraction' WHEN 1 THEN 'Expression of concern'
    WHEN 2 THEN 'Correction' WHEN 3 THEN 'Partial Retraction' WHEN 4 THEN 'Withdrawal' ELSE '' END AS nature
-FROM fx_refs CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks WHERE doi IS NOT NULL AND ref_id % 9 = 2
-"""
+FROM fx_refs WHERE doi IS NOT NULL AND ref_id % 9 = 2"""
+VIEWS["fx_notices"] = " UNION ALL ".join(_NOTICE.format(k=k) for k in (0, 1))
 
 VIEWS["fx_probes"] = """
 SELECT event_id AS probe_id, concat('h', CAST(user_id AS STRING)) AS host, ts,
@@ -149,14 +148,12 @@ SELECT ref_id, list_id, coalesce(url, CASE WHEN doi LIKE '10.%' THEN concat('htt
 FROM fx_refs
 """
 
-VIEWS["fx_url_probes"] = """
-SELECT resolved_url AS url, ref_id * 2 + k AS probe_id,
-  CASE WHEN (ref_id + k) % 20 = 0 THEN NULL WHEN (ref_id + k) % 20 = 1 THEN 404 WHEN (ref_id + k) % 20 < 5 THEN 403
-    WHEN (ref_id + k) % 20 = 5 THEN 429 WHEN (ref_id + k) % 20 = 6 THEN 500 ELSE 200 END AS http_status,
-  CASE WHEN (ref_id + k) % 20 = 0 THEN 'timeout' END AS error_kind
-FROM fx_resolved CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks
-WHERE resolved_url IS NOT NULL AND ref_id % 50 <> 49
-"""
+_PROBE = """SELECT resolved_url AS url, ref_id * 2 + {k} AS probe_id,
+  CASE WHEN (ref_id + {k}) % 20 = 0 THEN NULL WHEN (ref_id + {k}) % 20 = 1 THEN 404 WHEN (ref_id + {k}) % 20 < 5 THEN 403
+    WHEN (ref_id + {k}) % 20 = 5 THEN 429 WHEN (ref_id + {k}) % 20 = 6 THEN 500 ELSE 200 END AS http_status,
+  CASE WHEN (ref_id + {k}) % 20 = 0 THEN 'timeout' END AS error_kind
+FROM fx_resolved WHERE resolved_url IS NOT NULL AND ref_id % 50 <> 49"""
+VIEWS["fx_url_probes"] = " UNION ALL ".join(_PROBE.format(k=k) for k in (0, 1))
 
 VIEWS["fx_archives"] = """
 SELECT url, probe_id AS snapshot_id, concat('https://web.archive.example/', CAST(probe_id AS STRING)) AS archive_url

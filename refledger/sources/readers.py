@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refledger import schemas
@@ -16,9 +16,7 @@ PART_COLUMNS = ["path", "pos", *schemas.CLAIM_FIELDS, "semantic", "triples", "ma
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path and whole text of every matching file; one row per bibliography file."""
-    raw = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True).text(path))
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
     return raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")).filter(
         ~name.startswith("README"))
@@ -61,15 +59,17 @@ def number_parts(parts: DataFrame, list_id: Column | None = None) -> DataFrame:
     """Assign list and row ids: files in name order, entries in file order.
 
     Every file is its own list unless ``list_id`` says otherwise."""
-    files = parts.groupBy("path").agg(F.count("*").alias("n"))
-    # one row per file; the files are numbered, not their entries
-    numbered = files.withColumn("h", F.lit(0)).withColumn("k", F.xxhash64("path"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("h").orderBy("path")
-    sized = numbered.withColumn("file_no", F.row_number().over(order)).withColumn(
-        "offset", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).select(
-            "path", "file_no", F.coalesce("offset", F.lit(0)).alias("offset"))
+    # one row per file, never per entry; folders are numbered first, then the files of each folder
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    files = parts.groupBy("path").agg(F.count("*").alias("n")).withColumn("folder", folder)
+    inside, across = Window.partitionBy("folder").orderBy("path"), Window.partitionBy(F.lit(0)).orderBy("folder")
+    before = Window.unboundedPreceding, -1
+    folders = files.groupBy("folder").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select(
+        "folder", F.coalesce(F.sum("k").over(across.rowsBetween(*before)), F.lit(0)).alias("files_before"),
+        F.coalesce(F.sum("s").over(across.rowsBetween(*before)), F.lit(0)).alias("rows_before"))
+    sized = files.join(folders, "folder").select(
+        "path", (F.col("files_before") + F.row_number().over(inside)).alias("file_no"),
+        (F.col("rows_before") + F.coalesce(F.sum("n").over(inside.rowsBetween(*before)), F.lit(0))).alias("offset"))
     df = parts.join(sized, "path")
     ranked = number_rows(df.withColumn("pos", F.col("pos").cast("bigint")), ["path"], "pos", "in_file")
     return ranked.select(
