@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
-from refledger.functions.text import strip
+from refledger.functions.text import strip, words_literal
 
 
 def body_before_references(text: Column) -> Column:
@@ -26,7 +26,7 @@ def sentences(text: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Distinct words of two characters or more, stop words out, one light suffix stripped."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(fv.CONTENT_STOP)])
+    stop = words_literal(dict.fromkeys(fv.CONTENT_STOP))
     words = F.regexp_extract_all(
         F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9一-鿿]{2,})"), 1
     )

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
-from refledger.functions.text import name_key, script_family, strip
+from refledger.functions.text import name_key, script_family, strip, words_literal
 
 _TOKEN = r"([a-z0-9]+|[一-鿿])"
 
 
 def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
+    keys, values = words_literal(d), words_literal(d.values())
+    return F.map_from_arrays(keys, values)
 
 
 def journal_ta(source: Column) -> Column:
@@ -42,7 +41,8 @@ def journal_same(claimed: Column, registered: Column) -> Column:
     """Lenient comparison used with DOI records: containment or ordered initials."""
     a, b = name_key(claimed), name_key(registered)
     ta, tb = journal_tokens(claimed), journal_tokens(registered)
-    fa, fb = script_family(a), script_family(b)
+    families = F.transform(F.array(a, b), script_family)
+    fa, fb = F.get(families, F.lit(0)), F.get(families, F.lit(1))
     return (
         (a == "") | (b == "")
         | ((fa != "none") & (fa != fb))
@@ -53,7 +53,7 @@ def journal_same(claimed: Column, registered: Column) -> Column:
 
 def _prefixes_in_order(x: Column, y: Column) -> Column:
     """Content words of the shorter name are, in order, prefixes of words of the longer one."""
-    stop = F.array(*[F.lit(w) for w in fv.JOURNAL_STOP])
+    stop = words_literal(fv.JOURNAL_STOP)
 
     def content(t):
         return F.filter(t, lambda w: ~F.array_contains(stop, w))

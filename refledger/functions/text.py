@@ -20,6 +20,11 @@ SCRIPTS = {
 }
 
 
+def words_literal(words) -> Column:
+    """Constant array of strings, as one parsed expression."""
+    return F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANK))
 
@@ -83,7 +88,7 @@ def is_subset(a: Column, b: Column) -> Column:
 
 def alias_of_landing(claimed: Column, actual: Column) -> Column:
     """Either title's words contain the other's; the claim needs two words or more."""
-    stop = F.array(*[F.lit(w) for w in fv.ALIAS_STOP_LANDING])
+    stop = words_literal(fv.ALIAS_STOP_LANDING)
 
     def words(c):
         return F.filter(F.array_except(token_set(c), stop), lambda t: F.length(t) >= 2)
@@ -94,8 +99,8 @@ def alias_of_landing(claimed: Column, actual: Column) -> Column:
 
 def alias_of_api(claimed: Column, actual: Column) -> Column:
     """All claimed Latin words and CJK characters occur in the registered title."""
-    stop = F.array(*[F.lit(w) for w in fv.ALIAS_STOP_API])
-    cjk_stop = F.array(*[F.lit(ch) for ch in fv.ALIAS_CJK_STOP])
+    stop = words_literal(fv.ALIAS_STOP_API)
+    cjk_stop = words_literal(fv.ALIAS_CJK_STOP)
 
     def latin(c):
         low = F.lower(F.coalesce(c, F.lit("")))
@@ -137,7 +142,8 @@ def script_family(c: Column) -> Column:
 
 
 def scripts_differ(a: Column, b: Column) -> Column:
-    fa, fb = script_family(a), script_family(b)
+    both = F.transform(F.array(a, b), script_family)
+    fa, fb = F.get(both, F.lit(0)), F.get(both, F.lit(1))
     return (fa != "none") & (fb != "none") & (fa != fb)
 
 

@@ -79,7 +79,9 @@ def _author_year_entries(names: DataFrame, listed: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.transform(
         F.array(*[F.lit(n) for n in (2, 3, 4)]),
         lambda n: F.filter(F.transform(starts, lambda i: F.substr(F.col("t"), i, n)), lambda g: F.length(g) == n))))
-    titles = listed.select("list_id", "position", "ref_id", title.alias("t"))
+    # only lists that are cited by name are cut into grams
+    titles = listed.select("list_id", "position", "ref_id", title.alias("t")).join(
+        names.select("list_id").distinct(), "list_id", "left_semi")
     inside = (
         titles.select("*", F.explode(grams).alias("gram"))
         .join(surnames, ["list_id", "gram"]).filter(F.contains("t", "s"))

@@ -30,9 +30,12 @@ def evidence_topk_tfidf(documents: DataFrame, claims: DataFrame, k: int = 2, siz
         "claim_id", "doc_id", "token").agg(F.count("*").alias("qn"))
     wanted = query.withColumn("q", F.array_distinct("q"))
     scanned = pieces.join(wanted, "doc_id")
-    hits = scanned.select("claim_id", "doc_id", "chunk", F.explode(F.filter(
-        _tokens(F.col("passage")), lambda t: F.array_contains("q", t))).alias("token"))
-    tf = hits.groupBy("claim_id", "doc_id", "chunk", "token").agg(F.count("*").alias("tf"))
+    # the claim's tokens a chunk holds, with their counts, leave the row that was scanned
+    found = F.transform(F.array_intersect("tokens", "q"), lambda t: F.struct(
+        t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
+    tf = (
+        scanned.withColumn("tokens", _tokens(F.col("passage"))).withColumn("found", found)
+        .select("claim_id", "doc_id", "chunk", F.inline("found")))
     df = tf.groupBy("claim_id", "token").agg(F.count("*").alias("df"))
     n_chunks = documents.select("doc_id", F.size(ct.chunks(F.col("text"), size, overlap)).alias("n_chunks"))
     idf = F.log((F.col("n_chunks") + 1) / (F.col("df") + 1))

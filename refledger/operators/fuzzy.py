@@ -14,7 +14,7 @@ from refledger.functions.similarity import SEQUENCE, SimilarityModel, length_bou
 
 def search_words(title: Column) -> Column:
     """Distinct lower-case words of two characters or more without stop words, in title order."""
-    stop = F.array(*[F.lit(w) for w in fv.REVERSE_LOOKUP_STOP])
+    stop = tx.words_literal(fv.REVERSE_LOOKUP_STOP)
     words = F.regexp_extract_all(
         F.lower(F.coalesce(title, F.lit(""))), F.lit(r"([a-z一-鿿0-9]{2,})"), 1)
     return F.filter(F.array_distinct(words), lambda w: ~F.array_contains(stop, w))

@@ -276,7 +276,8 @@ def locator_lookup(refs: DataFrame, index: DataFrame, model: SimilarityModel = S
     compare = unique & (title != "") & (_text(F.col("__l_title")) != "")
     df = df.withColumn("locator_sim", model.plain(
         F.when(compare, title), F.when(compare, tx.squeeze(F.col("__l_title")))))
-    fc, fr = tx.script_family(title), tx.script_family(F.col("__l_title"))
+    families = F.transform(F.array(title, F.col("__l_title")), tx.script_family)
+    fc, fr = F.get(families, F.lit(0)), F.get(families, F.lit(1))
     contradicted = compare & (F.col("locator_sim") < fv.SIM_MISMATCH) & (fc != "none") & (fc == fr)
     matched = unique & ~F.coalesce(contradicted, F.lit(False))
     return df.withColumns({
@@ -323,8 +324,9 @@ def match_arxiv(refs: DataFrame, arxiv: DataFrame, model: SimilarityModel = SEQU
     many = (F.col("arxiv_state") == "hit") & (F.col("__a_latest") > 1)
     unpinned = F.coalesce(many & version.isNull(), F.lit(False))
     # only a claim without letters is exempt from the script rule here
-    family = tx.script_family(title)
-    foreign = (F.col("arxiv_state") == "hit") & (family != "none") & (family != tx.script_family(registered))
+    families = F.transform(F.array(title, registered), tx.script_family)
+    foreign = (F.col("arxiv_state") == "hit") & (F.get(families, F.lit(0)) != "none") & (
+        F.get(families, F.lit(0)) != F.get(families, F.lit(1)))
     alias = F.when(from_page, tx.alias_of_landing(title, registered)).otherwise(
         tx.alias_of_api(title, registered))
     adjust = (
