@@ -18,11 +18,7 @@ def lookup(left: DataFrame, table: DataFrame, key: Column, table_key: str, row_i
     """
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(NULL_SPREAD)).cast("string"))
     right = table.select(F.col(table_key).alias("__rkey"), *[c.alias(n) for n, c in keep.items()])
-    return (
-        left.withColumn("__lkey", F.coalesce(key, spread))
-        .join(right, F.col("__lkey") == F.col("__rkey"), "left")
-        .drop("__lkey", "__rkey")
-    )
+    return left.join(right, F.coalesce(key, spread) == F.col("__rkey"), "left").drop("__rkey")
 
 
 def first_row_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
