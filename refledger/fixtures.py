@@ -130,9 +130,9 @@ VIEWS["fx_s2"] = """
 SELECT ref_id AS paper_id, CASE WHEN ref_id % 5 = 0 THEN concat(title, ' extended') ELSE title END AS title, year,
   CASE WHEN ref_id % 2 = 0 THEN concat('10.7777/pub', CAST(ref_id AS STRING)) ELSE doi END AS doi, arxiv AS arxiv_key,
   concat('Venue of ', source) AS venue
-FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY ref_id) AS rn,
-        row_number() OVER (PARTITION BY arxiv ORDER BY ref_id) AS ra FROM fx_refs) t
-WHERE (doi IS NULL OR rn = 1) AND (arxiv IS NULL OR ra = 1)
+FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(doi, concat('row ', CAST(ref_id AS STRING))) ORDER BY ref_id) AS rn,
+        row_number() OVER (PARTITION BY coalesce(arxiv, concat('row ', CAST(ref_id AS STRING))) ORDER BY ref_id) AS ra FROM fx_refs) t
+WHERE rn = 1 AND ra = 1
 """
 
 VIEWS["fx_oa"] = """

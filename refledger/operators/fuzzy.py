@@ -66,7 +66,8 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
     * Copies collapse first on both sides, so a title repeated a billion times is matched once.
     * An equal title key with a compatible year scores 1 and needs no search.
     * The others meet the records that contain their two longest words, keyed by the *pair* of
-      words; one frequent word alone never forms a group, and there is no cap on candidates.
+      words; one frequent word alone never forms a group, and there is no cap on candidates.  Only
+      ids travel with the pairs; texts are fetched for the hits.
     * Rows that cannot reach the floor are dropped by exact native bounds before the ratio UDF.
     * The best row is an aggregate with a map-side part, not a sort of a group.
     """
@@ -109,9 +110,11 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
         open_q = distinct_q.join(exact.select(*keys), keys, "left_anti")
     keyed_q = open_q.select(*keys, "q_key", _pair(
         F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))).alias("pair"))
-    keyed_r = distinct_r.select("source", *_ROW, "r_key", F.explode(
+    # a title has dozens of word pairs: only its id travels with them, the text joins the hits
+    keyed_r = distinct_r.select("source", "r_id", "r_year", F.explode(
         word_pairs(search_words(F.col("r_title")))).alias("pair"))
-    pairs = keyed_q.join(keyed_r, ["source", "pair"]).filter(year_ok)
+    hits = keyed_q.join(keyed_r, ["source", "pair"]).filter(year_ok).drop("pair", "r_year")
+    pairs = hits.join(distinct_r, ["source", "r_id"])
     floor = per_source("floor", 0.0)
     by_title, by_prefix = F.lit(None).cast("double"), F.lit(None).cast("double")
     use_prefix = per_source("prefix", False)
