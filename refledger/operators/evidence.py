@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
@@ -21,30 +21,26 @@ def evidence_topk_tfidf(documents: DataFrame, claims: DataFrame, k: int = 2, siz
     """Best ``k`` chunks of each claim's own document.
 
     Score: sum over the claim's tokens (repeats count) of tf * ln((N+1)/(df+1)), N and df within the
-    document; ties keep chunk order.  Only the claim's tokens leave a chunk, so the exploded rows
-    stay a small part of the text.
+    document; ties keep chunk order, chunks without any token included.  The text is scanned once:
+    chunk counts, token counts and claim weights all leave the row that holds the passage.
     """
-    pieces = documents.select("doc_id", F.posexplode(ct.chunks(F.col("text"), size, overlap)).alias("chunk", "passage"))
+    cut = ct.chunks(F.col("text"), size, overlap)
+    step = size - overlap
+    counted = documents.select("doc_id", "text", F.floor((F.length("text") + step - 1) / step).alias("n_chunks"))
+    pieces = counted.select("doc_id", "n_chunks", F.posexplode(cut).alias("chunk", "passage"))
     query = claims.select("claim_id", "doc_id", _tokens(F.col("claim")).alias("q"))
-    weights = query.select("claim_id", "doc_id", F.explode("q").alias("token")).groupBy(
-        "claim_id", "doc_id", "token").agg(F.count("*").alias("qn"))
-    wanted = query.withColumn("q", F.array_distinct("q"))
-    scanned = pieces.join(wanted, "doc_id")
-    # the claim's tokens a chunk holds, with their counts, leave the row that was scanned
-    found = F.transform(F.array_intersect("tokens", "q"), lambda t: F.struct(
-        t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    tf = (
-        scanned.withColumn("tokens", _tokens(F.col("passage"))).withColumn("found", found)
-        .select("claim_id", "doc_id", "chunk", F.inline("found")))
-    df = tf.groupBy("claim_id", "token").agg(F.count("*").alias("df"))
-    n_chunks = documents.select("doc_id", F.size(ct.chunks(F.col("text"), size, overlap)).alias("n_chunks"))
-    idf = F.log((F.col("n_chunks") + 1) / (F.col("df") + 1))
-    scores = (
-        tf.join(df, ["claim_id", "token"]).join(weights, ["claim_id", "doc_id", "token"]).join(n_chunks, "doc_id")
-        .groupBy("claim_id", "doc_id", "chunk").agg(F.sum(F.col("qn") * F.col("tf") * idf).alias("score")))
-    every = pieces.select("doc_id", "chunk").join(query.select("claim_id", "doc_id"), "doc_id")
-    ranked = every.join(scores, ["claim_id", "doc_id", "chunk"], "left").withColumn(
-        "score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    # a token is counted as a whole run of token characters, so the lambda never needs the token array
+    low, edge = F.lower("passage"), "[a-z0-9一-鿿]"
+    found = F.transform(F.array_intersect(_tokens(F.col("passage")), "q"), lambda t: F.struct(
+        t.alias("token"),
+        F.regexp_count(low, F.concat(F.lit(f"(?<!{edge})"), t, F.lit(f"(?!{edge})"))).alias("tf"),
+        (F.size("q") - F.size(F.array_remove("q", t))).alias("qn")))
+    tf = pieces.join(query, "doc_id").select(
+        "claim_id", "doc_id", "chunk", "n_chunks", F.inline_outer(found).alias("token", "tf", "qn"))
+    df = F.count("token").over(Window.partitionBy("claim_id", "token"))
+    weight = F.col("qn") * F.col("tf") * F.log((F.col("n_chunks") + 1) / (df + 1))
+    ranked = tf.withColumn("w", weight).groupBy("claim_id", "doc_id", "chunk").agg(
+        F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 6).alias("score"))
     return top_k(ranked, ["claim_id"], [F.col("score").desc(), F.col("chunk")], k).select(
         "claim_id", "doc_id", "chunk", "rank", "score")
 
