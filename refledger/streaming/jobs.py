@@ -18,6 +18,8 @@ from refledger.sources import exports
 
 ship_by_value(__name__)
 
+# plain values: what the state processor refers to travels with it to the workers
+_CACHEABLE = frozenset(fv.CACHEABLE_VERDICTS)
 CACHE_INPUTS = ["doi", "url", "pmid", "arxiv", "title", "year", "source", "authors", "tier"]
 
 
@@ -61,7 +63,7 @@ class VerdictCache(StatefulProcessor):
 
     def __init__(self, ttl_hours: float = fv.CACHE_TTL_HOURS):
         self.ttl_hours = ttl_hours
-        self.cacheable = frozenset(fv.CACHEABLE_VERDICTS)
+        self.cacheable = _CACHEABLE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
