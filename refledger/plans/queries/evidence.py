@@ -11,7 +11,7 @@ from refledger.plans.queries.base import query, results
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9一-鿿]+')"
 
 
-@query("t2_evidence_topk_tfidf", f"""
+_TFIDF = f"""
 WITH ch AS (SELECT doc_id, i AS chunk, substr(text, i * 780 + 1, 900) AS p FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 780.0)::BIGINT)) AS i FROM documents)),
 nn AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY 1),
 tok AS (SELECT doc_id, chunk, t, count(*) AS tf FROM (SELECT doc_id, chunk, unnest({_TOK.format('p')}) AS t FROM ch) GROUP BY 1, 2, 3),
@@ -20,13 +20,19 @@ qt AS (SELECT doc_id, t, count(*) AS qn FROM (SELECT doc_id, unnest({_TOK.format
 sc AS (SELECT tok.doc_id, chunk, sum(qn * tf * ln((n + 1)::DOUBLE / (df + 1))) AS score FROM tok JOIN qt ON qt.doc_id = tok.doc_id AND qt.t = tok.t JOIN df ON df.doc_id = tok.doc_id AND df.t = tok.t
   JOIN nn ON nn.doc_id = tok.doc_id GROUP BY 1, 2),
 rk AS (SELECT ch.doc_id, ch.chunk, round(coalesce(score, 0.0), 6) AS score FROM ch LEFT JOIN sc ON sc.doc_id = ch.doc_id AND sc.chunk = ch.chunk)
+"""
+
+
+@query("t2_evidence_topk_tfidf", _TFIDF + """
 SELECT doc_id AS claim_id, doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk) AS rank FROM rk) WHERE rank <= 2""")
 def t2(spark, sf):
     claims = view(spark, sf, "fx_claims").withColumn("claim_id", F.col("doc_id"))
     return evidence.evidence_topk_tfidf(view(spark, sf, "documents"), claims)
 
 
-@query("t2_evidence_passages")
+@query("t2_evidence_passages", _TFIDF + """
+SELECT b.doc_id AS claim_id, CAST(b.chunk AS INTEGER) AS chunk, md5(ch.p) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk) AS rank FROM rk) b
+JOIN ch ON ch.doc_id = b.doc_id AND ch.chunk = b.chunk WHERE b.rank = 1""")
 def t2_passages(spark, sf):
     d = view(spark, sf, "documents")
     claims = view(spark, sf, "fx_claims").withColumn("claim_id", F.col("doc_id"))

@@ -69,7 +69,9 @@ def _md_texts(spark, sf) -> DataFrame:
     return refs(spark, sf).select(F.format_string("%012d.md", "ref_id").alias("path"), text.alias("text"))
 
 
-@query("s3_ingest_markdown_refs")
+@query("s3_ingest_markdown_refs", """
+SELECT ref_id AS file, t AS title, 'Journal of ' || source AS source, CAST(year AS VARCHAR) AS year, pmid, CAST(volume AS VARCHAR) AS volume, CAST(issue AS VARCHAR) AS issue, '10' AS pages
+FROM (SELECT *, trim(regexp_replace(title, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM fx_refs) WHERE length(t) + 3 >= 15""")
 def s3(spark, sf):
     p = parse_markdown(_md_texts(spark, sf))
     return p.select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("file"), "title", "source", "year", "pmid",

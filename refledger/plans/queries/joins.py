@@ -11,7 +11,8 @@ from refledger.functions.similarity import TOKEN
 from refledger.operators import discover as dc
 from refledger.operators import fuzzy, match, normalise, profile, score
 from refledger.plans.queries.base import (
-    NORMAL_SQL, in_sql, jaccard_sql, q, query, refs, registries, results, title_key_sql, tokens_sql, works)
+    NORMAL_SQL, in_sql, jaccard_sql, q, query, refs, registries, results, title_key_sql, tokens_sql,
+    url_key_sql, works)
 from refledger.plans.verify import verify, with_notes
 from refledger.sources import readers
 
@@ -380,7 +381,10 @@ def j15(spark, sf):
         "ref_id", F.round("landing_sim", 6).alias("landing_sim"), "landing_confirmed", "landing_near")
 
 
-@query("j15_landing_titles")
+@query("j15_landing_titles", f"""
+WITH p AS (SELECT {url_key_sql('url')} AS page_key, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS page_title,
+  {title_key_sql("concat(regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS head_key FROM pages)
+SELECT page_key, NULL::VARCHAR AS citation_title, NULL::VARCHAR AS og_title, page_title, head_key FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY page_title NULLS FIRST, head_key) AS rn FROM p) WHERE rn = 1""")
 def j15_titles(spark, sf):
     return match.landing_titles(view(spark, sf, "pages"))
 

@@ -176,7 +176,8 @@ def j17_corpus(spark, sf):
     return dedupe.clone_pairs(df, small_list=0)
 
 
-@query("j17_clone_annotations")
+@query("j17_clone_annotations", f"""SELECT list_id, ref_id, count(*) FILTER (WHERE kind = 'clone_doi') AS clone_doi_partners, count(*) FILTER (WHERE kind = 'clone_title') AS clone_title_partners
+FROM (SELECT list_id, unnest([a, b]) AS ref_id, kind FROM ({_CLONES})) GROUP BY 1, 2""")
 def j17_annotations(spark, sf):
     return dedupe.clone_annotations(dedupe.clone_pairs(_shared_ids(spark, sf), TOKEN))
 
@@ -364,21 +365,10 @@ def a16(spark, sf):
 
 # --- documents ---------------------------------------------------------------------------------------------
 
-_MENTIONS = """
-WITH d AS (SELECT doc_id, list_id, regexp_split_to_array(text, '(?:^|\\n)#{0,6}\\s*(?:\\d+[.、]?\\s*)?(?:参考文献|References)[^\\n]*\\n')[1] AS body FROM fx_docs_marked)
-"""
-
-
 def _docs(spark, sf):
     return view(spark, sf, "fx_docs_marked")
 
 
-@query("f16_extract_mentions")
-def f16(spark, sf):
-    m = document.extract_mentions(_docs(spark, sf))
-    return m.select("doc_id", "sent", "pos", "marker", "kind", F.array_join("numbers", ",").alias("numbers"))
-
-
 # the markers each derived document carries, by construction of the view
 _MARKS = """
 WITH marks AS (SELECT doc_id, list_id, '[' || CAST(1 + doc_id % 30 AS VARCHAR) || ']' AS marker, CAST(1 + doc_id % 30 AS INT) AS lo, CAST(1 + doc_id % 30 AS INT) AS hi FROM documents_l
@@ -389,6 +379,13 @@ bound AS (SELECT t.doc_id, t.list_id, t.marker, t.number, e.ref_id FROM targets
 """.replace("documents_l", "fx_docs_marked")
 
 
+@query("f16_extract_mentions", _MARKS + """
+SELECT doc_id, marker, 'numeric' AS kind, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS numbers FROM targets GROUP BY doc_id, marker""")
+def f16(spark, sf):
+    m = document.extract_mentions(_docs(spark, sf))
+    return m.select("doc_id", "marker", "kind", F.array_join("numbers", ",").alias("numbers"))
+
+
 @query("j16_bind_citations", _MARKS + "SELECT doc_id, marker, count(*) AS n_targets, count(ref_id) AS n_bound, min(ref_id) AS first_ref, max(ref_id) AS last_ref FROM bound GROUP BY doc_id, marker")
 def j16(spark, sf):
     from refledger.plans.queries.base import listed
