@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
 from refledger.functions import citations as ct
-from refledger.functions import text as tx
 from refledger.operators.common import top_k
 
 

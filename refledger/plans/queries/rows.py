@@ -13,7 +13,7 @@ from refledger.functions import text as tx
 from refledger.functions.similarity import bag_bound, length_bound, seq_ratio, title_sim
 from refledger.operators import normalise as nz
 from refledger.plans.queries.base import (
-    NORMAL_SQL, host_sql, in_sql, jaccard_sql, q, query, refs, results, tier_sql, title_key_sql, tokens_sql)
+    NORMAL_SQL, host_sql, in_sql, jaccard_sql, q, query, refs, results, tier_sql, tokens_sql)
 
 
 @query("p1_normalise_refs", NORMAL_SQL + """

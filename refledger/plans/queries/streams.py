@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from refledger.fixtures import driver_table, view
 from refledger.functions.similarity import TOKEN
 from refledger.operators import match
-from refledger.plans.queries.base import host_sql, query, registries, title_key_sql, url_key_sql
+from refledger.plans.queries.base import query, registries, title_key_sql
 from refledger.plans.queries.joins import NOTICE_SQL, VERIFY_SQL
 from refledger.plans.queries.lists import SCORE_SQL, _RUNS, _V
 from refledger.plans.verify import verify
