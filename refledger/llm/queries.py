@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.llm import mixing
+from refledger.llm import decontaminate, mixing
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -53,3 +53,27 @@ FROM placed"""
 @query("op1_mix_sources", MIX_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+WORDS8 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+LEAKS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS8} AS ws FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS8} AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM (
+  SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM items WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win FROM (
+  SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, lens WHERE len(ws) >= n)),
+hits AS (SELECT r, p.n, i, item FROM places p JOIN wins w ON p.n = w.n AND p.win = w.win),
+cover AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN cover USING (r) LEFT JOIN found USING (r)"""
+
+
+@query("op8_decontaminate", LEAKS_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans", "text_hash")
