@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.llm import decontaminate, mixing, topk
+from refledger.llm import decontaminate, html_main, mixing, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -92,3 +92,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 @query("op4_exact_topk", TOPK_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_html_main")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
