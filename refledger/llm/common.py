@@ -69,18 +69,19 @@ def pieces(batch: pa.RecordBatch, rows: int, most: int = 16_000_000) -> Iterator
 
 
 def no_null_text(column: pa.Array) -> pa.Array:
+    # the concatenation copies a slice into buffers of its own, which begin at its first byte
+    column = pa.concat_arrays([column, pa.array([], column.type)])
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(data, bounds, counts)`` of a column of texts: the ASCII-lower-cased bytes of all rows, the
+    """``(data, bounds, counts)`` of a column made by ``no_null_text``: the ASCII-lower-cased bytes of all rows, the
     (words, 2) array of byte ranges of their words, and the number of words of each row."""
     text = pc.ascii_lower(text)
-    offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
-    lo, hi = (int(offsets[0]), int(offsets[-1])) if len(text) else (0, 0)
+    sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     raw = text.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8)[lo:hi] if raw is not None and hi > lo else np.zeros(0, np.uint8)
-    offsets = offsets - lo if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, dtype=np.uint8)[:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     solid = (data > 32) | ((data < 9) | ((data > 13) & (data < 32)))
     edge = np.empty(len(data) + 1, dtype=bool)  # edge[i]: a word may begin or end before byte i
     if len(data):

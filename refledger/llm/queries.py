@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.llm import decontaminate, html_main, mixing, topk
+from refledger.llm import decontaminate, html_main, langid, mixing, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -97,3 +97,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_main")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
