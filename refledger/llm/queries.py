@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.llm import decontaminate, html_main, langid, mixing, topk
+from refledger.llm import decontaminate, html_main, langid, mixing, quality, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -103,3 +103,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
