@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.llm import decontaminate, html_main, langid, mixing, quality, topk
+from refledger.llm import decontaminate, html_main, jaccard, langid, mixing, quality, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -108,3 +108,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SETS_SQL = r"""
+docs AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (
+  SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT r, doc_id, count(*) AS n FROM sh GROUP BY ALL)"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE {SETS_SQL},
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+walk AS (SELECT r AS x, r AS y FROM docs UNION SELECT w.x, l.y FROM walk w JOIN links l ON w.y = l.x)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(t.doc_id) AS component_id, count(*)::BIGINT AS members
+FROM docs d LEFT JOIN sizes s ON s.r = d.r JOIN walk w ON w.x = d.r JOIN docs t ON t.r = w.y GROUP BY d.r, d.doc_id"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
