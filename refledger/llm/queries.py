@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, html_main, jaccard, langid, mixing, quality, topk
+from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, mixing, quality, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -129,3 +130,33 @@ FROM docs d LEFT JOIN sizes s ON s.r = d.r JOIN walk w ON w.x = d.r JOIN docs t
 @query("op3_jaccard_join", JACCARD_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ln AS (SELECT r, doc_id, i - 1 AS no, raw, regexp_extract_all(
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM docs WHERE text <> '')),
+keyed AS (SELECT *, array_to_string(ws, ' ') AS s, len(ws) AS n FROM ln),
+lines AS (SELECT s, any_value(ws) AS ws, any_value(n) AS n, min((doc_id, no)) AS pos FROM keyed WHERE n > 0 GROUP BY s),
+vars AS (SELECT s, n, pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM lines WHERE n >= 8)),
+near AS (SELECT DISTINCT a.s FROM vars a JOIN vars b ON a.v = b.v AND a.i = b.i AND a.n = b.n WHERE b.pos < a.pos
+  UNION SELECT a.s FROM vars a JOIN lines b ON a.v = b.s AND b.n >= 8 WHERE b.pos < a.pos
+  UNION SELECT b.s FROM vars a JOIN lines b ON a.v = b.s AND b.n >= 8 WHERE a.pos < b.pos),
+marked AS (SELECT k.r, k.no, k.raw, k.n > 0 AND (m.s IS NOT NULL OR l.pos < (k.doc_id, k.no)) AS gone
+  FROM keyed k LEFT JOIN lines l ON k.s = l.s AND k.n > 0 LEFT JOIN near m ON k.s = m.s AND k.n > 0),
+per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '') AS kept FROM marked GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+  length(coalesce(kept, ''))::BIGINT AS n_kept, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN per USING (r)"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.coalesce("text", F.lit(""))
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.length(kept).cast("long").alias("n_kept"),
+        F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
