@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -135,3 +137,39 @@ def range_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def crc32_text(value: object) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder for files of ours beside the checkpoints: in ``spark.checkpoint.dir``, which all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
+        root = tempfile.mkdtemp(prefix="refledger-files-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bits of the filter of ``sifted``: 2048 rows of 4 KB, whatever the number of keys.
+SIFT_BITS = 1 << 26
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``wanted``: a bitmap of hashed keys, small enough to broadcast,
+    keeps most other rows (and their texts) out of the exact join that follows."""
+    def place(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(SIFT_BITS)) + 1
+
+    bits = wanted.select(place(wanted_key).alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    rows = df.withColumn("__p", place(key)).withColumn("__b", F.bitmap_bucket_number("__p")).withColumn(
+        "__at", F.bitmap_bit_position("__p"))
+    joined = rows.join(F.broadcast(bits), F.col("__b") == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1
+    return joined.filter(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def hash_share(key: Column, share: float) -> Column:
+    """True for the given share of keys, those with the smallest hashes."""
+    cut = min(int(min(1.0, max(0.0, share)) * 2**64), 2**64 - 1) - 2**63
+    return F.xxhash64(key) <= F.lit(cut)

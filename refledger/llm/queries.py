@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, mixing, quality, topk
+from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, mixing, quality, token_file, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -160,3 +161,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.length(kept).cast("long").alias("n_kept"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_token_file")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_digest(table(spark, sf_dir, "documents"), TOKENIZER)
