@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refledger.functions.shipping import ship_by_value
-from refledger.llm.common import BASE, arrow_map, mixed, no_null_text, only, pieces, range_hashes, split_words
+from refledger.llm.common import BASE, arrow_map, mixed, no_null_text, only, pieces, range_hashes, sifted, split_words
 from refledger.llm.components import components
 from refledger.session import cut_lineage
 
@@ -41,7 +41,7 @@ WORDS = 5
 #: Similarity as a fraction; sizes of an overlap follow from NUM / DEN in whole numbers.
 NUM, DEN = 3, 4
 #: Counters of the frequency sketch, counters per row of it, and the count from which a shingle is frequent.
-SKETCH_BITS, SLAB, FREQUENT = 23, 1 << 13, 4096
+SKETCH_BITS, SLAB, FREQUENT = 22, 1 << 13, 4096
 
 
 def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,8 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each bucket of shingle hashes, in how many documents its shingles occur (saturating at 65535).
+    """For each bucket of shingle hashes, in how many documents its shingles occur (saturating at 65535, and
+    at 255 within a task).
 
     Tasks add up their own buckets and emit slabs of counters; slabs are added by a streaming sum.  The result
     has a fixed size, whatever the corpus.
@@ -90,14 +91,15 @@ def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nda
             for lo in range(0, len(slabs), 64):
                 part = slabs[lo:lo + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(lo, lo + len(part))), pa.array([s.tobytes() for s in part], pa.binary())],
+                    [pa.array(np.arange(lo, lo + len(part))),
+                     pa.array([np.minimum(s, 255).astype(np.uint8).tobytes() for s in part], pa.binary())],
                     names=["slab", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slab, raw in zip(batch["slab"].to_pylist(), batch["counts"].to_pylist()):
-                part = np.frombuffer(raw, np.uint16).astype(np.uint32)
+                part = np.frombuffer(raw, np.uint8).astype(np.uint32)
                 sums[slab] = sums[slab] + part if slab in sums else part
         for slab, total in sums.items():
             yield pa.RecordBatch.from_arrays(
@@ -114,8 +116,8 @@ def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nda
 
 
 def prefixed(docs: DataFrame, n: int, sketch: np.ndarray, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, size, node (hash of the set), grp (hash of size and prefix), prefix (shingles in global order),
-    frequent (their sketch counts reach ``FREQUENT``)."""
+    """doc_id, size, node (hash of the set), grp (hash of size and prefix), prefix (shingles in global order), n_rare
+    (the shingles of the prefix before the first whose sketch count reaches ``FREQUENT``)."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -141,12 +143,12 @@ def prefixed(docs: DataFrame, n: int, sketch: np.ndarray, bits: int = SKETCH_BIT
         return pa.RecordBatch.from_arrays([
             batch["doc_id"], pa.array(size.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(grp.view(np.int64)),
             pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(count >= FREQUENT))],
-            names=["doc_id", "size", "node", "grp", "prefix", "frequent"])
+            pa.array(np.bincount(row[keep], count < FREQUENT, rows).astype(np.int64))],
+            names=["doc_id", "size", "node", "grp", "prefix", "n_rare"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return arrow_map(only(docs, "doc_id", "text"), build,
-                     f"doc_id {kind}, size long, node long, grp long, prefix array<long>, frequent array<boolean>", rows=2048)
+                     f"doc_id {kind}, size long, node long, grp long, prefix array<long>, n_rare long", rows=2048)
 
 
 MARK = 0xD6E8FEB86659FD93
@@ -168,8 +170,8 @@ def postings(groups: DataFrame) -> DataFrame:
 
     The representative of a token is the group in which it stands earliest.
     """
-    each = groups.select("grp", "size", F.posexplode(F.arrays_zip("prefix", "frequent")).alias("pos", "x")).select(
-        F.col("x.prefix").alias("token"), "grp", "size", F.col("pos").cast("long").alias("pos"), F.col("x.frequent").alias("frequent"))
+    each = groups.select("grp", "size", "n_rare", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "grp", "size", F.col("pos").cast("long").alias("pos"), (F.col("pos") >= F.col("n_rare")).alias("frequent"))
     first = F.struct("pos", "size", "grp")
     w = Window.partitionBy("token")  # at most FREQUENT rows share a token here
     rare = each.filter("NOT frequent").withColumn("__n", F.count("*").over(w)).filter("__n > 1").withColumn(
@@ -208,9 +210,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies of every row."""
-    rows = cut_lineage(prefixed(docs, n, frequency_sketch(docs, n)))
+    # the prefixes are made again for the groups: a second pass over the texts costs less than keeping them for all rows
+    made = prefixed(docs, n, frequency_sketch(docs, n))
+    rows = cut_lineage(made.select("doc_id", "size", "node", "grp"))
     real = rows.filter("size > 0")
-    groups = real.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "frequent")])
+    groups = made.filter("size > 0").groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "n_rare")])
     nodes = cut_lineage(real.groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"),
                                                  F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("members"))
@@ -228,14 +232,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     inside = heads.filter("members > 1").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     pairs = cut_lineage(expanded(stars.unionByName(inside)).filter("a <> b"))
 
-    # a text for every node that was ever a candidate: only these documents' texts are shuffled
-    shared = posts.select("grp").unionByName(inside.select(F.col("g").alias("grp"))).distinct()
-    wanted = nodes.join(shared, "grp", "left_semi").select("node", F.col("doc_id").alias("__d"))
-    keyed = real.select("node", F.col("doc_id").alias("__d")).join(wanted, ["node", "__d"], "left_semi").distinct()
-    texts = only(docs, "doc_id", "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("__d")))
-    texts = texts_of_nodes(texts, n)
-
-    links = cut_lineage(verified(pairs, texts, n))
+    links = cut_lineage(verified(pairs, texts_of_nodes(docs, nodes, pairs, n), n))
     first = cut_lineage(components(links))
 
     root = first.select(F.col("node").alias("__n"), F.col("root"))
@@ -261,7 +258,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     rest = open_groups.join(one, F.col("g") == F.col("__g")).join(two, F.col("h") == F.col("__h")).filter(
         (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("b"))).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut_lineage(verified(cut_lineage(rest), texts, n))
+    rest = cut_lineage(rest)
+    more = cut_lineage(verified(rest, texts_of_nodes(docs, nodes, rest, n), n))
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -275,8 +273,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
                         F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 
-def texts_of_nodes(texts: DataFrame, n: int) -> DataFrame:
-    """(node, text), one text per node; the node is computed from the text again, as an id may have several."""
+def texts_of_nodes(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(node, text) of the nodes in ``pairs``, one text per node.  The node is computed from the text again, as an
+    id may have several texts."""
+    wanted = pairs.select(F.col("a").alias("__n")).unionByName(pairs.select(F.col("b").alias("__n"))).distinct()
+    keyed = cut_lineage(nodes.join(wanted, F.col("node") == F.col("__n")).select("node", F.col("doc_id").alias("__d")))
+    ids = keyed.select(F.coalesce(F.col("__d").cast("string"), F.lit("")).alias("__k"))
+    rows = only(docs, "doc_id", "text").withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    texts = sifted(rows, F.col("__key"), ids, F.col("__k")).drop("__key")
+
     def name(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
         row, h = shingles(batch["text"], n)
@@ -287,7 +292,8 @@ def texts_of_nodes(texts: DataFrame, n: int) -> DataFrame:
             node = mixed(total[ends] - total[ends - size] + size.astype(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch["text"]], names=["node", "text"])
 
-    return cut_lineage(arrow_map(texts.select("text"), name, "node long, text string").dropDuplicates(["node"]))
+    found = arrow_map(texts.select("text"), name, "node long, text string")
+    return cut_lineage(found.join(keyed.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi").dropDuplicates(["node"]))
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
