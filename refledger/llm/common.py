@@ -50,7 +50,7 @@ def in_part(doc_id: Column, modulus: int, remainder: int) -> Column:
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               rows: int | None = None) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch.  ``rows`` bounds the rows handled at once;
-    batches are also cut where their texts pass 16 MB, so memory does not depend on text lengths."""
+    batches are also cut where their texts pass 3 MB, so memory does not depend on text lengths."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, rows or 4096):
@@ -59,7 +59,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, rows: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``most`` bytes (a single longer row stays whole)."""
     start = 0
     while start < batch.num_rows:
@@ -125,14 +125,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class Hasher:
+    """64-bit hashes of byte ranges of ``data``: prefix sums of byte * BASE**position, shifted back to a range's start."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=self.sums[1:])
+        self.back = powers(BASE_INVERSE, len(data) + 1)
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        h = (self.sums[hi] - self.sums[lo]) * self.back[lo]
+        return mixed(h + np.uint64(BASE) * (hi - lo).astype(np.uint64))
+
+
 def range_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: prefix sums of byte * BASE**position, shifted back to the range's start."""
-    if not len(bounds):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    h = (sums[bounds[:, 1]] - sums[bounds[:, 0]]) * powers(BASE_INVERSE, len(data))[bounds[:, 0]]
-    return mixed(h + np.uint64(BASE) * (bounds[:, 1] - bounds[:, 0]).astype(np.uint64))
+    """64-bit hash of each byte range (range, 2)."""
+    return Hasher(data)(bounds[:, 0], bounds[:, 1]) if len(bounds) else np.zeros(0, np.uint64)
 
 
 def crc32_text(value: object) -> int:

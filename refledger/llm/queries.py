@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, mixing, quality, token_file, topk
+from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, lm, mixing, quality, token_file, topk
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -169,3 +169,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 @query("op7_token_file")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digest(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
