@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refledger.functions.shipping import ship_by_value
-from refledger.llm.common import arrow_map, no_null_text, only, range_hashes, split_words
+from refledger.llm.common import arrow_map, hash_share, no_null_text, only, range_hashes, split_words
 
 ship_by_value(__name__)
 
@@ -97,8 +97,10 @@ def read(column: pa.Array) -> Texts:
     word_hash, first, same = np.unique(hashes, return_index=True, return_inverse=True)
     pairs = np.unique(row_of * max(1, len(word_hash)) + same)
     pair_row, pair_word = pairs // max(1, len(word_hash)), pairs % max(1, len(word_hash))
-    follow = np.unique(np.stack([row_of[1:], same[:-1] * len(word_hash) + same[1:]]), axis=1) if len(same) > 1 else np.zeros((2, 0), int)
-    inside = np.bincount(follow[0].astype(int), minlength=rows)
+    # distinct (row, word, next word); a batch is small enough for the product to fit 63 bits
+    square = len(word_hash) ** 2
+    follow = np.unique(row_of[1:] * square + same[:-1] * len(word_hash) + same[1:])
+    inside = np.bincount(follow // max(1, square), minlength=rows)
     distinct = np.bincount(pair_row, minlength=rows)
     enough = counts >= 30
     measures = np.stack([
@@ -156,7 +158,7 @@ def row_features(t: Texts, rows: int) -> list[np.ndarray]:
     words = slots(t)
     cut = np.searchsorted(t.pair_row, np.arange(rows + 1))
     bins = bin_slots(t)
-    return [np.concatenate([np.unique(words[t.pair_word[a:b]]), bins[i]]).astype(np.int32)
+    return [np.concatenate([words[t.pair_word[a:b]].reshape(-1), bins[i]]).astype(np.int32)
             for i, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
 
 
@@ -202,7 +204,7 @@ def shared_terms(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     yes, no = np.zeros(WIDTH), np.zeros(WIDTH)
     for f, x in zip(features, toxic):
         if x >= 0:
-            words = f[f < (1 << BITS)]
+            words = np.unique(f[f < (1 << BITS)])
             yes[words] += x
             no[words] += 1 - x
     n_yes, n_no = max(1.0, toxic[toxic >= 0].sum()), max(1.0, (1 - toxic[toxic >= 0]).sum())
@@ -263,12 +265,24 @@ class Scorer:
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int, annotated: int) -> pa.Table:
     """Features, votes and annotation of the sample (bounded; the only rows that reach the driver)."""
-    notes = only(labels, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(
-        F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "__d")
-    rows = only(docs, "doc_id", "text").join(notes, F.col("doc_id") == F.col("__d"), "left")
+    # both sides are cut by the hash of the id before they meet, so only about the sample's texts are moved
+    texts = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+    notes = only(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL")
+    n_docs, n_notes = max(1, texts.count()), max(1, notes.select("doc_id").distinct().count())
+    share_noted = 1.2 * annotated / n_notes
+    share_rest = 1.2 * (sample - annotated) / max(1, n_docs - n_notes, n_docs // 10)
+
+    def within(share: float) -> tuple[DataFrame, DataFrame]:
+        near = notes.filter(hash_share(F.col("doc_id"), share)).groupBy(F.col("doc_id").alias("__d")).agg(
+            F.max("toxic").alias("toxic"))
+        return texts.filter(hash_share(F.col("doc_id"), share)), near
+
     order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
-    noted = rows.filter("toxic IS NOT NULL").orderBy(*order).limit(annotated)
-    rest = rows.filter("toxic IS NULL").orderBy(*order).limit(sample - annotated)
+    rows, near = within(share_noted)
+    noted = rows.join(near, F.col("doc_id") == F.col("__d")).filter("toxic IS NOT NULL").orderBy(*order).limit(annotated)
+    rows, near = within(share_rest)
+    rest = rows.join(near, F.col("doc_id") == F.col("__d"), "left").filter("toxic IS NULL").orderBy(*order).limit(
+        sample - annotated)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = read(batch["text"])
@@ -332,12 +346,11 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
         t = read(batch["text"])
         z = np.zeros((rows, 2))
         if known is not None and rows:
-            words, cut = slots(t), np.searchsorted(t.pair_row, np.arange(rows + 1))
-            bins = bin_slots(t)
-            for i in range(rows):  # a slot counts once in a document
-                mine = np.concatenate([np.unique(words[t.pair_word[cut[i]:cut[i + 1]]]), bins[i]])
-                z[i] = known.weights[mine].sum(0)
-            z += known.bias
+            # each distinct word brings its slots once
+            of_word = known.weights[slots(t)].sum(1)
+            z = known.weights[bin_slots(t)].sum(1) + known.bias
+            for head in (0, 1):
+                z[:, head] += np.bincount(t.pair_row, of_word[t.pair_word, head], rows)
         p = np.where((t.n_words > 0)[:, None], 1 / (1 + np.exp(-np.clip(z, -500, 500))), [[1.0, 0.0]])
         more = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p <= 0.5).all(1))]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "p_low", "p_toxic", "accepted"])
