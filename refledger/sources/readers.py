@@ -99,11 +99,14 @@ def ingest_bibtex(spark: SparkSession, path: str, split_entries: bool = False) -
     large for a row."""
     if split_entries:
         raw = spark.read.option("lineSep", "\n@").option("pathGlobFilter", "*.bib").text(path)
-        # file offsets keep the order of the records of a file
-        texts = raw.select(F.input_file_name().alias("path"), F.concat(F.lit("@"), F.regexp_replace(
-            "value", r"^\s*@", "")).alias("text"), F.col("_metadata.file_block_start").alias("block"))
-        parts = parse_bibtex(texts.drop("block"))
-        parts = parts.withColumn("pos", F.monotonically_increasing_id())
+        # a record takes more than one byte, so block start plus place in the block keeps the order of a file
+        read = raw.select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.concat(
+            F.lit("@"), F.regexp_replace("value", r"^\s*@", "")).alias("text"), F.monotonically_increasing_id().alias("id"))
+        block = Window.partitionBy("path", "block").orderBy("id")
+        placed = read.withColumn("at", F.col("block") + F.row_number().over(block)).select(
+            F.concat_ws("\n", "path", "at").alias("path"), "text")
+        parts = parse_bibtex(placed).withColumns({
+            "pos": F.substring_index("path", "\n", -1).cast("bigint"), "path": F.substring_index("path", "\n", 1)})
     else:
         parts = parse_bibtex(read_texts(spark, path, "*.bib"))
     return number_parts(_lift(parts))
