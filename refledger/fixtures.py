@@ -77,7 +77,7 @@ FROM conversations
 
 VIEWS["fx_docs_marked"] = """
 SELECT doc_id, CAST(floor(doc_id / 25.0) AS BIGINT) AS list_id,
-  concat(substr(text, 1, 300), ' [', CAST(1 + doc_id % 30 AS STRING), ']. See [', CAST(1 + doc_id % 5 AS STRING), '-', CAST(3 + doc_id % 5 AS STRING), '].') AS text FROM documents
+  concat(text, ' [', CAST(1 + doc_id % 30 AS STRING), ']. See [', CAST(1 + doc_id % 5 AS STRING), '-', CAST(3 + doc_id % 5 AS STRING), '].') AS text FROM documents
 """
 
 VIEWS["fx_labels"] = """

@@ -77,7 +77,7 @@ def sentence_markers(sentence: Column) -> Column:
     def range_marker(m):
         lo = F.regexp_extract(m, r"\[(\d{1,3})\s*-\s*(\d{1,3})\]", 1).cast("int")
         hi = F.regexp_extract(m, r"\[(\d{1,3})\s*-\s*(\d{1,3})\]", 2).cast("int")
-        ok = (lo >= 1) & (lo <= hi) & (hi - lo <= 20)
+        ok = (lo >= 1) & (lo <= hi)
         return marker(m, "numeric", F.when(ok, F.sequence(F.when(ok, lo), F.when(ok, hi))))
 
     def list_marker(m):
@@ -99,7 +99,7 @@ def sentence_markers(sentence: Column) -> Column:
     return F.concat(
         numeric,
         F.transform(found(fv.CITE_AUTHOR_YEAR), author_marker),
-        F.transform(found(r"https?://(?:dx\.)?doi\.org/10\.[^\s)\]}]+"), doi_marker),
+        F.transform(found(fv.CITE_DOI), doi_marker),
     )
 
 

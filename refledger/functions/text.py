@@ -61,8 +61,8 @@ def clean_title(c: Column) -> Column:
         "$1",
     )
     t = F.regexp_replace(t, r"[.。]\s*(?:19|20)\d{2}.*$", "")
-    t = F.substring(strip(t), 1, 200)
-    return F.when(t != "", t).otherwise(F.substring(raw, 1, 200))
+    t = strip(t)
+    return F.when(t != "", t).otherwise(raw)
 
 
 def token_set(c: Column) -> Column:
@@ -168,6 +168,6 @@ def bib_safe(c: Column) -> Column:
     return F.translate(F.translate(s, "\r\n", "  "), "{}", "")
 
 
-def md_cell(c: Column, limit: int = 90) -> Column:
+def md_cell(c: Column) -> Column:
     s = F.translate(F.coalesce(c.cast("string"), F.lit("")), "\r\n", "  ")
-    return F.substring(F.replace(s, F.lit("|"), F.lit("\\|")), 1, limit)
+    return F.replace(s, F.lit("|"), F.lit("\\|"))

@@ -17,7 +17,7 @@ KINDS = ["url", "doi", "pmid"]
 
 def duplicate_keys(refs: DataFrame) -> DataFrame:
     """list_id, ref_id, kind, key: identifier plus title fingerprint; null titles form no key."""
-    sig = F.substring(tx.title_key(F.col("title")), 1, 120)
+    sig = tx.title_key(F.col("title"))
     bar = F.lit("|")
 
     def keyed(value):
@@ -157,8 +157,7 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select("list_id", "ka", "kb").distinct()
 
 
-def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE, small_list: int = 256,
-                small_group: int = 64) -> DataFrame:
+def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
     """Same title under different DOIs, or one DOI under different titles, within a list.
 
     list_id, a, b, kind, sim with a < b.  Works on *variants* (distinct DOI and title key per list,
@@ -166,10 +165,9 @@ def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE, small_list:
 
     * ``clone_doi``, equal titles: every variant is linked to the title's first variant.  Equality
       is transitive, so the links carry the whole group without its square.
-    * ``clone_doi``, near titles (0.92): candidates come from a bounded comparison inside lists of at
-      most ``small_list`` titles, and from shared segments in larger ones; both lose nothing.
-    * ``clone_title``: the variants of a DOI are compared pairwise up to ``small_group`` titles;
-      beyond that each is compared with the first.
+    * ``clone_doi``, near titles (0.92): candidates come from shared segments, which lose nothing.
+    * ``clone_title``: every pair of different titles of one DOI within the length gap is a finding of its own,
+      so the output is as large as the findings are many.
     """
     key = tx.title_key(F.coalesce(F.col("title"), F.lit("")))
     variants = (
@@ -187,22 +185,13 @@ def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE, small_list:
     second = with_lead.filter("doi <> lead_doi").groupBy("list_id", "title_key").agg(
         F.min("first_ref").alias("other_ref"))
     nodes = lead.join(second, ["list_id", "title_key"], "left")
-    near = _near_titles(nodes, model, small_list)
-    titles = _different_titles(variants, model, small_group)
+    near = _near_titles(nodes, model)
+    titles = _different_titles(variants, model)
     return equal.unionByName(near).unionByName(titles)
 
 
-def _near_titles(nodes: DataFrame, model: SimilarityModel, small_list: int) -> DataFrame:
-    sizes = nodes.groupBy("list_id").agg(F.count("*").alias("n_titles"))
-    sized = nodes.join(sizes, "list_id")
-    small = sized.filter(F.col("n_titles") <= small_list)
-    large = sized.filter(F.col("n_titles") > small_list)
-    left = small.select("list_id", F.col("title_key").alias("ka"))
-    right = small.select("list_id", F.col("title_key").alias("kb"))
-    inside = left.join(right, "list_id").filter(
-        (F.length("ka") < F.length("kb")) | ((F.length("ka") == F.length("kb")) & (F.col("ka") < F.col("kb"))))
-    inside = inside.filter(length_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE)
-    cand = inside.select("list_id", "ka", "kb").unionByName(_near_candidates(large))
+def _near_titles(nodes: DataFrame, model: SimilarityModel) -> DataFrame:
+    cand = _near_candidates(nodes)
     cand = cand.filter(length_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE).filter(
         bag_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE)
 
@@ -226,20 +215,12 @@ def _near_titles(nodes: DataFrame, model: SimilarityModel, small_list: int) -> D
         F.lit("clone_doi").alias("kind"), F.round("sim", 2).alias("sim"))
 
 
-def _different_titles(variants: DataFrame, model: SimilarityModel, small_group: int) -> DataFrame:
-    groups = variants.groupBy("list_id", "doi").agg(
-        F.count("*").alias("n"), F.min(F.struct("first_ref", "title_key")).alias("lead")).filter("n > 1")
-    v = variants.join(groups, ["list_id", "doi"])
-    small = v.filter(F.col("n") <= small_group)
-    pairs = small.select("list_id", "doi", F.col("first_ref").alias("a"), F.col("title_key").alias("ka")).join(
-        small.select("list_id", "doi", F.col("first_ref").alias("b"), F.col("title_key").alias("kb")),
-        ["list_id", "doi"]).filter("a < b")
-    star = v.filter(F.col("n") > small_group).filter("first_ref <> lead.first_ref").select(
-        "list_id", "doi", F.col("lead.first_ref").alias("a"), F.col("lead.title_key").alias("ka"),
-        F.col("first_ref").alias("b"), F.col("title_key").alias("kb"))
-    every = pairs.unionByName(star)
+def _different_titles(variants: DataFrame, model: SimilarityModel) -> DataFrame:
+    a = variants.select("list_id", "doi", F.col("first_ref").alias("a"), F.col("title_key").alias("ka"))
+    b = variants.select("list_id", "doi", F.col("first_ref").alias("b"), F.col("title_key").alias("kb"))
     la, lb = F.length("ka"), F.length("kb")
-    every = every.filter(F.abs(la - lb) <= F.greatest(la, lb) * fv.CLONE_LENGTH_GAP)
+    every = a.join(b, ["list_id", "doi"]).filter(
+        (F.col("a") < F.col("b")) & (F.abs(la - lb) <= F.greatest(la, lb) * fv.CLONE_LENGTH_GAP))
     scored = every.withColumn("sim", model.plain(F.col("ka"), F.col("kb"))).filter(F.col("sim") < fv.SIM_CLONE)
     return scored.select("list_id", "a", "b", F.lit("clone_title").alias("kind"), F.round("sim", 2).alias("sim"))
 

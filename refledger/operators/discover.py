@@ -21,8 +21,8 @@ def discover(pubmed: DataFrame, openalex: DataFrame, topic: str, limit: int = 10
              since: int | None = None, journal_only: bool = False) -> DataFrame:
     """Top rows of both sources by relevance, citations or year, merged into one candidate list.
 
-    ``limit`` (1 to 25 per source) is the size of the requested result page."""
-    limit = max(1, min(int(limit or 10), 25))
+    ``limit`` (per source) is the size of the requested result page."""
+    limit = max(1, int(limit or 10))
     sort = sort if sort in ("relevance", "cited", "newest") else "relevance"
     p = pubmed.filter("lookup_status = 'hit'").select(
         F.lit(0).alias("source_rank"), F.col("pmid"), F.col("doi"), "title", F.col("ta").alias("source"), "year",
@@ -59,7 +59,7 @@ def merge_sources(candidates: DataFrame, sort: str = "relevance") -> DataFrame:
     stays a row of its own.
     """
     title = tx.squeeze(F.coalesce("title", F.lit("")))
-    short = F.substring(tx.name_key(title), 1, 60)
+    short = tx.name_key(title)
     doi = F.trim(F.regexp_replace(F.coalesce("doi", F.lit("")), r"^https://doi\.org/", ""))
     pmid = F.trim(F.coalesce("pmid", F.lit("")))
     key = F.when(doi != "", F.concat(F.lit("doi:"), F.lower(doi))).when(

@@ -18,9 +18,9 @@ def extract_mentions(documents: DataFrame) -> DataFrame:
     body = ct.body_before_references(F.col("text"))
     sent = documents.select("doc_id", "list_id", F.posexplode(ct.sentences(body)).alias("sent", "sentence"))
     # the cheap test keeps sentences without any marker out of the marker extraction
-    likely = F.col("sentence").rlike(r"[\[(]|doi\.org/")
+    likely = F.col("sentence").rlike(r"(?i)[\[(]|doi\.org/")
     rows = sent.filter(likely).select("*", F.posexplode(ct.sentence_markers(F.col("sentence"))).alias("pos", "m"))
-    return rows.select("doc_id", "list_id", "sent", "pos", F.substring("sentence", 1, 400).alias("sentence"), "m.*")
+    return rows.select("doc_id", "list_id", "sent", "pos", "sentence", "m.*")
 
 
 def mention_targets(mentions: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def citation_usage(citations: DataFrame, key: str = "cited_doi", samples: int =
 def citation_samples(citations: DataFrame, key: str = "cited_doi", samples: int = 3) -> DataFrame:
     """The sampled contexts themselves."""
     first = top_k(citations.filter(F.coalesce("context", F.lit("")) != ""), [key], [F.col("edge_pos")], samples)
-    return first.select(key, "rank", "edge_pos", F.substring("context", 1, 220).alias("context"), "influential")
+    return first.select(key, "rank", "edge_pos", "context", "influential")
 
 
 def context_divergence(citations: DataFrame, key: str = "cited_doi", samples: int = 3,
@@ -168,5 +168,5 @@ def context_divergence(citations: DataFrame, key: str = "cited_doi", samples: in
     """Advisory: at least half of the sampled contexts contrast with or question the work."""
     first = top_k(citations.filter(F.coalesce("context", F.lit("")) != ""), [key], [F.col("edge_pos")], samples)
     per = first.groupBy(key).agg(
-        F.count("*").alias("n_samples"), F.count_if(F.substring("context", 1, 220).rlike(pattern)).alias("n_contrast"))
+        F.count("*").alias("n_samples"), F.count_if(F.col("context").rlike(pattern)).alias("n_contrast"))
     return per.withColumn("divergent", (F.col("n_contrast") > 0) & (F.col("n_contrast") * 2 >= F.col("n_samples")))

@@ -157,13 +157,13 @@ def match_doi(refs: DataFrame, works: DataFrame, model: SimilarityModel = SEQUEN
         "doi_adjust": adjust,
         "doi_fidelity": F.when(hit, fidelity),
         "doi_year_gap": F.coalesce(recorded(F.abs(year - F.col("__w_year")) >= 2), F.lit(False)),
-        "csl_title": recorded(F.substring(F.col("__w_title"), 1, 300)),
+        "csl_title": recorded(F.col("__w_title")),
         "csl_authors": recorded(pj.gbt_authors(F.col("__w_authors"))),
-        "csl_container": recorded(F.substring(F.col("__w_container"), 1, 200)),
+        "csl_container": recorded(F.col("__w_container")),
         "csl_year": recorded(F.col("__w_year")),
-        "csl_volume": recorded(F.substring(F.col("__w_volume"), 1, 32)),
-        "csl_issue": recorded(F.substring(F.col("__w_issue"), 1, 32)),
-        "csl_page": recorded(F.substring(F.col("__w_page"), 1, 64)),
+        "csl_volume": recorded(F.col("__w_volume")),
+        "csl_issue": recorded(F.col("__w_issue")),
+        "csl_page": recorded(F.col("__w_page")),
     }).drop("__w_status", "__w_title", "__w_original", "__w_url", "__w_container", "__w_year",
             "__w_volume", "__w_issue", "__w_page", "__w_authors")
 
@@ -383,7 +383,7 @@ def build_retraction_index(notices: DataFrame, order: str = "line_no") -> DataFr
     rows = notices.select(
         F.lower(F.trim("doi")).alias("doi"), stored.alias("nature"),
         (F.trim("date") if "date" in cols else F.lit(None).cast("string")).alias("date"),
-        (F.substring(F.trim("reason"), 1, 200) if "reason" in cols else F.lit(None).cast("string")).alias("reason"),
+        (F.trim("reason") if "reason" in cols else F.lit(None).cast("string")).alias("reason"),
         F.col(order).alias("__line")).filter(F.coalesce(F.col("doi"), F.lit("")) != "")
     priority = F.lit(1)
     for name, value in fv.NOTICE_PRIORITY.items():
@@ -410,8 +410,8 @@ def join_open_access(results: DataFrame, oa: DataFrame) -> DataFrame:
     table = oa.withColumn("__odoi", F.lower(F.col("doi")))
     return lookup(results, table, key, "__odoi", "ref_id", {
         "is_oa": F.col("is_oa"),
-        "oa_license": F.when(F.col("is_oa"), F.substring(F.coalesce("license", F.lit("")), 1, 24)),
-        "oa_url": F.when(F.col("is_oa"), F.substring(F.coalesce("oa_url", F.lit("")), 1, 160)),
+        "oa_license": F.when(F.col("is_oa"), F.coalesce("license", F.lit(""))),
+        "oa_url": F.when(F.col("is_oa"), F.coalesce("oa_url", F.lit(""))),
     })
 
 
@@ -449,7 +449,7 @@ def preprint_upgrades(results: DataFrame, s2_papers: DataFrame) -> DataFrame:
     papers = first_row_by(
         s2_papers.filter(_text(F.col("doi")) != "").select(
             ids.arxiv_base(F.col("arxiv_key")).alias("__key"), "paper_id", F.col("doi").alias("published_doi"),
-            F.substring(F.trim(F.coalesce("venue", F.lit(""))), 1, 60).alias("venue"),
+            F.trim(F.coalesce("venue", F.lit(""))).alias("venue"),
             F.col("year").alias("published_year")).filter("__key is not null"),
         ["__key"], [F.col("paper_id")]).drop("paper_id")
     wanted = results.filter(

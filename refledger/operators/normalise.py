@@ -136,7 +136,7 @@ def select_unresolved(results: DataFrame) -> DataFrame:
     """Seed rows of the next round: still open verdicts with at least one usable field."""
     fields = ["title", "url", "doi", "pmid", "arxiv", "source", "year"]
     kept = [F.nullif(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields]
-    note = F.substring(F.regexp_replace(F.coalesce(F.col("note"), F.lit("")), r"\s+", " "), 1, 120)
+    note = F.regexp_replace(F.coalesce(F.col("note"), F.lit("")), r"\s+", " ")
     out = results.filter(F.col("verdict").isin("partial", "unreachable", "unverified")).select(
         "list_id", "ref_id", *kept, note.alias("retry_reason"))
     return out.filter(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
@@ -257,7 +257,7 @@ def semantic_audit(refs: DataFrame) -> DataFrame:
     s = F.col("semantic")
     support = F.lower(tx.strip(F.coalesce(s["support"], F.lit(""))))
     known = support.isin(*fv.SUPPORT_VALUES)
-    odd = F.when(~known & (support != ""), F.concat(F.lit("unknown support: "), F.substring(support, 1, 30)))
+    odd = F.when(~known & (support != ""), F.concat(F.lit("unknown support: "), support))
     note = F.concat_ws("; ", odd, tx.blank_to_null(F.coalesce(s["note"], F.lit(""))))
     audit = F.struct(
         tx.strip(F.coalesce(s["claim"], F.lit(""))).alias("claim"),

@@ -89,7 +89,7 @@ def profile_bibliography(refs: DataFrame, as_of_year: int) -> DataFrame:
         "list_id", "n", F.when(enough, flags).otherwise(F.array().cast("array<string>")).alias("flags"),
         F.coalesce("n_serial", F.lit(0)).alias("n_serial"), "n_future", "year_min", "year_max", "year_mode",
         F.round(year_share, 2).alias("year_mode_share"),
-        F.when(F.col("n_sources") >= 8, F.substring("source_top", 1, 40)).alias("source_top"),
+        F.when(F.col("n_sources") >= 8, F.col("source_top")).alias("source_top"),
         F.when(F.col("n_sources") >= 8, F.round(source_share, 2)).alias("source_top_share"),
         "n_bare", F.round(bare_share, 2).alias("bare_share"))
 

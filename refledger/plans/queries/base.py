@@ -95,8 +95,8 @@ def clean_title_sql(x: str) -> str:
     t = f"regexp_replace({t}, '(?is)\\s+(?:doi|pmid|arxiv)\\s*[:：].*$', '')"
     t = (f"regexp_replace({t}, '(?:,|\\.\\s)\\s*(?:et al\\.?|and\\s+[A-Z][a-z]+)[^0-9]{{0,40}}(?:19|20)\\d{{2}}', '')")
     t = f"regexp_replace({t}, '[.。]\\s*(?:19|20)\\d{{2}}.*$', '')"
-    t = f"substr({strip_sql(t)}, 1, 200)"
-    return f"CASE WHEN {t} <> '' THEN {t} ELSE substr({raw}, 1, 200) END"
+    t = strip_sql(t)
+    return f"CASE WHEN {t} <> '' THEN {t} ELSE {raw} END"
 
 
 def tokens_sql(x: str) -> str:

@@ -346,7 +346,7 @@ def j13(spark, sf):
 
 
 @query("j14_preprint_upgrades", """
-WITH p AS (SELECT arxiv_key, doi AS published_doi, substr(venue, 1, 60) AS venue, year AS published_year, row_number() OVER (PARTITION BY arxiv_key ORDER BY paper_id) AS rn
+WITH p AS (SELECT arxiv_key, doi AS published_doi, venue, year AS published_year, row_number() OVER (PARTITION BY arxiv_key ORDER BY paper_id) AS rn
   FROM fx_s2 WHERE arxiv_key IS NOT NULL AND coalesce(doi, '') <> '')
 SELECT r.list_id, r.ref_id, r.arxiv AS arxiv_id, published_doi, p.venue, published_year FROM fx_results r JOIN p ON p.arxiv_key = r.arxiv AND p.rn = 1
 WHERE r.verdict = 'verified' AND r.doi IS NULL""")
@@ -430,7 +430,7 @@ def j22(spark, sf):
 
 _MERGE = """
 , r AS (SELECT source_rank, row_order, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, doi, pmid, coalesce(source, '') AS source, year, cited_by, src_type FROM cand),
-k AS (SELECT *, substr(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '', 'g'), 1, 60) AS t60 FROM r WHERE length(title) >= 15),
+k AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '', 'g') AS t60 FROM r WHERE length(title) >= 15),
 u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_rank, row_order) AS rn FROM (SELECT *, CASE WHEN doi IS NOT NULL THEN concat('doi:', lower(doi))
   WHEN pmid IS NOT NULL THEN concat('pmid:', pmid) WHEN t60 <> '' THEN concat('t:', t60) END AS key FROM k) WHERE key IS NOT NULL),
 v AS (SELECT *, row_number() OVER (PARTITION BY t60 ORDER BY source_rank, row_order) AS n, source_rank * 1000000000000 + row_order AS ord FROM u WHERE rn = 1),

@@ -14,7 +14,7 @@ from refledger.sources import exports
 # --- windows -------------------------------------------------------------------------------------------
 
 _KEYS = f"""
-WITH s AS (SELECT list_id, ref_id, substr({title_key_sql('title')}, 1, 120) AS sig, url, doi, pmid FROM fx_refs),
+WITH s AS (SELECT list_id, ref_id, {title_key_sql('title')} AS sig, url, doi, pmid FROM fx_refs),
 keys AS (SELECT * FROM (SELECT list_id, ref_id, 1 AS r, 'url' AS kind, concat({url_key_sql('url')}, '|', sig) AS key FROM s WHERE url IS NOT NULL AND sig <> ''
   UNION ALL SELECT list_id, ref_id, 2, 'doi', concat(lower(doi), '|', sig) FROM s WHERE doi IS NOT NULL AND sig <> ''
   UNION ALL SELECT list_id, ref_id, 3, 'pmid', concat(pmid, '|', sig) FROM s WHERE pmid IS NOT NULL AND sig <> ''))
@@ -173,7 +173,7 @@ def j17(spark, sf):
 def j17_corpus(spark, sf):
     """The whole corpus as one list: near titles by shared segments."""
     df = view(spark, sf, "fx_refs").withColumn("list_id", F.lit(0).cast("bigint"))
-    return dedupe.clone_pairs(df, small_list=0)
+    return dedupe.clone_pairs(df)
 
 
 @query("j17_clone_annotations", f"""SELECT list_id, ref_id, count(*) FILTER (WHERE kind = 'clone_doi') AS clone_doi_partners, count(*) FILTER (WHERE kind = 'clone_title') AS clone_title_partners
@@ -446,12 +446,12 @@ _WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({}),
 
 
 @query("a11_anchor_rate", f"""
-WITH p AS (SELECT r.ref_id, {_WORDS.format('r.title')} AS tw, {_WORDS.format('substr(d.text, 1, 400)')} AS sw FROM fx_refs r JOIN documents d ON d.doc_id = r.ref_id)
+WITH p AS (SELECT r.ref_id, {_WORDS.format('r.title')} AS tw, {_WORDS.format('d.text')} AS sw FROM fx_refs r JOIN documents d ON d.doc_id = r.ref_id)
 SELECT ref_id, round(CASE WHEN len(tw) = 0 THEN 0.0 ELSE len(list_filter(tw, lambda t: len(list_filter(sw, lambda s: s = t OR (least(length(s), length(t)) >= 5 AND (starts_with(s, t) OR starts_with(t, s))))) > 0)) / len(tw)::DOUBLE END, 6) AS rate FROM p""")
 def a11(spark, sf):
     from refledger.functions.citations import anchor_rate
 
-    d = view(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.substring("text", 1, 400).alias("s"))
+    d = view(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.col("text").alias("s"))
     return refs(spark, sf).select("ref_id", "title").join(d, "ref_id").select(
         "ref_id", F.round(anchor_rate(F.col("s"), F.col("title"), F.array().cast("array<string>")), 6).alias("rate"))
 
@@ -474,14 +474,14 @@ def a8(spark, sf):
     return document.citation_usage(_citations(spark, sf), "cited_id")
 
 
-@query("a8_citation_samples", _SAMPLED + "SELECT cited_id, rank, edge_pos, substr(context, 1, 220) AS context, influential FROM s")
+@query("a8_citation_samples", _SAMPLED + "SELECT cited_id, rank, edge_pos, context, influential FROM s")
 def a8_samples(spark, sf):
     return document.citation_samples(_citations(spark, sf), "cited_id")
 
 
 @query("a9_context_divergence", _SAMPLED + """
-SELECT cited_id, count(*) AS n_samples, count(*) FILTER (WHERE regexp_matches(substr(context, 1, 220), '(?i)(pas|nicht|ention|una)')) AS n_contrast,
-  count(*) FILTER (WHERE regexp_matches(substr(context, 1, 220), '(?i)(pas|nicht|ention|una)')) * 2 >= count(*) AND count(*) FILTER (WHERE regexp_matches(substr(context, 1, 220), '(?i)(pas|nicht|ention|una)')) > 0 AS divergent
+SELECT cited_id, count(*) AS n_samples, count(*) FILTER (WHERE regexp_matches(context, '(?i)(pas|nicht|ention|una)')) AS n_contrast,
+  count(*) FILTER (WHERE regexp_matches(context, '(?i)(pas|nicht|ention|una)')) * 2 >= count(*) AND count(*) FILTER (WHERE regexp_matches(context, '(?i)(pas|nicht|ention|una)')) > 0 AS divergent
 FROM s GROUP BY cited_id""")
 def a9(spark, sf):
     return document.context_divergence(_citations(spark, sf), "cited_id", pattern=r"(?i)(pas|nicht|ention|una)")

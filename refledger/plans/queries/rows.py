@@ -90,7 +90,7 @@ def p6(spark, sf):
 
 @query("p7_select_unresolved", """
 SELECT list_id, ref_id, title, url, doi, pmid, arxiv, source, CAST(year AS VARCHAR) AS year,
-  substr(regexp_replace(note, '\\s+', ' ', 'g'), 1, 120) AS retry_reason
+  regexp_replace(note, '\\s+', ' ', 'g') AS retry_reason
 FROM fx_results WHERE verdict IN ('partial', 'unreachable', 'unverified')""")
 def p7(spark, sf):
     return nz.select_unresolved(results(spark, sf))
@@ -325,7 +325,7 @@ def f20(spark, sf):
 @query("f21_safe_cells", """
 SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN concat('''', c) ELSE c END AS csv_cell,
   replace(replace(replace(replace(c, '{', ''), '}', ''), chr(10), ' '), chr(13), ' ') AS bib_value,
-  substr(replace(replace(replace(c, chr(10), ' '), chr(13), ' '), '|', chr(92) || '|'), 1, 90) AS md_value
+  replace(replace(replace(c, chr(10), ' '), chr(13), ' '), '|', chr(92) || '|') AS md_value
 FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('=', text) WHEN 1 THEN concat('@{', text, '}') ELSE text END AS c FROM documents)""")
 def f21(spark, sf):
     c = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("="), "text")).when(

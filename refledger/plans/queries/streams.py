@@ -105,7 +105,7 @@ _DEDUPE_KEY = f"""CASE WHEN sig <> '' THEN 'url|' || u || '|' || sig ELSE 'row|'
 
 @query("st3_dedupe_stream", f"""
 SELECT list_id, key AS dedupe_key, count(DISTINCT key) AS n FROM (SELECT list_id, {_DEDUPE_KEY} AS key FROM (
-  SELECT doc_id, doc_id // 250 AS list_id, substr({title_key_sql("trim(regexp_extract(replace(text, chr(10), ' '), '^ *([^.]{1,120})', 1))")}, 1, 120) AS sig,
+  SELECT doc_id, doc_id // 250 AS list_id, {title_key_sql("trim(regexp_extract(replace(text, chr(10), ' '), '^ *([^.]{1,120})', 1))")} AS sig,
     'https://example.org/' || CAST(doc_id % 3 AS VARCHAR) AS u FROM documents)) GROUP BY 1, 2""")
 def st3(spark, sf):
     s = stream_refs(spark, sf).withColumns({

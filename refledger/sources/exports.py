@@ -108,7 +108,7 @@ def ris_records(results: DataFrame) -> DataFrame:
     people = F.transform(_names(df), lambda a: F.concat(F.lit("AU  - "), a))
     tail = F.array_compact(F.array(
         _line(container != "", "JO  - ", container),
-        _line(_s("source") != "", "PB  - ", F.substring(_s("source"), 1, 200)),
+        _line(_s("source") != "", "PB  - ", _s("source")),
         _line(year != "", "PY  - ", year),
         _line(_s("csl_volume") != "", "VL  - ", _s("csl_volume")),
         _line(_s("csl_issue") != "", "IS  - ", _s("csl_issue")),

@@ -50,7 +50,7 @@ def parse_refs_json(texts: DataFrame) -> DataFrame:
     triples = F.from_json(F.col("r.triples"), "array<" + schemas.TRIPLE.simpleString() + ">")
     return _lift(out.select(
         "path", "pos", *[
-            (F.when(F.col("ok"), F.col("r.title")).otherwise(F.substring("item", 1, 48)).alias("title")
+            (F.when(F.col("ok"), F.col("r.title")).otherwise(F.col("item")).alias("title")
              if f == "title" else F.col(f"r.{f}").alias(f)) for f in schemas.CLAIM_FIELDS],
         semantic.alias("semantic"), triples.alias("triples"), (~F.col("ok")).alias("malformed")))
 

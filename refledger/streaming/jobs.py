@@ -118,7 +118,7 @@ def verdict_cache(rows: DataFrame, ttl_hours: float = fv.CACHE_TTL_HOURS, delay:
 
 def dedupe_key() -> Column:
     """First identifier (url, doi, pmid) with the title fingerprint; null without either."""
-    sig = F.substring(tx.title_key(F.coalesce("title", F.lit(""))), 1, 120)
+    sig = tx.title_key(F.coalesce("title", F.lit("")))
     ident = F.coalesce(
         F.concat(F.lit("url|"), ids.normalise_url(tx.blank_to_null(F.coalesce("url", F.lit(""))))),
         F.concat(F.lit("doi|"), F.lower(tx.blank_to_null(F.coalesce("doi", F.lit(""))))),
