@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refledger.functions.shipping import ship_by_value
-from refledger.llm.common import arrow_map, crc32_text, in_part, no_null_text, only, range_hashes, split_words
+from refledger.llm.common import arrow_map, crc32_text, hash_share, in_part, no_null_text, only, range_hashes, split_words
 
 ship_by_value(__name__)
 
@@ -188,7 +188,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, modulus: int = 4, remainder: in
     """
     rows = only(docs, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_part(F.col("doc_id"), modulus, remainder))
-    taken = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(sample).select("text", "lang").toArrow()
+    # cut by hash first: the sort that bounds the sample sees little more than the sample
+    near = rows.filter(hash_share(F.struct("doc_id", "text"), 1.2 * sample / max(1, rows.count())))
+    taken = near.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(sample).select("text", "lang").toArrow()
     if not taken.num_rows:
         return None
     data, bounds, counts = split_words(no_null_text(taken["text"].combine_chunks()))
