@@ -238,7 +238,8 @@ def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -
 
 def extract(pages: DataFrame, **options) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = site_templates(pages, **options).withColumnRenamed("host", "__h")
+    # written first, so that the join below has an exchange on either side and a host with most pages is split
+    templates = cut_lineage(site_templates(pages, **options)).withColumnRenamed("host", "__h")
     rows = only(pages, "page_id", "url", "html").withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
     joined = rows.join(templates, F.col("host") == F.col("__h"), "left").select("page_id", "url", "html", "templates")
     kinds = dict(pages.dtypes)
