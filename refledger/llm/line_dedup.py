@@ -176,12 +176,16 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` cut to the kept lines, n_lines, n_dropped."""
-    found = cut_lineage(occurrences(docs))
+    made = occurrences(docs)
+    found = cut_lineage(made.select("doc_id", "text_hash", "no", "line"))
     at = F.struct("doc_id", "text_hash", "no")
-    distinct = cut_lineage(found.groupBy("line").agg(
-        F.min(at).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    # the keys are made again from the texts rather than kept for every occurrence
+    distinct = cut_lineage(made.groupBy("line").agg(
+        F.min(at).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("times")))
     near = near_lines(docs, distinct).select(F.col("line").alias("__x"))
-    known = cut_lineage(distinct.join(near, F.col("line") == F.col("__x"), "left").select(
+    # a line that occurs once and has no earlier neighbour is never dropped
+    known = cut_lineage(distinct.join(near, F.col("line") == F.col("__x"), "left").filter(
+        (F.col("times") > 1) | F.col("__x").isNotNull()).select(
         F.col("line").alias("__l"), F.col("at").alias("__first"), F.col("__x").isNotNull().alias("__near")))
     gone = found.join(known, F.col("line") == F.col("__l")).filter(F.col("__near") | (F.col("__first") < at))
     per_text = gone.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(
