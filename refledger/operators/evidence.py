@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refledger import fixed_values as fv
 from refledger.functions import citations as ct
 from refledger.functions import identifiers as ids
-from refledger.operators.common import top_k
+from refledger.operators.common import number_rows, top_k
 
 
 def _tokens(c: Column) -> Column:
@@ -113,8 +113,9 @@ def claim_judgements(results: DataFrame, votes: DataFrame, prescreen: DataFrame
 
 
 def judge_routing(judgements: DataFrame) -> DataFrame:
-    """Order in which the expensive check should run: priority, then row."""
-    return judgements.orderBy(F.col("priority").desc(), F.col("ref_id"))
+    """Order in which the expensive check should run, as ``rank`` within the list: priority, then row."""
+    first = judgements.withColumn("__level", -F.col("priority"))
+    return number_rows(first, ["list_id"], "ref_id", "rank", rank="__level").drop("__level")
 
 
 def prescreen_notes(results: DataFrame, prescreen: DataFrame, judged: DataFrame, threshold: float = 0.95) -> DataFrame:

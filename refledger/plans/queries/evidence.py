@@ -95,7 +95,7 @@ def j24(spark, sf):
     return evidence.prescreen_notes(_judged(spark, sf), _screen(spark, sf), judged)
 
 
-@query("t4_judge_routing", _JUDGED + "SELECT list_id, ref_id, priority FROM k")
+@query("t4_judge_routing", _JUDGED + "SELECT list_id, ref_id, priority, row_number() OVER (PARTITION BY list_id ORDER BY priority DESC, ref_id) AS rank FROM k")
 def t4(spark, sf):
     j = evidence.claim_judgements(_judged(spark, sf), view(spark, sf, "fx_votes"), _screen(spark, sf))
-    return evidence.judge_routing(j).select("list_id", "ref_id", "priority")
+    return evidence.judge_routing(j).select("list_id", "ref_id", "priority", "rank")

@@ -202,12 +202,18 @@ def f3_f5(spark, sf):
                     ids.normalise_url(F.col("url")).alias("url_key"))
 
 
-@query("f8_script_family", """
-SELECT fam AS script, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '\\p{L}') THEN 'latin' ELSE 'none' END AS fam FROM documents
-  WHERE NOT regexp_matches(text, '[\\x{0370}-\\x{04FF}\\x{1100}-\\x{11FF}\\x{1F00}-\\x{1FFF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]')) GROUP BY fam""")
+#: Texts of other writing systems beside the documents' own; the script each one is of.
+_SCRIPTS = [("Журнал истории", "cyrillic"), ("深度学习方法", "han"), ("歴史のノート", "kana"), ("1984 - 2001", "none")]
+
+
+@query("f8_script_family", "SELECT doc_id, CASE doc_id % 5 " + " ".join(
+    f"WHEN {i} THEN {q(name)}" for i, (_, name) in enumerate(_SCRIPTS, 1)) + " ELSE 'latin' END AS script FROM documents WHERE regexp_matches(text, '\\p{L}')")
 def f8(spark, sf):
-    d = view(spark, sf, "documents")
-    return d.groupBy(tx.script_family(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+    d = view(spark, sf, "documents").filter(F.col("text").rlike(r"\p{L}"))
+    text = F.col("text")
+    for i, (sample, _) in enumerate(_SCRIPTS, 1):
+        text = F.when(F.col("doc_id") % 5 == i, F.lit(sample)).otherwise(text)
+    return d.select("doc_id", tx.script_family(text).alias("script"))
 
 
 @query("f9_seq_ratio")
@@ -242,7 +248,7 @@ _TA = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.CN_JOURNAL_TA.items())
 
 
 @query("f12_f14_journals", f"""
-WITH p AS (SELECT r.ref_id, r.source AS s, concat('Journal of ', w.container) AS c FROM fx_records r JOIN fx_csl w ON w.doi = r.doi),
+WITH p AS (SELECT r.ref_id, CASE WHEN r.ref_id % 3 = 0 THEN {q(next(iter(fv.CN_JOURNAL_TA)))} WHEN r.ref_id % 3 = 1 THEN {q(list(fv.CN_JOURNAL_TA)[3])} ELSE r.source END AS s, concat('Journal of ', w.container) AS c FROM fx_records r JOIN fx_csl w ON w.doi = r.doi),
 t AS (SELECT *, list_transform(regexp_extract_all(lower(s), '[a-z0-9]+|[一-鿿]'), lambda x: x[1]) AS si,
   list_transform(regexp_extract_all(lower(c), '[a-z0-9]+|[一-鿿]'), lambda x: x[1]) AS ci FROM p)
 SELECT ref_id, contains(regexp_replace(lower(c), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(s), '[^a-z0-9]+', '', 'g'))
@@ -250,7 +256,9 @@ SELECT ref_id, contains(regexp_replace(lower(c), '[^a-z0-9]+', '', 'g'), regexp_
     OR array_to_string(si, '') LIKE concat('%', array_to_string(ci, '%'), '%') AS same_journal,
   CASE s {_TA} ELSE s END AS ta FROM t""")
 def f12_f14(spark, sf):
-    r = refs(spark, sf).select("ref_id", "doi", "source")
+    names = list(fv.CN_JOURNAL_TA)
+    source = F.when(F.col("ref_id") % 3 == 0, F.lit(names[0])).when(F.col("ref_id") % 3 == 1, F.lit(names[3])).otherwise(F.col("source"))
+    r = refs(spark, sf).select("ref_id", "doi", source.alias("source"))
     w = view(spark, sf, "fx_csl").select("doi", F.concat(F.lit("Journal of "), F.col("container")).alias("c"))
     return r.join(w, "doi").select("ref_id", pj.journal_same(F.col("source"), F.col("c")).alias("same_journal"),
                                    pj.journal_ta(F.col("source")).alias("ta"))
