@@ -27,15 +27,15 @@ def _shared_ids(spark, sf):
     slot = (F.col("ref_id") % 4).cast("string")
     return r.withColumns({
         "title": F.when(F.col("ref_id") % 3 < 2, F.concat(F.lit("shared title "), slot)).otherwise(F.col("title")),
-        "doi": F.when(F.col("ref_id") % 5 < 3, F.concat(F.lit("10.5555/same"), (F.col("ref_id") % 7).cast("string"))).otherwise(F.col("doi")),
-        "url": F.when(F.col("ref_id") % 6 < 2, F.concat(F.lit("https://Same.example.org/"), (F.col("ref_id") % 9).cast("string"), F.lit("/?q=1"))).otherwise(F.col("url")),
+        "doi": F.when(F.col("ref_id") % 5 < 3, F.concat(F.lit("10.5555/same"), (F.col("ref_id") % 3).cast("string"))).otherwise(F.col("doi")),
+        "url": F.when(F.col("ref_id") % 6 < 2, F.concat(F.lit("https://Same.example.org/"), (F.col("ref_id") % 5).cast("string"), F.lit("/?q=1"))).otherwise(F.col("url")),
         "pmid": F.when(F.col("ref_id") % 8 < 3, F.concat(F.lit("900000"), (F.col("ref_id") % 5).cast("string"))).otherwise(F.col("pmid")),
     })
 
 
 _SHARED = f"""sh AS (SELECT list_id, ref_id, CASE WHEN ref_id % 3 < 2 THEN concat('shared title ', CAST(ref_id % 4 AS VARCHAR)) ELSE title END AS title,
-  CASE WHEN ref_id % 5 < 3 THEN concat('10.5555/same', CAST(ref_id % 7 AS VARCHAR)) ELSE doi END AS doi,
-  CASE WHEN ref_id % 6 < 2 THEN concat('https://Same.example.org/', CAST(ref_id % 9 AS VARCHAR), '/?q=1') ELSE url END AS url,
+  CASE WHEN ref_id % 5 < 3 THEN concat('10.5555/same', CAST(ref_id % 3 AS VARCHAR)) ELSE doi END AS doi,
+  CASE WHEN ref_id % 6 < 2 THEN concat('https://Same.example.org/', CAST(ref_id % 5 AS VARCHAR), '/?q=1') ELSE url END AS url,
   CASE WHEN ref_id % 8 < 3 THEN concat('900000', CAST(ref_id % 5 AS VARCHAR)) ELSE pmid END AS pmid FROM fx_records)"""
 
 
