@@ -1,7 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 Every page is parsed into elements; each block element's subtree (tag, class, id, texts, children) is hashed.
-Spark counts on how many pages of its host each subtree occurs, and subtrees found on many of them are deleted.
+Spark counts on how many distinct pages of its host each subtree occurs, and subtrees found on many of them are
+deleted.  Pages of a host with the same main content are copies and count once, by one of them.
 Menus, headers, footers, sidebars, adverts, forms and comments that say what they are by tag, role, class or id are
 deleted as well, so hosts with few pages need no counts.  What is left of the article (or main) element
 is the text; a page without one gives what is left of its body.
@@ -149,14 +150,14 @@ def in_order(root: Element) -> Iterator[tuple[Element, bool]]:
 
 
 def marked(root: Element) -> list[int]:
-    """Hashes every subtree; returns those that may be deleted by count (as signed 64-bit integers)."""
+    """Hashes every subtree; returns those that may be deleted by count, in order (as signed 64-bit integers)."""
     found = set()
     for e, inside in in_order(root):
         texts = [f"<{c.mark}>" if isinstance(c, Element) else " ".join(c.split()) for c in e.parts]
         e.mark = xxhash.xxh64_intdigest(f"{e.tag}{e.label}\0{chr(0).join(t for t in texts if t)}".encode()) - (1 << 63)
         if e.tag in BLOCK and e.tag not in ("html", "body") and e.tag not in MAIN and not (inside and e.tag in TEXTS):
             found.add(e.mark)
-    return list(found)
+    return sorted(found)
 
 
 def main_text(root: Element, templates: frozenset[int]) -> str:
@@ -205,8 +206,13 @@ def host(url: Column) -> Column:
 
 
 def subtrees(batch: pa.RecordBatch) -> pa.RecordBatch:
-    marks = [marked(parse(page or "")) for page in batch["html"].to_pylist()]
-    return pa.RecordBatch.from_arrays([batch["host"], pa.array(marks, pa.list_(pa.int64()))], names=["host", "marks"])
+    contents, marks = [], []
+    for page in batch["html"].to_pylist():
+        root = parse(page or "")
+        marks.append(marked(root))
+        contents.append(xxhash.xxh64_intdigest(main_text(root, frozenset()).encode()) - (1 << 63))
+    return pa.RecordBatch.from_arrays([batch["host"], pa.array(contents, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                                      names=["host", "content", "marks"])
 
 
 def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,9 +228,11 @@ def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, templates): the subtrees found on at least ``share`` of the host's pages and on ``least`` pages."""
+    """(host, templates): the subtrees found on at least ``share`` of the host's distinct pages and on ``least`` of them."""
     hosted = only(pages, "url", "html").select(host(F.col("url")).alias("host"), "html").filter("host <> ''")
-    found = arrow_map(hosted, subtrees, "host string, marks array<long>", rows=256)
+    found = arrow_map(hosted, subtrees, "host string, content long, marks array<long>", rows=256)
+    # one copy stands for all; the least marks, so that the choice does not depend on the order of rows
+    found = found.groupBy("host", "content").agg(F.min("marks").alias("marks"))
     # the page itself is counted under a null subtree, so one aggregation gives both counts
     counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "marks")).alias("mark")).groupBy(
         "host", "mark").agg(F.count("*").alias("n"))

@@ -102,6 +102,21 @@ def test_site_templates(spark):
     assert len(got) == len({r[0] for r in rows}) and html_main.extract(pages.filter("false")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    post, art = "<body><div class=post><p>Own text.</p></div></body>", "<article><div>Own part.</div></article>"
+    rows = [(i, f"http://copies.example/{i}", post) for i in range(5)]
+    rows += [(10 + i, f"http://art.example/{i}", art) for i in range(3)]
+    rows += [(20 + i, f"http://menu.example/{i}", f"<body><nav>{i}</nav><div><p>Mirrored.</p></div></body>") for i in range(4)]
+    # three distinct pages with a box, and copies of one of them
+    box = "<div class='x1'>Join us</div>"
+    rows += [(30 + i, f"http://box.example/{i}", f"<body>{box}<div><p>t {min(i, 2)}</p></div></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(pages).collect()}
+    assert {got[i] for i in range(5)} == {"Own text."} and {got[10 + i] for i in range(3)} == {"Own part."}
+    assert {got[20 + i] for i in range(4)} == {"Mirrored."}
+    assert [got[30 + i] for i in range(9)] == [f"t {min(i, 2)}" for i in range(9)]
+
+
 # --- token files -----------------------------------------------------------------------------------
 
 def want_tokens(docs):
