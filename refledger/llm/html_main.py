@@ -31,8 +31,9 @@ from refledger.session import cut_lineage
 
 ship_by_value(__name__)
 
-#: A subtree is a template where it is on this share of its host's pages, and on this many at least.
-SHARE, LEAST = 0.5, 3
+#: A subtree is a template where it is on MANY distinct pages of its host, whatever the host's size; on small hosts
+#: where it is on this share of them, and on LEAST at least.
+MANY, SHARE, LEAST = 10, 0.5, 3
 
 MARK = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
                   r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
@@ -211,8 +212,9 @@ def subtrees(batch: pa.RecordBatch) -> pa.RecordBatch:
         root = parse(page or "")
         marks.append(marked(root))
         contents.append(xxhash.xxh64_intdigest(main_text(root, frozenset()).encode()) - (1 << 63))
-    return pa.RecordBatch.from_arrays([batch["host"], pa.array(contents, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                                      names=["host", "content", "marks"])
+    return pa.RecordBatch.from_arrays(
+        [batch["host"], batch["page"], pa.array(contents, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+        names=["host", "page", "content", "marks"])
 
 
 def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -227,28 +229,40 @@ def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         names=["page_id", "url", "text", "n_chars"])
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, templates): the subtrees found on at least ``share`` of the host's distinct pages and on ``least`` of them."""
-    hosted = only(pages, "url", "html").select(host(F.col("url")).alias("host"), "html").filter("host <> ''")
-    found = arrow_map(hosted, subtrees, "host string, content long, marks array<long>", rows=256)
+def page_key(url: Column, page: Column) -> Column:
+    """Equal for equal pages of one host."""
+    return F.xxhash64(host(url), page)
+
+
+def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, many: int = MANY) -> DataFrame:
+    """(page, templates): for each page key, those of its subtrees that are on ``many`` distinct pages of the host, or
+    on at least ``share`` of them and on ``least``."""
+    hosted = only(pages, "url", "html").select(host(F.col("url")).alias("host"), page_key(F.col("url"), F.col("html")).alias("page"),
+                                               "html").filter("host <> ''")
+    found = cut_lineage(arrow_map(hosted, subtrees, "host string, page long, content long, marks array<long>",
+                                  rows=256).withColumn("host", F.xxhash64("host")))
     # one copy stands for all; the least marks, so that the choice does not depend on the order of rows
-    found = found.groupBy("host", "content").agg(F.min("marks").alias("marks"))
+    distinct = found.groupBy("host", "content").agg(F.min("marks").alias("marks"))
     # the page itself is counted under a null subtree, so one aggregation gives both counts
-    counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "marks")).alias("mark")).groupBy(
+    counted = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "marks")).alias("mark")).groupBy(
         "host", "mark").agg(F.count("*").alias("n"))
-    counted = cut_lineage(counted.filter(F.col("mark").isNull() | (F.col("n") >= least)))
+    counted = cut_lineage(counted.filter(F.col("mark").isNull() | (F.col("n") >= min(least, many))))
     of_host = counted.filter("mark IS NULL").select(F.col("host").alias("__h"), F.col("n").alias("pages"))
     often = counted.filter("mark IS NOT NULL").join(of_host, F.col("host") == F.col("__h")).filter(
-        F.col("n") >= F.col("pages") * share)
-    # each is on a fixed share of the host's pages, so a host has no more of them than 1 / share average pages hold
-    return often.groupBy("host").agg(F.collect_list("mark").alias("templates"))
+        (F.col("n") >= many) | ((F.col("n") >= F.col("pages") * share) & (F.col("n") >= least))).select(
+        F.col("host").alias("__h"), F.col("mark").alias("__m"))
+    # a large host may have any number of templates, so every page gets its own ones only
+    each = found.groupBy("host", "page").agg(F.min("marks").alias("marks")).select("host", "page", F.explode("marks").alias("mark"))
+    return each.join(cut_lineage(often), (F.col("host") == F.col("__h")) & (F.col("mark") == F.col("__m"))).groupBy("page").agg(
+        F.collect_list("mark").alias("templates"))
 
 
 def extract(pages: DataFrame, **options) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    # written first, so that the join below has an exchange on either side and a host with most pages is split
-    templates = cut_lineage(site_templates(pages, **options)).withColumnRenamed("host", "__h")
-    rows = only(pages, "page_id", "url", "html").withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
-    joined = rows.join(templates, F.col("host") == F.col("__h"), "left").select("page_id", "url", "html", "templates")
+    # written first, so that the join below has an exchange on either side and a page with many copies is split
+    templates = cut_lineage(site_templates(pages, **options)).withColumnRenamed("page", "__p")
+    # pages without a host have a null or empty one and are not among the templates
+    rows = only(pages, "page_id", "url", "html").withColumn("page", page_key(F.col("url"), F.col("html")))
+    joined = rows.join(templates, F.col("page") == F.col("__p"), "left").select("page_id", "url", "html", "templates")
     kinds = dict(pages.dtypes)
     return arrow_map(joined, texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long", rows=256)

@@ -117,6 +117,18 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [got[30 + i] for i in range(9)] == [f"t {min(i, 2)}" for i in range(9)]
 
 
+def test_boxes_of_some_pages_of_a_large_host(spark):
+    box = ["<div class='x1'>Latest posts</div>", "<div class='x2'>Your basket</div>", "<div class='x3'>Thread list</div>"]
+    rows = [(i, f"http://big.example/{i}", f"<body>{box[i % 3]}<div><p>text {i}</p></div></body>") for i in range(90)]
+    rows += [(100 + i, f"http://big.example/a{i}", f"<article><p>Quoted.</p><p>own {i}</p></article>") for i in range(30)]
+    rows += [(200 + i, f"http://big.example/s{i}", f"<body><div>Said twice.</div><div><p>more {i}</p></div></body>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(pages).collect()}
+    assert all(got[i] == f"text {i}" for i in range(90))  # each box is on a quarter of the host's pages
+    assert all(got[100 + i] == f"Quoted.\nown {i}" for i in range(30))  # texts of articles are kept
+    assert got[201] == "Said twice.\nmore 1"
+
+
 # --- token files -----------------------------------------------------------------------------------
 
 def want_tokens(docs):
