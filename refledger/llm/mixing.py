@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Every source's documents are laid out in a shuffled order as one stream of words, cut into blocks of equal
-size.  The schedule has one slot per block of the mix: slot ``i`` takes the van der Corput point of ``i``, the
-cumulative target weights map it to a source, and its rank among the slots of that source names the block it
-takes.  A source smaller than its target is streamed again (epochs), at most ``most`` times.
+size.  The schedule decides what is taken: slot ``i`` has the van der Corput point of ``i``, the cumulative target
+weights (in blocks) map it to a source, and its rank among the slots of that source names the block it takes.  A slot
+of a source that has given all its blocks is passed over.  The points of ``2 ** m`` slots are evenly spaced, so with as
+many slots as blocks or more, each source meets at least its number of blocks, and gives exactly its quota.
+A source smaller than its target is streamed again (epochs), at most ``most`` times.
 
 Defined results: a null text has size 0; sizes of 0 take nothing; null is a source of its own, ranked last;
 repeated rows are separate rows with equal results up to their place in the stream; an empty table gives no
@@ -23,7 +25,6 @@ from refledger.operators.common import number_rows
 from refledger.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
-BITS = 48
 #: Rows of one source whose order is settled in one task, on average.
 SLICE = 8192
 
@@ -103,33 +104,35 @@ def laid_out(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def schedule(by_source: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """(sid, block, slot): the low-discrepancy order in which blocks of the sources are taken."""
+    """(sid, block, slot, upto), and the number of blocks: the low-discrepancy order in which blocks of the sources are
+    taken.  A slot takes the words of its source from ``block * block size`` to ``upto``."""
     spark = by_source.sparkSession
-    total, sources = by_source.agg(F.sum("quota"), F.count("*")).first()
-    slots = math.ceil((total or 0) / block)
+    parts = by_source.filter("quota > 0").select("sid", "quota", F.ceil(F.col("quota") / block).alias("blocks"))
+    blocks, sources = parts.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
+    bits = max(0, blocks - 1).bit_length()
     cells = max(1024, 1 << max(0, sources - 1).bit_length())
     # cumulative weights; the slots' points meet them cell by cell, so no slot meets all sources
-    share = F.col("quota") / F.lit(float(total or 1))
-    parts = by_source.filter("quota > 0").withColumn("__share", share)
     upto = Window.partitionBy("__one").orderBy("sid")  # one row per source
-    parts = parts.withColumn("__one", F.lit(0)).withColumn("hi", F.sum("__share").over(upto)).withColumn(
-        "lo", F.col("hi") - F.col("__share")).withColumn("cell", F.explode(F.sequence(
-            F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("double") / float(1 << BITS)
-    points = spark.range(slots).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * cells))
-    taken = points.join(parts.select("sid", "lo", "hi", "cell"), "cell").filter("u >= lo AND u < hi").select(
-        F.col("id").alias("slot"), "sid")
-    ranked = number_rows(taken, ["sid"], "slot", "__rank")
-    return ranked.select("sid", (F.col("__rank") - 1).alias("block"), "slot"), slots
+    cell = lambda at: F.floor(at * cells / max(1, blocks))
+    parts = parts.withColumn("__one", F.lit(0)).withColumn("hi", F.sum("blocks").over(upto)).withColumn(
+        "lo", F.col("hi") - F.col("blocks")).withColumn("cell", F.explode(F.sequence(
+            cell(F.col("lo")), cell(F.col("hi") - 1))))
+    # the point of a slot, as a place among the blocks, in whole numbers: every place has a slot
+    point = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+    points = spark.range(1 << bits if blocks else 0).withColumn("at", F.shiftright(point * blocks, bits)).withColumn(
+        "cell", cell(F.col("at")))
+    met = points.join(parts.select("sid", "quota", "blocks", "lo", "hi", "cell"), "cell").filter("at >= lo AND at < hi").select(
+        F.col("id").alias("slot"), "sid", "quota", "blocks")
+    ranked = number_rows(met, ["sid"], "slot", "__rank").withColumn("block", F.col("__rank") - 1).filter("block < blocks")
+    return ranked.select("sid", "block", "slot", F.least((F.col("block") + 1) * block, F.col("quota")).alias("upto")), blocks
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int = 128,
         seed: int = 42) -> Mix:
     """Mix of ``docs`` (doc_id, text, source).
 
-    ``pieces``: slot, block, epoch and word range ``[lo, hi)`` of the document row (key, source, dup).  A block
-    that the schedule's points left out (the sequence strays from the weights by a few slots) follows at
-    the end, with a null slot, so every source gives exactly its quota.
+    ``pieces``: slot, block, epoch and word range ``[lo, hi)`` of the document row (key, source, dup): what the
+    blocks named by the schedule's slots hold of it.
     """
     rows = sized(docs, seed)
     by_source = cut_lineage(targets(rows, weights, most))
@@ -137,43 +140,48 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     order, slots = schedule(by_source, block)
     size, quota = F.col("size"), F.col("quota")
     epochs = F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))
+    # places past the quota are in no block of the schedule
     runs = placed.filter("size > 0").withColumn("epoch", F.explode(epochs)).withColumn(
         "begin", F.col("off") + F.col("epoch") * F.col("source_size")).filter(F.col("begin") < quota).withColumn(
-        "end", F.least(F.col("begin") + size, quota))
-    pieces = runs.withColumn("block", F.explode(F.sequence(
-        F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))).select(
-        "doc_id", "key", "source", "dup", "sid", "epoch", "block",
+        "end", F.col("begin") + size)
+    met = runs.withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("begin") / block), F.floor((F.least(F.col("end"), quota) - 1) / block)))).join(order, ["sid", "block"])
+    pieces = met.select(
+        "doc_id", "key", "source", "dup", "sid", "epoch", "block", "slot",
         (F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")).alias("lo"),
-        (F.least(F.col("end"), (F.col("block") + 1) * block) - F.col("begin")).alias("hi"))
-    return Mix(placed, pieces.join(order, ["sid", "block"], "left"), slots)
+        (F.least(F.col("end"), F.col("upto")) - F.col("begin")).alias("hi"))
+    return Mix(placed, pieces, slots)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
-    """One row per document row: doc_id, size, source_size, target, taken, epochs."""
-    sums = mixed.pieces.groupBy("key", "sid", "dup").agg(
-        F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
+    """One row per document row: doc_id, size, source_size, target, taken (the words that the schedule's slots name)."""
+    sums = mixed.pieces.groupBy("key", "sid", "dup").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     return mixed.rows.join(sums, ["key", "sid", "dup"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """The mix as documents: one row per document and epoch it is taken in.  A document that the quota cuts
-    keeps the words taken, joined by single blanks, and its new length in ``n_chars``."""
+    """The mix as documents: one row per document and epoch it is taken in, in the order of the first slots that take
+    words of them.  A document that is not taken whole keeps the words taken, joined by single blanks, and its new
+    length in ``n_chars``."""
     mixed = mix(docs, seed=seed, **options)
     spans = mixed.pieces.groupBy("key", "source", "dup", "epoch").agg(
-        F.min("lo").alias("__lo"), F.max("hi").alias("__hi")).select(
-        F.col("key").alias("__key"), F.col("source").alias("__src"), F.col("dup").alias("__d"), "__lo", "__hi")
+        F.sum(F.col("hi") - F.col("lo")).alias("__taken"), F.min(F.struct("slot", "lo")).alias("__first"),
+        F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__spans")).select(
+        F.col("key").alias("__key"), F.col("source").alias("__src"), F.col("dup").alias("__d"), F.col("epoch").alias("__epoch"),
+        "__taken", F.col("__first.slot").alias("__slot"), "__spans")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     rows = docs.withColumn("__k", key).withColumn("__size", word_count(F.col("text"))).withColumn(
         "__n", F.row_number().over(Window.partitionBy("__k", "source").orderBy("doc_id")))
     found = rows.join(spans, (F.col("__k") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__src"))
                       & (F.col("__n") == F.col("__d")))
-    whole = (F.col("__lo") == 0) & (F.col("__hi") == F.col("__size"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)),
-                                (F.col("__lo") + 1).cast("int"), (F.col("__hi") - F.col("__lo")).cast("int")), " ")
+    whole = F.col("__taken") == F.col("__size")
+    part = F.array_join(F.flatten(F.transform("__spans", lambda x: F.slice(
+        F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), (x.lo + 1).cast("int"), (x.hi - x.lo).cast("int")))), " ")
     text = F.when(whole, F.col("text")).otherwise(part)
-    out = found.withColumn("__text", text)
+    # documents that begin in one block follow in the order of their stream
+    out = found.withColumn("__text", text).orderBy("__slot", "__k", "__n", "__epoch")
     changed = {"text": F.col("__text"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(
         F.length("__text").cast("long"))}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])

@@ -78,6 +78,35 @@ def test_mixed_documents(odd_docs):
     assert {k: v for k, v in by_id.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_schedule_decides_what_is_taken(make_docs, monkeypatch):
+    docs = make_docs([(i, " ".join(f"w{j}" for j in range(20 + i % 7)), None, "abcdefg"[min(i % 40, 6)]) for i in range(300)])
+    mixed = mixing.mix(docs, block=16)
+    pieces = mixed.pieces.collect()
+    blocks = collections.defaultdict(set)
+    for r in pieces:
+        assert r.slot is not None and 0 <= r.lo < r.hi
+        blocks[r.sid].add((r.block, r.slot))
+    quota = {r.sid: r.quota for r in mixed.rows.collect()}
+    for sid, found in blocks.items():  # each source has the slots of its blocks, taken in their order
+        assert sorted(b for b, _ in found) == list(range(-(-quota[sid] // 16)))
+        assert [s for _, s in sorted(found)] == sorted(s for _, s in found)
+    # what is written is in the order of the slots
+    first = {}
+    for r in pieces:
+        first[r.doc_id, r.epoch] = min(first.get((r.doc_id, r.epoch), r.slot), r.slot)
+    left = collections.defaultdict(list)
+    for (d, _), slot in sorted(first.items(), key=lambda x: x[0][1]):
+        left[d].append(slot)
+    order = [left[r.doc_id].pop(0) for r in mixing.mixed_documents(docs, block=16).collect()]
+    assert len(order) == len(first) and order == sorted(order)
+    # a schedule without some slots takes less, here too within a document
+    full = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: (lambda o: (o[0].filter("block % 3 <> 1"), o[1]))(full(*a)))
+    less = sum(r.hi - r.lo for r in pieces if r.block % 3 != 1)
+    assert sum(r.taken for r in mixing.taken_words(mixing.mix(docs, block=16)).collect()) == less
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(docs, block=16).collect()) == less
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 def shingles(t):
