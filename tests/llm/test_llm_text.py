@@ -294,6 +294,25 @@ def test_lm_learns(make_docs):
     assert all(math.isclose(again[i], got[i].score, rel_tol=1e-4) for i in again)
 
 
+def test_lm_knows_the_order_of_words(make_docs):
+    """All words are frequent and each follows from the one before, so shuffled texts must score far less."""
+    rng = np.random.default_rng(5)
+    follow = rng.permutation(60)
+    docs = []
+    for i in range(160):
+        at, text = int(rng.integers(60)), []
+        for _ in range(60):
+            text.append(f"w{at:02d}{'abc'[at % 3]}")
+            at = int(follow[at]) if rng.random() < 0.9 else int(rng.integers(60))
+        docs.append((i, " ".join(text)))
+    held = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2]
+    ids = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    mixed = [(ids[k], " ".join(rng.permutation(docs[i][1].split()))) for k, i in enumerate(held)]
+    got = {r.doc_id: r for r in lm.score_documents(make_docs(docs + mixed)).collect()}
+    straight, shuffled = sum(got[i].score for i in held), sum(got[i].score for i, _ in mixed)
+    assert straight > 0.75 * shuffled and straight > 0.8 * sum(got[i].base_score for i in held)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all bytes after any beginning add up to one."""
     data = np.frombuffer(b"ab abc abd ", np.uint8)
