@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, html_main, jaccard, langid, line_dedup, lm, mixing, quality, token_file, topk
+from refledger.llm import (
+    ball_codes, decontaminate, divergence, html_main, jaccard, langid, line_dedup, lm, mixing, quality, simhash, token_file, topk)
 from refledger.llm.common import table
 from refledger.session import configure
 
@@ -174,3 +175,63 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def codes_sql(rounds: int = 6) -> str:
+    """Every part compared with every entry, round by round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (SELECT x.r, x.p, c.j, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{i} c ON x.p = c.p AND x.t = c.t GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT r, p, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{i} GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.j, c.t, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c.v) AS v FROM c{i} c LEFT JOIN (
+  SELECT x.p, a.j, x.t, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} a ON x.r = a.r AND x.p = a.p GROUP BY ALL) m
+  ON c.p = m.p AND c.j = m.j AND c.t = m.t)""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS r, vec_id, label, e FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor(4096 * v::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)),
+x AS MATERIALIZED (SELECT r, (i - 1) // w AS p, (i - 1) % w AS t, e[i] AS v FROM (
+  SELECT r, e, len(e) // 8 AS w, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS j, t, v FROM x WHERE r <= 16),{",".join(steps)},
+book AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, j, t)) AS sha FROM c{rounds}),
+done AS (SELECT r, string_agg(lower(printf('%02x', j)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM kept JOIN done USING (r), book"""
+
+
+@query("op12_ball_codes", codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compressed(spark, table(spark, sf_dir, "embeddings"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+occ AS (SELECT r, lang, source, unnest(ts) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS total FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+dense AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.c, 0)::HUGEINT AS c FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS c FROM occ GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 1)) // (sum(c) OVER w + count(*) OVER w) AS p,
+    1 + (1000000000 * (total + 1)) // (sum(total) OVER w + count(*) OVER w) AS q
+  FROM dense WINDOW w AS (PARTITION BY lang, source)),
+prices AS MATERIALIZED (SELECT lang, source, term, c, p::HUGEINT AS p, q::HUGEINT AS q FROM sums),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM prices a JOIN prices b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM groups a
+    JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM prices WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
