@@ -202,6 +202,21 @@ FROM (SELECT *, CASE WHEN list_id % 4 = 0 THEN 'verified' WHEN list_id % 4 = 1 A
 LEFT JOIN fx_csl c ON c.doi = r.doi
 """
 
+# references of which some repeat the one before, its title or its DOI, with semantic findings
+VIEWS["fx_batch"] = """
+SELECT a.list_id, a.ref_id, CASE WHEN b.ref_id IS NOT NULL AND a.ref_id % 8 IN (3, 5) THEN b.title ELSE a.title END AS title, a.source, a.year,
+  CASE WHEN b.ref_id IS NOT NULL AND a.ref_id % 8 IN (5, 7) THEN b.doi ELSE a.doi END AS doi,
+  CASE WHEN b.ref_id IS NOT NULL AND a.ref_id % 8 = 5 THEN b.pmid ELSE a.pmid END AS pmid, a.arxiv,
+  CASE WHEN b.ref_id IS NOT NULL AND a.ref_id % 8 = 5 THEN b.url ELSE a.url END AS url, a.volume, a.issue, a.page, a.authors,
+  CASE CAST(a.ref_id % 6 AS INT) WHEN 0 THEN 'supported' WHEN 1 THEN 'not_in_source' WHEN 2 THEN 'contradicted' WHEN 4 THEN 'unclear' END AS support
+FROM fx_records a LEFT JOIN fx_records b ON b.list_id = a.list_id AND b.ref_id = a.ref_id - 1
+"""
+
+VIEWS["fx_cites"] = """
+SELECT r.doi AS cited_doi, c.edge_pos, c.context, concat('citing paper ', CAST(c.edge_pos AS STRING)) AS citing_title
+FROM fx_citations c JOIN fx_refs r ON r.ref_id = c.cited_id WHERE r.doi IS NOT NULL
+"""
+
 _NAME = re.compile(r"\b(fx_\w+|" + "|".join(DRIVER_TABLES) + r")\b")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,15 @@ from refledger.session import cut_lineage
 KINDS = ["url", "doi", "pmid"]
 
 
+def named_title(refs: DataFrame) -> Column:
+    """The title, or the claim of a row that has none."""
+    title = tx.blank_to_null(F.coalesce(F.col("title"), F.lit("")))
+    return F.coalesce(title, F.col("claim")) if "claim" in refs.columns else title
+
+
 def duplicate_keys(refs: DataFrame) -> DataFrame:
-    """list_id, ref_id, kind, key: identifier plus title fingerprint; null titles form no key."""
-    sig = tx.title_key(F.col("title"))
+    """list_id, ref_id, kind, key: identifier plus fingerprint of title or claim; rows without both form no key."""
+    sig = tx.title_key(named_title(refs))
     bar = F.lit("|")
 
     def keyed(value):
@@ -42,35 +50,64 @@ def mark_duplicates(refs: DataFrame, mode: str = "greedy") -> DataFrame:
     ``greedy`` (the reference rule): only rows that are no duplicates themselves hold keys.
 
     Both work on per-key minima (aggregations with a map-side part), so a key shared by most rows
-    never gathers in one task.  The greedy rule is the first-come independent set over shared keys;
-    it is settled in rounds, each deciding every row whose keys have no undecided earlier row.
+    never gathers in one task.  The greedy rule is the first-come independent set over shared keys.
+    It is settled in rounds; a round decides every row whose keys have no undecided earlier row, and
+    every row that hangs on such a row by a path of single earlier partners, however long (``_settle``).
     """
     keys = duplicate_keys(refs)
     if mode == "global":
         return _point_to(keys, keys)
     if mode != "greedy":
         raise ValueError(f"unknown mode {mode}")
-    shared = keys.groupBy("list_id", "kind", "key").agg(
-        F.min("ref_id").alias("first"), F.max("ref_id").alias("last")).filter("first < last")
-    open_keys = cut_lineage(keys.join(shared.select("list_id", "kind", "key"), ["list_id", "kind", "key"]))
+    shared = keys.groupBy(*KEY).agg(F.min("ref_id").alias("first"), F.max("ref_id").alias("last")).filter("first < last")
+    open_keys = cut_lineage(keys.join(shared.select(*KEY), KEY))
     holders = None
     while not open_keys.isEmpty():
-        lowest = open_keys.groupBy("list_id", "kind", "key").agg(F.min("ref_id").alias("low"))
-        # originals of this round: lowest undecided row in all of their keys
-        fresh = (
-            open_keys.join(lowest, ["list_id", "kind", "key"])
-            .groupBy("list_id", "ref_id").agg(F.bool_and(F.col("ref_id") == F.col("low")).alias("first"))
-            .filter("first").select("list_id", "ref_id"))
-        held = cut_lineage(open_keys.join(fresh, ["list_id", "ref_id"]).select(
-            "list_id", "kind", "key", F.col("ref_id").alias("holder")))
+        held = cut_lineage(open_keys.join(_settle(open_keys), ROW).select(*KEY, F.col("ref_id").alias("holder")))
         holders = held if holders is None else holders.unionByName(held)
-        settled = (
-            open_keys.join(held.select("list_id", "kind", "key"), ["list_id", "kind", "key"])
-            .select("list_id", "ref_id").distinct())
-        open_keys = cut_lineage(open_keys.join(settled, ["list_id", "ref_id"], "left_anti"))
+        settled = open_keys.join(held.select(*KEY), KEY).select(*ROW).distinct()
+        open_keys = cut_lineage(open_keys.join(settled, ROW, "left_anti"))
     if holders is None:
         return _point_to(keys, keys.limit(0))
-    return _point_to(keys, holders.select("list_id", "kind", "key", F.col("holder").alias("ref_id")))
+    return _point_to(keys, holders.select(*KEY, F.col("holder").alias("ref_id")))
+
+
+KEY, ROW = ["list_id", "kind", "key"], ["list_id", "ref_id"]
+
+
+def _settle(open_keys: DataFrame) -> DataFrame:
+    """(list_id, ref_id): rows of ``open_keys`` that are certain to be originals.
+
+    A row that is the lowest of all its keys is one.  A row that is not the lowest of a single key, and the second
+    lowest of that, is an original exactly if the lowest is none: it points to that row with one flip.  Pointers are
+    followed by doubling, so a path of n rows takes log2(n) joins; a path that ends at an undecided row waits for the
+    next round.  (Greedy sets have no parallel form for all inputs: rounds grow with the rows on a path that have
+    several undecided earlier partners.)
+    """
+    low = open_keys.groupBy(*KEY).agg(F.min("ref_id").alias("low"))
+    marked = open_keys.join(low, KEY)
+    second = marked.filter("ref_id > low").groupBy(*KEY).agg(F.min("ref_id").alias("second"))
+    rows = marked.join(second, KEY, "left").groupBy(*ROW).agg(
+        F.count_if(F.col("ref_id") > F.col("low")).alias("later"),
+        F.max(F.when(F.col("ref_id") == F.col("second"), F.col("low"))).alias("low"))
+    done = F.col("later") == 0
+    paths = cut_lineage(rows.filter(done | ((F.col("later") == 1) & F.col("low").isNotNull())).select(
+        *ROW, F.when(done, F.col("ref_id")).otherwise(F.col("low")).alias("end"), F.when(done, 0).otherwise(1).alias("flips"),
+        done.alias("done"), F.lit(False).alias("stuck")))
+    while not paths.filter("NOT done AND NOT stuck").isEmpty():
+        paths = cut_lineage(_doubled(_doubled(paths)))
+    return paths.filter("done AND flips = 0").select(*ROW)
+
+
+def _doubled(paths: DataFrame) -> DataFrame:
+    """Paths as long again: each takes on the path of the row it ends at."""
+    going = ~F.col("done") & ~F.col("stuck")
+    ends = paths.select("list_id", F.col("ref_id").alias("end"), F.col("end").alias("e"), F.col("flips").alias("f"), F.col("done").alias("d"))
+    on = F.col("e").isNotNull()
+    longer = paths.filter(going).join(ends, ["list_id", "end"], "left").select(
+        *ROW, F.coalesce("e", "end").alias("end"), ((F.col("flips") + F.coalesce("f", F.lit(0))) % 2).alias("flips"),
+        F.coalesce("d", F.lit(False)).alias("done"), (~on).alias("stuck"))
+    return paths.filter(~going).unionByName(longer)
 
 
 def _point_to(keys: DataFrame, holders: DataFrame) -> DataFrame:
@@ -164,12 +201,12 @@ def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame
     named by their first row), so copies never multiply.
 
     * ``clone_doi``, equal titles: every variant is linked to the title's first variant.  Equality
-      is transitive, so the links carry the whole group without its square.
+      is transitive, so the links carry the whole group without its square (``clone_groups`` has the numbers).
     * ``clone_doi``, near titles (0.92): candidates come from shared segments, which lose nothing.
     * ``clone_title``: every pair of different titles of one DOI within the length gap is a finding of its own,
       so the output is as large as the findings are many.
     """
-    key = tx.title_key(F.coalesce(F.col("title"), F.lit("")))
+    key = tx.title_key(F.coalesce(named_title(refs), F.lit("")))
     variants = (
         refs.select("list_id", "ref_id", key.alias("title_key"),
                     F.lower(F.coalesce(F.col("doi"), F.lit(""))).alias("doi"))
@@ -225,9 +262,62 @@ def _different_titles(variants: DataFrame, model: SimilarityModel) -> DataFrame:
     return scored.select("list_id", "a", "b", F.lit("clone_title").alias("kind"), F.round("sim", 2).alias("sim"))
 
 
-def clone_annotations(pairs: DataFrame) -> DataFrame:
-    """Both rows of every pair with the number of partners; verdicts stay as they are."""
-    both = pairs.select("list_id", F.explode(F.array("a", "b")).alias("ref_id"), "kind")
-    return both.groupBy("list_id", "ref_id").agg(
-        F.count_if(F.col("kind") == "clone_doi").alias("clone_doi_partners"),
-        F.count_if(F.col("kind") == "clone_title").alias("clone_title_partners"))
+@dataclass(frozen=True)
+class CloneGroups:
+    """Rows by equal title within a list, and the links between titles.
+
+    ``members``: list_id, ref_id, title_group (first row with the title), length (of the title key), doi.
+    ``links``: list_id, a, b, sim: groups a < b whose different titles reach the clone ratio.
+    Together they say everything that pairs of rows would, in as many rows as there are rows and links.
+    """
+
+    members: DataFrame
+    links: DataFrame
+
+
+def clone_groups(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> CloneGroups:
+    """Rows with a DOI and a title (or claim) of eight characters or more, grouped by title."""
+    rows = cut_lineage(refs.select(
+        "list_id", "ref_id", tx.title_key(F.coalesce(named_title(refs), F.lit(""))).alias("title_key"),
+        F.lower(F.coalesce(F.col("doi"), F.lit(""))).alias("doi")).filter((F.length("title_key") >= 8) & (F.col("doi") != "")))
+    titles = rows.groupBy("list_id", "title_key").agg(F.min("ref_id").alias("title_group"))
+    members = rows.join(titles, ["list_id", "title_key"]).select(
+        "list_id", "ref_id", "title_group", F.length("title_key").alias("length"), "doi")
+    cand = _near_candidates(titles.select("list_id", "title_key")).filter(
+        (length_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE) & (bag_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE))
+    for side in ("a", "b"):
+        cand = cand.join(titles.select("list_id", F.col("title_key").alias(f"k{side}"), F.col("title_group").alias(side)), ["list_id", f"k{side}"])
+    # the ratio takes the earlier title first
+    ordered = F.col("a") < F.col("b")
+    first, second = (F.when(ordered, F.col(x)).otherwise(F.col(y)) for x, y in (("ka", "kb"), ("kb", "ka")))
+    links = cand.withColumn("sim", model.plain(first, second)).filter(F.col("sim") >= fv.SIM_CLONE).select(
+        "list_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("sim", 2).alias("sim"))
+    return CloneGroups(cut_lineage(members), cut_lineage(links))
+
+
+def clone_annotations(groups: CloneGroups) -> DataFrame:
+    """list_id, ref_id, title_group, clone_doi_partners, clone_title_partners of every row that has a partner.
+
+    ``clone_doi``: rows whose title is the same or linked, with another DOI.  ``clone_title``: rows of the same DOI
+    whose title is neither, within the length gap.  Both are sums over group sizes; no pair of rows is made.
+    """
+    by_doi = groups.members.groupBy("list_id", "title_group", "length", "doi").agg(F.count("*").alias("n"))
+    ends = groups.links.select("list_id", F.col("a").alias("title_group"), F.col("b").alias("other")).unionByName(
+        groups.links.select("list_id", F.col("b").alias("title_group"), F.col("a").alias("other")))
+    near = ends.join(by_doi.select("list_id", F.col("title_group").alias("other"), "doi", "n"), ["list_id", "other"])
+    # rows of this title and the linked ones: of all DOIs, and of the row's own
+    whole = near.select("list_id", "title_group", "n").unionByName(by_doi.select("list_id", "title_group", "n")).groupBy(
+        "list_id", "title_group").agg(F.sum("n").alias("alike"))
+    own = near.select("list_id", "title_group", "doi", "n").unionByName(by_doi.select("list_id", "title_group", "doi", "n")).groupBy(
+        "list_id", "title_group", "doi").agg(F.sum("n").alias("alike_own"))
+    # rows of the DOI by title length: lengths are few, whatever the titles
+    lengths = by_doi.groupBy("list_id", "doi", "length").agg(F.sum("n").alias("n"))
+    other = lengths.select("list_id", "doi", F.col("length").alias("l2"), "n")
+    gap = F.abs(F.col("length") - F.col("l2")) <= F.greatest("length", "l2") * fv.CLONE_LENGTH_GAP
+    close = lengths.drop("n").join(other, ["list_id", "doi"]).filter(gap).groupBy("list_id", "doi", "length").agg(F.sum("n").alias("close"))
+    counted = by_doi.drop("n").join(whole, ["list_id", "title_group"]).join(own, ["list_id", "title_group", "doi"]).join(
+        close, ["list_id", "doi", "length"]).select("list_id", "title_group", "doi",
+        (F.col("alike") - F.col("alike_own")).alias("clone_doi_partners"), (F.col("close") - F.col("alike_own")).alias("clone_title_partners"))
+    return groups.members.drop("length").join(
+        counted.filter("clone_doi_partners + clone_title_partners > 0"), ["list_id", "title_group", "doi"]).select(
+        "list_id", "ref_id", "title_group", "clone_doi_partners", "clone_title_partners")

@@ -53,21 +53,44 @@ OPENALEX = TitleSource("openalex", 18)
 S2 = TitleSource("s2", 18, floor=fv.SIM_CONSISTENT, year_gate=False, prefix=True)
 
 _ROW = ["r_ord", "r_id", "r_title", "r_year", "r_doi"]
+#: Stand-ins for a missing year, and for any year.
+NO_YEAR, ANY_YEAR = -1, -2
+
+
+def word_hits(questions: DataFrame, records: DataFrame, gated: Column) -> DataFrame:
+    """Questions (source, pair, q_year, ...) with the ids of the records that have the pair, of a fitting year where
+    ``gated``.
+
+    A title has dozens of word pairs: only its id travels with them, and only the pairs that are asked for.  A
+    question of a known year looks under the year itself, those beside it and none; records stand under their year
+    and under any year, where questions without a year and sources without the rule look.
+    """
+    wanted = questions.select("source", "pair").distinct()
+    asked = records.select("source", "r_id", "r_year", F.explode(word_pairs(search_words(F.col("r_title")))).alias("pair")).join(
+        wanted, ["source", "pair"], "left_semi")
+    any_year = F.lit(ANY_YEAR)
+    under = F.when(gated, F.array(F.coalesce("r_year", F.lit(NO_YEAR)), any_year)).otherwise(F.array(any_year))
+    y = F.col("q_year")
+    look = F.when(gated & (y != NO_YEAR), F.array(y - 1, y, y + 1, F.lit(NO_YEAR))).otherwise(F.array(any_year))
+    return questions.withColumn("slot", F.explode(look)).join(
+        asked.select("source", "pair", "r_id", F.explode(under).alias("slot")), ["source", "pair", "slot"]).drop("pair", "slot")
 
 
 def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSource],
                  model: SimilarityModel = SEQUENCE) -> DataFrame:
     """Best record per claim and source.
 
-    ``claims``: q_id, q_title, q_year.  ``records``: source, r_ord, r_id, r_title, r_year, r_doi (ties
-    go to the smallest r_ord, r_id).  Returns q_id, source, r_id, r_title, r_year, r_doi, sim for
-    scores of at least the source's floor.
+    ``claims``: q_id, q_title, q_year, and q_sources where a claim asks some of the sources only.
+    ``records``: source, r_ord, r_id, r_title, r_year, r_doi (ties go to the smallest r_ord, r_id).
+    Returns q_id, source, r_id, r_title, r_year, r_doi, sim for scores of at least the source's floor.
 
     * Copies collapse first on both sides, so a title repeated a billion times is matched once.
     * An equal title key with a compatible year scores 1 and needs no search.
     * The others meet the records that contain their two longest words, keyed by the *pair* of
-      words; one frequent word alone never forms a group, and there is no cap on candidates.  Only
-      ids travel with the pairs; texts are fetched for the hits.
+      words; one frequent word alone never forms a group, and there is no cap on candidates.  Pairs
+      that no claim asks for leave before anything is joined, and where years must agree they are part
+      of the key: of the records on one frequent pair, a claim meets those of three years.  Only ids
+      travel with the pairs; texts are fetched for the hits.
     * Rows that cannot reach the floor are dropped by exact native bounds before the ratio UDF.
     * The best row is an aggregate with a map-side part, not a sort of a group.
     """
@@ -77,24 +100,25 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
             out = F.when(F.col("source") == s.name, F.lit(getattr(s, field))).otherwise(out)
         return out
 
+    every = F.array(*[F.lit(s.name) for s in sources])
     text = claims.select(
-        "q_id", F.col("q_title"), F.coalesce("q_year", F.lit(-1)).alias("q_year"),
-        F.length(tx.strip(F.col("q_title"))).alias("q_len")).filter(
+        "q_id", F.col("q_title"), F.coalesce("q_year", F.lit(NO_YEAR)).alias("q_year"),
+        F.length(tx.strip(F.col("q_title"))).alias("q_len"),
+        (F.col("q_sources") if "q_sources" in claims.columns else every).alias("q_sources")).filter(
             F.col("q_len") >= min(s.min_length for s in sources))
-    questions = text.select("q_id", "q_title", "q_year")
+    questions = text.select("q_id", "q_title", "q_year", F.explode("q_sources").alias("source"))
     distinct_q = (
-        text.select("q_title", "q_year", "q_len").distinct()
+        text.select("q_title", "q_year", "q_len", F.explode("q_sources").alias("source")).distinct()
+        .filter(F.col("q_len") >= per_source("min_length", 0))
         .withColumn("q_words", search_words(F.col("q_title"))).filter(F.size("q_words") >= 2)
-        .select("q_title", "q_year", "q_len", two_longest(F.col("q_words")).alias("top"),
-                tx.title_key(F.col("q_title")).alias("q_key"),
-                F.explode(F.array(*[F.lit(s.name) for s in sources])).alias("source")))
-    distinct_q = distinct_q.filter(F.col("q_len") >= per_source("min_length", 0)).drop("q_len")
+        .select("q_title", "q_year", two_longest(F.col("q_words")).alias("top"),
+                tx.title_key(F.col("q_title")).alias("q_key"), "source"))
     distinct_r = (
         records.filter(F.coalesce(F.trim("r_title"), F.lit("")) != "")
         .groupBy("source", "r_title", "r_year").agg(F.min(F.struct("r_ord", "r_id", "r_doi")).alias("r"))
         .select("source", "r_title", "r_year", "r.*", tx.title_key(F.col("r_title")).alias("r_key")))
     gated = per_source("year_gate", True)
-    year_ok = ~gated | tx.years_compatible(F.nullif(F.col("q_year"), F.lit(-1)), F.col("r_year"))
+    year_ok = ~gated | tx.years_compatible(F.nullif(F.col("q_year"), F.lit(NO_YEAR)), F.col("r_year"))
     keys = ["source", "q_title", "q_year"]
     row = F.struct(*_ROW, "sim")
     plain_sources = [s for s in sources if not s.prefix]
@@ -110,10 +134,7 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
         open_q = distinct_q.join(exact.select(*keys), keys, "left_anti")
     keyed_q = open_q.select(*keys, "q_key", _pair(
         F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))).alias("pair"))
-    # a title has dozens of word pairs: only its id travels with them, the text joins the hits
-    keyed_r = distinct_r.select("source", "r_id", "r_year", F.explode(
-        word_pairs(search_words(F.col("r_title")))).alias("pair"))
-    hits = keyed_q.join(keyed_r, ["source", "pair"]).filter(year_ok).drop("pair", "r_year")
+    hits = word_hits(keyed_q, distinct_r, gated)
     pairs = hits.join(distinct_r, ["source", "r_id"])
     floor = per_source("floor", 0.0)
     by_title, by_prefix = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -132,7 +153,7 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
     scored = pairs.withColumn("sim", F.coalesce(by_title, by_prefix)).filter(F.col("sim") >= floor)
     near = scored.groupBy(*keys).agg(F.min_by(row, F.struct(-F.col("sim"), "r_ord", "r_id")).alias("m"))
     found = near if exact is None else exact.unionByName(near)
-    return questions.join(found, ["q_title", "q_year"]).select(
+    return questions.join(found, keys).select(
         "q_id", "source", "m.r_id", "m.r_title", "m.r_year", "m.r_doi", "m.sim")
 
 
@@ -140,7 +161,7 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
 
 def _claims(refs: DataFrame) -> DataFrame:
     return refs.select(F.col("ref_id").alias("q_id"), F.col("clean_title").alias("q_title"),
-                       F.col("year").try_cast("int").alias("q_year"))
+                       F.col("year").try_cast("int").alias("q_year"), *(["q_sources"] if "q_sources" in refs.columns else []))
 
 
 def pubmed_records(pubmed: DataFrame) -> DataFrame:
@@ -198,7 +219,9 @@ def confirm_by_title(refs: DataFrame, s2_papers: DataFrame, model: SimilarityMod
 
 def search_all(refs: DataFrame, pubmed: DataFrame, openalex: DataFrame, s2_papers: DataFrame,
                model: SimilarityModel = SEQUENCE) -> DataFrame:
-    """The three title searches as one search over the united registries; one row per reference."""
+    """The three title searches as one search over the united registries; one row per reference.
+
+    ``q_sources`` of ``refs``, if there, names the registries a reference is looked up in."""
     records = pubmed_records(pubmed).unionByName(openalex_records(openalex)).unionByName(s2_records(s2_papers))
     hits = title_search(_claims(refs), records, [PUBMED, OPENALEX, S2], model)
     cols = [F.max(F.when(F.col("source") == s.name, c)).alias(n)

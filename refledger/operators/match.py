@@ -444,6 +444,20 @@ def latest_archive(results: DataFrame, archives: DataFrame, order: str = "ts") -
     return lookup(results, newest, key, "url", "ref_id", {"archive_url": F.col("archive_url")})
 
 
+def join_citations(results: DataFrame, citations: DataFrame, when: Column) -> DataFrame:
+    """How often the DOI is cited, the share of citations with a context, and the first citing title with one.
+
+    ``citations``: cited_doi, edge_pos, context (or contexts), citing_title."""
+    cols = citations.columns
+    context = F.array_join("contexts", " ") if "contexts" in cols else F.col("context")
+    has = F.coalesce(context, F.lit("")) != ""
+    used = citations.filter("cited_doi is not null").groupBy(F.lower("cited_doi").alias("__cited")).agg(
+        F.count("*").alias("cited_by"), F.round(F.count_if(has) / F.count("*"), 2).alias("citation_coverage"),
+        F.min_by(F.when(has, F.col("citing_title")), F.when(has, F.col("edge_pos"))).alias("citing_title"))
+    key = F.when(when, ids.doi_key(F.col("doi")))
+    return lookup(results, used, key, "__cited", "ref_id", {c: F.col(c) for c in ("cited_by", "citation_coverage", "citing_title")})
+
+
 def preprint_upgrades(results: DataFrame, s2_papers: DataFrame) -> DataFrame:
     """Verified arXiv references without a DOI whose paper has since been published."""
     papers = first_row_by(

@@ -176,10 +176,22 @@ def j17_corpus(spark, sf):
     return dedupe.clone_pairs(df)
 
 
-@query("j17_clone_annotations", f"""SELECT list_id, ref_id, count(*) FILTER (WHERE kind = 'clone_doi') AS clone_doi_partners, count(*) FILTER (WHERE kind = 'clone_title') AS clone_title_partners
-FROM (SELECT list_id, unnest([a, b]) AS ref_id, kind FROM ({_CLONES})) GROUP BY 1, 2""")
+_PARTNERS = "WITH " + _SHARED + f""", k AS (SELECT list_id, ref_id, {title_key_sql("coalesce(title, '')")} AS k, lower(doi) AS doi FROM sh),
+t AS MATERIALIZED (SELECT *, min(ref_id) OVER (PARTITION BY list_id, k) AS title_group FROM k WHERE length(k) >= 8 AND coalesce(doi, '') <> '')
+SELECT a.list_id, a.ref_id, a.title_group, count(*) FILTER (WHERE a.k = b.k AND a.doi <> b.doi) AS clone_doi_partners,
+  count(*) FILTER (WHERE a.k <> b.k AND a.doi = b.doi AND abs(length(a.k) - length(b.k)) <= greatest(length(a.k), length(b.k)) * {fv.CLONE_LENGTH_GAP}) AS clone_title_partners
+FROM t a JOIN t b ON a.list_id = b.list_id AND (a.k = b.k OR a.doi = b.doi) GROUP BY 1, 2, 3"""
+
+
+@query("j17_clone_annotations", f"SELECT * FROM ({_PARTNERS}) WHERE clone_doi_partners + clone_title_partners > 0")
 def j17_annotations(spark, sf):
-    return dedupe.clone_annotations(dedupe.clone_pairs(_shared_ids(spark, sf), TOKEN))
+    """Partners of every row, whole keys as tokens: equal titles and different ones, no near ones."""
+    return dedupe.clone_annotations(dedupe.clone_groups(_shared_ids(spark, sf), TOKEN))
+
+
+@query("j17_clone_groups", "SELECT list_id, ref_id, title_group FROM (" + _PARTNERS + ")")
+def j17_groups(spark, sf):
+    return dedupe.clone_groups(_shared_ids(spark, sf)).members.select("list_id", "ref_id", "title_group")
 
 
 # --- scores ----------------------------------------------------------------------------------------------

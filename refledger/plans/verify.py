@@ -28,6 +28,7 @@ class Registries:
     probes: DataFrame | None = None
     archives: DataFrame | None = None
     pages: DataFrame | None = None
+    citations: DataFrame | None = None
     complete: frozenset = frozenset()
     probe_order: tuple = ("ts",)
     archive_order: str = "ts"
@@ -74,6 +75,9 @@ def verify(refs: DataFrame, registries: Registries, medical: bool = False, offli
     df = _search(base, reg, model)
     df = _checks(df, reg, landing, model, require_version)
     df = _decide(df, reg, landing, model)
+    if reg.citations is not None:
+        # later papers' contexts, for rows that came through every check to the end
+        df = match.join_citations(df, reg.citations, when=F.col("rule").isin(18, 19))
     if reg.oa_status is not None:
         df = match.join_open_access(df.withColumn("claimed_doi", F.col("doi")).withColumn(
             "doi", F.col("doi_filled")), reg.oa_status).withColumn("doi", F.col("claimed_doi")).drop("claimed_doi")
@@ -93,15 +97,25 @@ def _offline(base: DataFrame) -> DataFrame:
 
 
 def _search(base: DataFrame, reg: Registries, model: SimilarityModel) -> DataFrame:
-    """Title search for references that resolve to nothing."""
+    """Title search: for references that resolve to nothing, and to confirm those that have a page but no identifier.
+
+    The first kind asks PubMed and the open index, the second the open index and the second index; both are one
+    search, each reference in its own registries.
+    """
+    def blank(name):
+        return tx.strip(F.coalesce(F.col(name), F.lit(""))) == "" if name in base.columns else F.lit(True)
+
     titled = F.coalesce(F.col("clean_title"), F.lit("")) != ""
-    malformed = tx.strip(F.coalesce(F.col("arxiv"), F.lit(""))) != ""
     loose = F.col("resolved_url").isNull()
-    open_rows = base.filter(loose & titled & ~malformed)
+    lost = loose & titled & blank("arxiv")
+    url_only = ~loose & titled & blank("doi") & blank("pmid") & F.col("arxiv_id").isNull()
+    asked = F.when(lost, F.array(F.lit(fuzzy.PUBMED.name), F.lit(fuzzy.OPENALEX.name))).otherwise(
+        F.array(F.lit(fuzzy.OPENALEX.name), F.lit(fuzzy.S2.name)))
+    open_rows = base.filter(lost | url_only).select("ref_id", "clean_title", "year", asked.alias("q_sources"))
     found = fuzzy.search_all(open_rows, reg.pubmed, reg.openalex, reg.s2_papers, model)
     df = base.join(found, "ref_id", "left")
-    anchor = F.when(F.col("reverse_adjust").isNull(), ids.doi_key(F.col("openalex_doi")))
-    return df.withColumns({"anchor_doi": anchor, "titled": titled, "arxiv_malformed": loose & malformed})
+    anchor = F.when(loose & F.col("reverse_adjust").isNull(), ids.doi_key(F.col("openalex_doi")))
+    return df.withColumns({"anchor_doi": anchor, "titled": titled, "arxiv_malformed": loose & ~blank("arxiv")})
 
 
 def _checks(df: DataFrame, reg: Registries, landing, model, require_version) -> DataFrame:
@@ -194,6 +208,8 @@ def _decide(df: DataFrame, reg: Registries, landing, model) -> DataFrame:
         "doi_filled": F.when(r == 8, F.coalesce(tx.blank_to_null(F.coalesce(F.col("doi"), F.lit(""))), F.col(
             "anchor_doi"))).otherwise(F.col("doi")),
         "reachable": F.when(r > 13, reachable),
+        # a page that could not be read, or an earlier finding, leaves no room for confirmation by title
+        **{c: F.when(loose | r.isin(18, 19), F.col(c)) for c in ("openalex_confirmed", "openalex_near", "s2_title_matched")},
     })
     if reg.archives is not None:
         df = match.latest_archive(df, reg.archives, reg.archive_order)
@@ -239,6 +255,11 @@ def with_notes(results: DataFrame) -> DataFrame:
         note(on("retraction_check_failed"), "retraction_check_incomplete"),
         note(got("archive_url").isNotNull(), "archive", got("archive_url")),
         note(on("landing_near"), "landing_title_near"),
+        note(on("openalex_confirmed"), "open_index_has_title"),
+        note(on("openalex_near"), "open_index_title_near"),
+        note(on("s2_title_matched"), "second_index_has_title"),
+        note(got("cited_by").isNotNull(), "cited_by", F.concat_ws(" ", got("cited_by").cast("string"), F.concat(
+            F.lit("("), got("citation_coverage").cast("string"), F.lit(")")), got("citing_title"))),
         note(F.size(F.coalesce(got("missing"), F.array().cast("array<string>"))) > 0 if "missing" in cols else F.lit(False),
              "missing_fields", F.array_join(F.col("missing"), ",") if "missing" in cols else None),
         note(F.coalesce(~got("tier").isin(*fv.TRUSTED_TIERS), F.lit(False)), "weak_tier", got("tier")),

@@ -234,3 +234,98 @@ def test_verify_sequence_never_condemns_by_search(spark, sf):
     rows = QUERIES["v1_verify_sequence"](spark, sf).collect()
     assert {r.rule for r in rows if r.verdict == "unverified"} <= {10}
     assert all(r.rule in (1, 2, 6, 11, 12, 13, 15, 16) for r in rows if r.verdict == "invalid")
+
+
+# --- chains, clone counts, hot word pairs ----------------------------------------------------------
+
+def test_chain_of_duplicates_takes_few_rounds(make_refs, monkeypatch):
+    """Each row shares its url with the one before or its DOI with the one after: only a walk of the whole chain decides."""
+    rows = [{"list_id": 1, "ref_id": i, "title": "one title", "url": f"https://a.org/{i // 2}", "doi": f"10.1/{(i + 1) // 2}"}
+            for i in range(1, 1001)]
+    cuts = []
+    monkeypatch.setattr(dedupe, "cut_lineage", lambda df, cut=dedupe.cut_lineage: cuts.append(1) or cut(df))
+    got = {r.ref_id: (r.duplicate_of, r.duplicate_kind) for r in dedupe.mark_duplicates(make_refs(rows)).collect()}
+    assert got == brute_duplicates([{"pmid": None, **r} for r in rows])
+    assert len(cuts) < 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_duplicates_with_long_dependencies(make_refs, seed):
+    rng = random.Random(seed)
+    rows = [{"list_id": 1, "ref_id": i, "title": "one title", "url": f"https://a.org/{rng.randrange(90)}" if rng.random() < 0.8 else None,
+             "doi": f"10.1/{rng.randrange(90)}" if rng.random() < 0.8 else None, "pmid": str(rng.randrange(200))} for i in range(1, 201)]
+    got = {r.ref_id: (r.duplicate_of, r.duplicate_kind) for r in dedupe.mark_duplicates(make_refs(rows)).collect()}
+    assert got == brute_duplicates(rows)
+
+
+def brute_partners(rows):
+    """Titles are compared in the order of their first rows; the ratio depends on the order a little."""
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(t, i)
+
+    def alike(t, u):
+        return t == u or ratio(*sorted((t, u), key=first.get)) >= 0.92
+
+    out = {}
+    for i, t, d in rows:
+        doi = sum(1 for j, u, e in rows if j != i and e != d and alike(t, u))
+        title = sum(1 for j, u, e in rows if e == d and abs(len(t) - len(u)) <= max(len(t), len(u)) * 0.35 and not alike(t, u))
+        if doi or title:
+            out[i] = (doi, title)
+    return out
+
+
+def partners(make_refs, rows):
+    groups = dedupe.clone_groups(make_refs([{"ref_id": i, "title": t, "doi": d} for i, t, d in rows]))
+    return {r.ref_id: (r.clone_doi_partners, r.clone_title_partners) for r in dedupe.clone_annotations(groups).collect()}
+
+
+@pytest.mark.parametrize("n", [2, 10, 65, 500])
+def test_clone_partners_of_a_group(make_refs, n):
+    """A group of n equal titles with n DOIs: every row has n - 1 partners, and no pair of rows is made."""
+    rows = [(i, "one title of a whole group", f"10.1000/{i}") for i in range(1, n + 1)]
+    assert partners(make_refs, rows) == {i: (n - 1, 0) for i in range(1, n + 1)}
+    rows = [(i, hashlib.md5(str(i).encode()).hexdigest(), "10.1000/one") for i in range(1, n + 1)]
+    assert partners(make_refs, rows) == {i: (0, n - 1) for i in range(1, n + 1)}
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_clone_partners_of_variants(make_refs, seed):
+    rows = variants(seed)
+    rows += [(1000 + i, t, d) for i, (_, t, d) in enumerate(rows[:20])]  # copies count as rows
+    assert partners(make_refs, rows) == brute_partners(rows)
+
+
+def test_claims_stand_in_for_missing_titles(make_refs):
+    df = make_refs([{"title": None, "doi": "10.1/a"}, {"title": " ", "doi": "10.1/a"}, {"title": None, "doi": "10.1/b"}])
+    df = df.withColumn("claim", F.lit("the claim of a row without title"))
+    assert {(r.ref_id, r.duplicate_of) for r in dedupe.mark_duplicates(df).collect()} == {(2, 1)}
+    assert {r.ref_id: r.clone_doi_partners for r in dedupe.clone_annotations(dedupe.clone_groups(df)).collect()} == {1: 1, 2: 1, 3: 2}
+    assert dedupe.mark_duplicates(df.drop("claim")).count() == 0
+
+
+def test_title_search_on_one_word_pair(spark):
+    """50,000 titles with one pair of longest words: a claim meets those of its years, and pairs nobody asks for none."""
+    records = spark.range(50_000).select(
+        F.lit("pubmed").alias("source"), F.lit(None).cast("bigint").alias("r_ord"), F.col("id").cast("string").alias("r_id"),
+        F.concat(F.lit("hypercalcaemia thrombocytopenia case "), F.col("id").cast("string")).alias("r_title"),
+        (1950 + F.col("id") % 100).cast("int").alias("r_year"), F.lit(None).cast("string").alias("r_doi"))
+    claims = spark.range(40).select(
+        F.col("id").alias("q_id"), F.concat(F.lit("hypercalcaemia thrombocytopenia case "), F.col("id").cast("string"), F.lit(" seen")).alias("q_title"),
+        (1950 + F.col("id") % 100).cast("int").alias("q_year"))
+    q = claims.select(F.lit("pubmed").alias("source"), "q_id", "q_year", F.lit("hypercalcaemia thrombocytopenia").alias("pair"))
+    assert fuzzy.word_hits(q, records, F.lit(True)).count() == 40 * 3 * 500 - 500  # the first year has no year before it
+    assert fuzzy.word_hits(q.withColumn("pair", F.lit("case seen")), records, F.lit(True)).count() == 0
+    found = {r.q_id: r.r_id for r in fuzzy.title_search(claims, records, [fuzzy.PUBMED]).collect()}
+    assert found == {i: str(i) for i in range(40)}
+
+
+def test_title_search_years(spark):
+    rows = [("a", 2000), ("b", 2001), ("c", 2003), ("d", None)]
+    records = spark.createDataFrame([("pubmed", None, i, "hypercalcaemia thrombocytopenia " + i * 3, y, None) for i, y in rows],
+                                    "source string, r_ord bigint, r_id string, r_title string, r_year int, r_doi string")
+    for year, want in ((2002, "bcd"), (2000, "abd"), (None, "abcd"), (0, "d")):
+        q = spark.createDataFrame([("pubmed", -1 if year is None else year, "hypercalcaemia thrombocytopenia")], "source string, q_year int, pair string")
+        assert {r.r_id for r in fuzzy.word_hits(q, records, F.lit(True)).collect()} == set(want)
+        assert {r.r_id for r in fuzzy.word_hits(q, records, F.lit(False)).collect()} == set("abcd")
