@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refledger import fixed_values as fv
 from refledger.functions import citations as ct
 from refledger.operators.common import top_k
+from refledger.session import cut_lineage
 
 
 def extract_mentions(documents: DataFrame) -> DataFrame:
@@ -124,17 +125,18 @@ def anchor_rates(mentions: DataFrame, bound: DataFrame, listed: DataFrame,
 
 def document_audit(documents: DataFrame, listed: DataFrame, threshold: float = fv.ANCHOR_THRESHOLD) -> DataFrame:
     """Counts and coverage per document.  The uncited entries themselves are ``uncited_refs``."""
-    mentions = extract_mentions(documents)
-    bound = bind_citations(mentions, listed)
+    # the texts are read once; what follows works on markers
+    mentions = cut_lineage(extract_mentions(documents))
+    bound = cut_lineage(bind_citations(mentions, listed))
     rates = anchor_rates(mentions, bound, listed, threshold)
-    totals = mentions.groupBy("doc_id").agg(F.count("*").alias("n_citations"))
-    unbound = unbound_mentions(mentions, bound).groupBy("doc_id").agg(F.count("*").alias("n_unbound"))
-    low = rates.groupBy("doc_id").agg(F.count_if(F.col("anchor") == "low").alias("n_low_anchor"))
-    cited = cited_overlap(listed, documents, bound).groupBy("doc_id").agg(F.count("*").alias("n_cited"))
+    per_marker = mentions.select("doc_id", F.lit(1).alias("n"), F.lit(0).alias("low"), F.lit(0).alias("bound")).unionByName(
+        rates.select("doc_id", F.lit(0).alias("n"), (F.col("anchor") == "low").cast("int").alias("low"), F.lit(1).alias("bound")))
+    # a marker has a rate exactly if one of its targets is bound
+    counts = per_marker.groupBy("doc_id").agg(
+        F.sum("n").alias("n_citations"), (F.sum("n") - F.sum("bound")).alias("n_unbound"), F.sum("low").alias("n_low_anchor"))
+    cited = bound.groupBy("doc_id").agg(F.count_distinct("ref_id").alias("n_cited"))
     sizes = listed.groupBy("list_id").agg(F.count("*").alias("n_listed"))
-    out = documents.select("doc_id", "list_id").join(sizes, "list_id", "left")
-    for part in (totals, unbound, low, cited):
-        out = out.join(part, "doc_id", "left")
+    out = documents.select("doc_id", "list_id").join(sizes, "list_id", "left").join(counts, "doc_id", "left").join(cited, "doc_id", "left")
     filled = out.na.fill(0, ["n_listed", "n_citations", "n_unbound", "n_low_anchor", "n_cited"])
     coverage = F.when(F.col("n_listed") > 0, F.round(F.col("n_cited") / F.col("n_listed"), 2)).otherwise(F.lit(0.0))
     return filled.select("doc_id", "list_id", "n_citations", "n_unbound", "n_low_anchor", "n_listed",

@@ -20,26 +20,26 @@ def evidence_topk_tfidf(documents: DataFrame, claims: DataFrame, k: int = 2, siz
     """Best ``k`` chunks of each claim's own document.
 
     Score: sum over the claim's tokens (repeats count) of tf * ln((N+1)/(df+1)), N and df within the
-    document; ties keep chunk order, chunks without any token included.  The text is scanned once:
-    chunk counts, token counts and claim weights all leave the row that holds the passage.
+    document; ties keep chunk order, chunks without any token included.  A text meets the tokens of all its
+    claims together and leaves as counts per chunk and token, which the single claims then join.  A chunk without
+    a score can only be among the best ``k`` if it is one of the first ``k``, so those alone are added for each claim.
     """
-    cut = ct.chunks(F.col("text"), size, overlap)
     step = size - overlap
-    counted = documents.select("doc_id", "text", F.floor((F.length("text") + step - 1) / step).alias("n_chunks"))
-    pieces = counted.select("doc_id", "n_chunks", F.posexplode(cut).alias("chunk", "passage"))
     query = claims.select("claim_id", "doc_id", _tokens(F.col("claim")).alias("q"))
-    # a token is counted as a whole run of token characters, so the lambda never needs the token array
-    low, edge = F.lower("passage"), "[a-z0-9一-鿿]"
-    found = F.transform(F.array_intersect(_tokens(F.col("passage")), "q"), lambda t: F.struct(
-        t.alias("token"),
-        F.regexp_count(low, F.concat(F.lit(f"(?<!{edge})"), t, F.lit(f"(?!{edge})"))).alias("tf"),
-        (F.size("q") - F.size(F.array_remove("q", t))).alias("qn")))
-    tf = pieces.join(query, "doc_id").select(
-        "claim_id", "doc_id", "chunk", "n_chunks", F.inline_outer(found).alias("token", "tf", "qn"))
-    df = F.count("token").over(Window.partitionBy("claim_id", "token"))
-    weight = F.col("qn") * F.col("tf") * F.log((F.col("n_chunks") + 1) / (df + 1))
-    ranked = tf.withColumn("w", weight).groupBy("claim_id", "doc_id", "chunk").agg(
-        F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 6).alias("score"))
+    wanted = query.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("q"))).alias("words"))
+    counted = documents.select("doc_id", "text", F.floor((F.length("text") + step - 1) / step).alias("n_chunks"))
+    texts = counted.join(wanted, "doc_id").select("doc_id", "words", F.posexplode(ct.chunks(F.col("text"), size, overlap)).alias("chunk", "passage"))
+    tf = texts.select("doc_id", "chunk", F.explode(F.filter(
+        _tokens(F.col("passage")), lambda t: F.array_contains("words", t))).alias("token")).groupBy("doc_id", "chunk", "token").agg(
+        F.count("*").alias("tf"))
+    df = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "token")))
+    asked = query.select("claim_id", "doc_id", F.explode("q").alias("token")).groupBy("claim_id", "doc_id", "token").agg(F.count("*").alias("qn"))
+    sized = query.select("claim_id", "doc_id").join(counted.select("doc_id", "n_chunks"), "doc_id")
+    weight = F.col("qn") * F.col("tf") * F.log((F.col("n_chunks") + 1) / (F.col("df") + 1))
+    scored = asked.join(df, ["doc_id", "token"]).join(sized, ["claim_id", "doc_id"]).select("claim_id", "doc_id", "chunk", weight.alias("w"))
+    first = sized.filter("n_chunks > 0").select("claim_id", "doc_id", F.explode(F.sequence(
+        F.lit(0), (F.least(F.lit(k), F.col("n_chunks")) - 1).cast("int"))).alias("chunk"), F.lit(0.0).alias("w"))
+    ranked = scored.unionByName(first).groupBy("claim_id", "doc_id", "chunk").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(ranked, ["claim_id"], [F.col("score").desc(), F.col("chunk")], k).select(
         "claim_id", "doc_id", "chunk", "rank", "score")
 

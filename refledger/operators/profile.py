@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
+from refledger.functions.shipping import ship_by_value
+from refledger.session import cut_lineage
+
+ship_by_value(__name__)
 
 
 # --- serial identifiers --------------------------------------------------------------------------
@@ -96,60 +104,86 @@ def profile_bibliography(refs: DataFrame, as_of_year: int) -> DataFrame:
 
 # --- probe log ---------------------------------------------------------------------------------------
 
-def _slice(ts: str, width: str) -> Column:
-    return F.date_trunc(width, F.col(ts))
-
-
-def _runs(probes: DataFrame, width: str) -> DataFrame:
+def _runs(probes: DataFrame) -> DataFrame:
     """host, first and last (ts, probe_id), n of every run of consecutive transport failures.
 
-    Each (host, day) is sorted on its own; runs that touch the first or last probe of their day are
-    stitched over the days of the host, a table that is smaller by the probes per day.
+    Probes are dealt into ranges of host and time of about equal row counts, whatever the hosts, and each range is read
+    once in order.  A range gives its failure runs and its first and last run of any kind; the latter, two a range, are
+    all that can go on in the next range, and are put together there.
     """
-    order = ["ts", "probe_id"]
-    rows = probes.select("host", *order, F.col("error_kind").isNotNull().alias("bad"), _slice("ts", width).alias("sl"))
-    local = Window.partitionBy("host", "sl").orderBy(*order)
-    marked = rows.withColumns({
-        "rn": F.row_number().over(local),
-        "turn": F.coalesce((F.col("bad") != F.lag("bad").over(local)).cast("int"), F.lit(0)),
-    }).withColumn("run", F.sum("turn").over(local))
-    runs = marked.groupBy("host", "sl", "run").agg(
-        F.bool_and("bad").alias("bad"), F.min("rn").alias("rn_lo"), F.max("rn").alias("rn_hi"),
-        F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"), F.count("*").alias("n"))
-    ends = runs.groupBy("host", "sl").agg(F.max("rn_hi").alias("rows"))
-    edged = runs.join(ends, ["host", "sl"]).withColumn(
-        "edge", (F.col("rn_lo") == 1) | (F.col("rn_hi") == F.col("rows")))
-    inner = edged.filter("bad and not edge").select("host", "first", "last", "n")
-    across = Window.partitionBy("host").orderBy("sl", "rn_lo")
-    # within a day two edge runs of one kind always have another run between them
-    linked = F.coalesce(
-        (F.col("bad") == F.lag("bad").over(across)) & (F.col("sl") != F.lag("sl").over(across)), F.lit(False))
-    stitched = (
-        edged.filter("edge").withColumn("brk", (~linked).cast("int"))
-        .withColumn("grp", F.sum("brk").over(across)).filter("bad")
-        .groupBy("host", "grp").agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")))
-    return inner.unionByName(stitched.select("host", "first", "last", "n"))
-
-
-def failure_runs(probes: DataFrame, width: str = "day") -> DataFrame:
+    order = ["host", "ts", "probe_id"]
+    rows = probes.select(*order, F.col("error_kind").isNotNull().alias("bad")).repartitionByRange(*order).sortWithinPartitions(
+        *order).select(F.spark_partition_id().alias("part"), *order, "bad")
+    kinds = dict(rows.dtypes)
+    ends = ", ".join(f"{e}_{c} {kinds[c]}" for e in ("first", "last") for c in ("ts", "probe_id"))
+    runs = cut_lineage(rows.mapInArrow(_range_runs, f"part int, host string, bad boolean, n bigint, head boolean, tail boolean, {ends}"))
+    first, last = (F.struct(F.col(f"{e}_ts").alias("ts"), F.col(f"{e}_probe_id").alias("probe_id")).alias(e) for e in ("first", "last"))
+    runs = runs.select("part", "host", "bad", "n", "head", "tail", first, last)
+    inner = runs.filter("bad AND NOT head AND NOT tail").select("host", "first", "last", "n")
+    # at most two rows a range: as many as there are tasks
+    across = Window.partitionBy(F.lit(0)).orderBy("part", F.col("head").desc())
+    goes_on = F.coalesce(F.col("head") & F.col("host").eqNullSafe(F.lag("host").over(across)) & (F.col("bad") == F.lag("bad").over(across)), F.lit(False))
+    joined = runs.filter("head OR tail").withColumn("new", (~goes_on).cast("int")).withColumn("run", F.sum("new").over(across)).filter(
+        "bad").groupBy("run").agg(F.first("host").alias("host"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return inner.unionByName(joined.drop("run"))
+
+
+def _range_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal host and kind in sorted rows: failures, and the first (head) and last (tail) run of all."""
+    held, names = None, ["part", "host", "bad", "n", "head", "tail", "first_ts", "first_probe_id", "last_ts", "last_probe_id"]
+    begun = False
+
+    def finished(run: pa.Table, tail: bool) -> pa.Table:
+        nonlocal begun
+        head = np.zeros(run.num_rows, bool)
+        if run.num_rows and not begun:
+            head[0] = begun = True
+        at_end = np.zeros(run.num_rows, bool)
+        if tail:
+            at_end[-1] = True
+        out = run.append_column("head", pa.array(head)).append_column("tail", pa.array(at_end)).select(names)
+        return out.filter(pa.compute.or_(out["bad"], pa.array(head | at_end)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        host, bad = batch["host"].dictionary_encode().indices.fill_null(-1).to_numpy(), batch["bad"].to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.concatenate([[True], (host[1:] != host[:-1]) | (bad[1:] != bad[:-1])]))
+        stop = np.concatenate([edge[1:], [batch.num_rows]])
+        a, b = pa.array(edge), pa.array(stop - 1)
+        runs = pa.table({"part": batch["part"].take(a), "host": batch["host"].take(a), "bad": batch["bad"].take(a), "n": pa.array(stop - edge, pa.int64()),
+                         "first_ts": batch["ts"].take(a), "first_probe_id": batch["probe_id"].take(a),
+                         "last_ts": batch["ts"].take(b), "last_probe_id": batch["probe_id"].take(b)})
+        if held is not None:
+            one, two = held.to_pylist()[0], runs.slice(0, 1).to_pylist()[0]
+            if (one["host"], one["bad"]) == (two["host"], two["bad"]):
+                whole = {**one, "n": one["n"] + two["n"], "last_ts": two["last_ts"], "last_probe_id": two["last_probe_id"]}
+                runs = pa.concat_tables([pa.Table.from_pylist([whole], runs.schema), runs.slice(1)])
+            else:
+                runs = pa.concat_tables([held, runs])
+        yield from finished(runs.slice(0, runs.num_rows - 1), False).to_batches()
+        held = runs.slice(runs.num_rows - 1)
+    if held is not None:
+        yield from finished(held, True).to_batches()
+
+
+def failure_runs(probes: DataFrame) -> DataFrame:
     """Runs of consecutive transport failures per host: host, first_ts, last_ts, run_length."""
-    return _runs(probes, width).select(
+    return _runs(probes).select(
         "host", F.col("first.ts").alias("first_ts"), F.col("last.ts").alias("last_ts"), F.col("n").alias("run_length"))
 
 
-def run_summary(probes: DataFrame, width: str = "day") -> DataFrame:
-    """Per host: failures before the first answer, after the last one, longest run, and whether all failed.
-
-    Two consecutive summaries of a host combine into the summary of both."""
+def run_summary(probes: DataFrame) -> DataFrame:
+    """Per host: failures before the first answer, after the last one, longest run, whether all failed, and the last
+    (ts, probe_id).  Two consecutive summaries of a host combine into the summary of both."""
     span = probes.groupBy("host").agg(
         F.count("*").alias("n"), F.min(F.struct("ts", "probe_id")).alias("lo"), F.max(F.struct("ts", "probe_id")).alias("hi"))
-    runs = span.join(_runs(probes, width).select("host", "first", "last", F.col("n").alias("len")), "host", "left")
+    runs = span.join(_runs(probes).select("host", "first", "last", F.col("n").alias("len")), "host", "left")
     at = runs.groupBy("host").agg(
         F.coalesce(F.max(F.when(F.col("first") == F.col("lo"), F.col("len"))), F.lit(0)).alias("head"),
         F.coalesce(F.max(F.when(F.col("last") == F.col("hi"), F.col("len"))), F.lit(0)).alias("tail"),
-        F.coalesce(F.max("len"), F.lit(0)).alias("longest"), F.max("n").alias("n"))
-    return at.select("host", "head", "tail", "longest", (F.col("head") == F.col("n")).alias("all_failed"))
+        F.coalesce(F.max("len"), F.lit(0)).alias("longest"), F.max("n").alias("n"), F.max("hi").alias("seen"))
+    return at.select("host", "head", "tail", "longest", (F.col("head") == F.col("n")).alias("all_failed"), "seen")
 
 
 def host_health(probes: DataFrame, threshold: int = 2, degrade_hosts: int = 3) -> DataFrame:

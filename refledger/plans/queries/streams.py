@@ -130,15 +130,38 @@ def st4_windows(spark, sf):
     return to_table(jobs.probe_windows(_probe_stream(spark, sf)), scratch(spark))
 
 
-@query("st4_probe_health", _RUNS + """
-SELECT h.host, coalesce(m, 0) AS longest_run, coalesce(m, 0) >= 2 AS is_open FROM (SELECT DISTINCT host FROM fx_probes) h
-LEFT JOIN (SELECT host, max(run_length) AS m FROM runs GROUP BY 1) r ON r.host = h.host""")
+BATCHES = 6
+# six batches in the order of time; one probe in fifty comes a batch too late, and counts only if its host has nothing newer
+_ARRIVALS = f"""
+WITH span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM fx_probes),
+arr AS (SELECT p.*, least({BATCHES - 1}, CAST(floor({BATCHES} * date_diff('second', lo, ts) / (date_diff('second', lo, hi) + 1.0)) AS INT)
+    + CASE WHEN probe_id % 50 = 7 THEN 1 ELSE 0 END) AS batch FROM fx_probes p, span),
+seen AS (SELECT *, max({{'t': ts, 'p': probe_id}}) OVER (PARTITION BY host ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM arr),
+ok AS (SELECT *, coalesce({{'t': ts, 'p': probe_id}} < last, false) AS late FROM seen),
+m AS (SELECT host, error_kind IS NOT NULL AS bad, row_number() OVER (PARTITION BY host ORDER BY ts, probe_id)
+    - row_number() OVER (PARTITION BY host, error_kind IS NOT NULL ORDER BY ts, probe_id) AS grp FROM ok WHERE NOT late),
+runs AS (SELECT host, max(n) AS m FROM (SELECT host, grp, count(*) AS n FROM m WHERE bad GROUP BY 1, 2) GROUP BY 1),
+tails AS (SELECT host, count(*) AS tail FROM (SELECT host, bool_and(error_kind IS NOT NULL) OVER (PARTITION BY host ORDER BY ts DESC, probe_id DESC) AS still
+  FROM ok WHERE NOT late) WHERE still GROUP BY 1)
+SELECT h.host, coalesce(m, 0) AS longest_run, coalesce(m, 0) >= 2 AS is_open, coalesce(tail, 0) AS tail, n_late
+FROM (SELECT host, count(*) FILTER (WHERE late) AS n_late FROM ok GROUP BY 1) h LEFT JOIN runs r ON r.host = h.host LEFT JOIN tails t ON t.host = h.host"""
+
+
+@query("st4_probe_health", _ARRIVALS)
 def st4_health(spark, sf):
+    """The probe log as it would arrive, late rows among it."""
     where = scratch(spark)
-    drain(jobs.probe_health_stream(_probe_stream(spark, sf), f"{where}/state", f"{where}/checkpoint"))
-    state = spark.read.parquet(f"{where}/state")
-    last = state.agg(F.max("version").alias("version"))
-    return state.join(F.broadcast(last), "version").select("host", "longest_run", "is_open")
+    probes = view(spark, sf, "fx_probes")
+    lo, hi = probes.agg(F.min("ts"), F.max("ts")).first()
+    seconds = F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp")) - F.unix_seconds(F.lit(lo.replace(microsecond=0)).cast("timestamp"))
+    place = F.floor(BATCHES * seconds / (int((hi.replace(microsecond=0) - lo.replace(microsecond=0)).total_seconds()) + 1.0)).cast("int")
+    batch = F.least(F.lit(BATCHES - 1), place + F.when(F.col("probe_id") % 50 == 7, 1).otherwise(0))
+    rows = probes.select("probe_id", "host", F.col("ts").cast("timestamp").alias("ts"), "error_kind", batch.alias("batch"))
+    for i in range(BATCHES):  # as a scheduled job runs: what has come since the last run is one micro-batch
+        rows.filter(F.col("batch") == i).drop("batch").write.mode("append").parquet(f"{where}/log")
+        stream = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{where}/log")
+        drain(jobs.probe_health_stream(stream, f"{where}/state", f"{where}/checkpoint"))
+    return jobs.probe_health(spark, f"{where}/state").select("host", "longest_run", "is_open", "tail", "n_late")
 
 
 @query("st5_trace_stream", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -140,31 +140,54 @@ def probe_windows(probes: DataFrame, window: str = "1 day", delay: str = "1 hour
 
 
 def probe_health_stream(probes: DataFrame, state_path: str, checkpoint: str, threshold: int = 2):
-    """Host health kept over micro-batches: host, tail, longest_run, is_open under ``state_path``.
+    """Host health kept over micro-batches: host, tail, longest_run, is_open, seen (last ts and probe), n_late.
 
-    A micro-batch is reduced to one summary per host by the skew-safe batch operator and merged with
-    the previous version of the state table; versions are keyed by batch id, so a replay rewrites its
-    own version.  An open host stays open; an answer resets the running count."""
+    A micro-batch is reduced to one summary per host by the skew-safe batch operator and merged with the state so far.
+    A probe older than the last one that the state has of its host is late: it is counted and changes no run.  An open
+    host stays open; an answer resets the running count.
+
+    Two folders take turns, so the state exists twice at most: batch n reads what batch n - 1 wrote and replaces what
+    batch n - 2 wrote, and a replay of batch n finds its input untouched.  ``probe_health`` reads the last state."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = profile.run_summary(batch)
-        if batch_id > 0:
-            old = batch.sparkSession.read.parquet(f"{state_path}/version={batch_id - 1}")
+        spark = batch.sparkSession
+        before = spark.read.parquet(health_folder(state_path, batch_id - 1)) if batch_id > 0 else None
+        rows = batch.select("host", "ts", "probe_id", "error_kind")
+        if before is None:
+            timely, late = rows, None
         else:
-            old = new.limit(0).select("host", F.col("tail"), F.col("longest").alias("longest_run"), F.lit(False).alias("is_open"))
-        old = old.select("host", F.col("tail").alias("old_tail"), "longest_run", "is_open")
+            placed = rows.join(before.select("host", "seen"), "host", "left").withColumn(
+                "late", F.coalesce(F.struct("ts", "probe_id") < F.col("seen"), F.lit(False)))
+            timely, late = placed.filter("NOT late"), placed.filter("late").groupBy("host").agg(F.count("*").alias("new_late"))
+        new = profile.run_summary(timely)
+        if before is None:
+            before = new.limit(0).select("host", "tail", F.col("longest").alias("longest_run"), F.lit(False).alias("is_open"), "seen",
+                                         F.lit(0).cast("bigint").alias("n_late"))
+        old = before.select("host", F.col("tail").alias("old_tail"), "longest_run", "is_open", F.col("seen").alias("old_seen"), "n_late")
         j = new.join(old, "host", "full_outer")
+        j = j.join(late, "host", "left") if late is not None else j.withColumn("new_late", F.lit(None).cast("bigint"))
         carried = F.coalesce("old_tail", F.lit(0))
         joined = carried + F.coalesce("head", F.lit(0))
         longest = F.greatest(F.coalesce("longest_run", F.lit(0)), F.coalesce("longest", F.lit(0)),
                              F.when(F.col("head").isNotNull(), joined).otherwise(F.lit(0)))
         tail = F.when(F.col("head").isNull(), carried).when(F.col("all_failed"), joined).otherwise(F.col("tail"))
         j.select("host", tail.cast("bigint").alias("tail"), longest.cast("bigint").alias("longest_run"),
-                 (F.coalesce("is_open", F.lit(False)) | (longest >= threshold)).alias("is_open")).write.mode(
-                     "overwrite").parquet(f"{state_path}/version={batch_id}")
+                 (F.coalesce("is_open", F.lit(False)) | (longest >= threshold)).alias("is_open"), F.coalesce("seen", "old_seen").alias("seen"),
+                 (F.coalesce("n_late", F.lit(0)) + F.coalesce("new_late", F.lit(0))).cast("bigint").alias("n_late"),
+                 F.lit(batch_id).cast("bigint").alias("version")).write.mode("overwrite").parquet(health_folder(state_path, batch_id))
 
     return probes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def health_folder(state_path: str, batch_id: int) -> str:
+    return f"{state_path}/turn={batch_id % 2}"
+
+
+def probe_health(spark: SparkSession, state_path: str) -> DataFrame:
+    """The last state that ``probe_health_stream`` wrote."""
+    both = spark.read.parquet(state_path).drop("turn")
+    return both.join(F.broadcast(both.agg(F.max("version").alias("version"))), "version")
+
+
 def trace_stream(results: DataFrame, path: str, checkpoint: str, run_date: str):
     """Append one trace row per list and micro-batch."""
     def run(batch: DataFrame, batch_id: int) -> None:

@@ -179,15 +179,37 @@ def test_serial_clusters_across_slices(make_refs, width):
     assert (got.run_length, got.first_tail, got.last_tail) == (len(best), str(best[0]), str(best[-1]))
 
 
-@pytest.mark.parametrize("width", ["hour", "day"])
-def test_failure_runs_across_slices(spark, width):
-    rng = random.Random(9)
-    rows = [(i, "h", i // 3, None if rng.random() < 0.4 else "timeout") for i in range(200)]
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_failure_runs_across_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(i, rng.choice(["a", "b", None]) if i < 60 else "h", i // 3, None if rng.random() < (0.02 if i > 250 else 0.4) else "timeout") for i in range(400)]
     df = spark.createDataFrame(rows, "probe_id bigint, host string, m bigint, error_kind string").withColumn(
         "ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(m * 20 as int))"))
-    got = sorted(r.run_length for r in profile.failure_runs(df, width).collect())
-    want = sorted(len(list(g)) for bad, g in itertools.groupby(rows, key=lambda r: r[3] is not None) if bad)
-    assert got == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((str(r.host), r.first_ts, r.run_length) for r in profile.failure_runs(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    times = {r.probe_id: r.ts for r in df.collect()}
+    want = []
+    for host in ("a", "b", None, "h"):
+        for bad, g in itertools.groupby([r for r in rows if r[1] == host], key=lambda r: r[3] is not None):
+            g = list(g)
+            want += [(str(host), times[g[0][0]], len(g))] if bad else []
+    assert got == sorted(want)
+
+
+def test_a_hot_host_is_dealt_evenly(spark):
+    """One host with nine tenths of the probes of one day: the ranges hold about the same number of rows."""
+    rows = spark.range(40_000).selectExpr(
+        "id AS probe_id", "CASE WHEN id % 10 > 0 THEN 'hot' ELSE concat('h', id % 200) END AS host",
+        "timestamp '2024-01-01' + make_dt_interval(0, 0, 0, cast(id % 86400 as int)) AS ts", "CASE WHEN id % 7 > 0 THEN 'timeout' END AS error_kind")
+    sizes = [r["count"] for r in rows.repartitionByRange(16, "host", "ts", "probe_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sorted(sizes)[8]
+    assert profile.failure_runs(rows).agg(F.sum("run_length")).first()[0] == rows.filter("error_kind IS NOT NULL").count()
 
 
 def test_number_rows_equals_row_number(spark):
