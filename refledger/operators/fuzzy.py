@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from refledger import fixed_values as fv
 from refledger.functions import text as tx
 from refledger.functions.similarity import SEQUENCE, SimilarityModel, length_bound
+from refledger.operators.common import first_row_by
 
 
 def search_words(title: Column) -> Column:
@@ -157,6 +158,15 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
         "q_id", "source", "m.r_id", "m.r_title", "m.r_year", "m.r_doi", "m.sim")
 
 
+def best_candidate(claims: DataFrame, records: DataFrame, key: str, model: SimilarityModel = SEQUENCE) -> DataFrame:
+    """Of the records that share ``key`` with a claim and fit its year, the most alike by title; ties to the first.
+
+    ``claims``: ref_id, key, title, year.  ``records``: rank_id, key, r_title, r_year.  Returns ref_id, rank_id, sim."""
+    met = claims.join(records, key).filter(tx.years_compatible(F.col("year"), F.col("r_year")))
+    scored = met.select("ref_id", "rank_id", model.plain(F.col("title"), F.col("r_title")).alias("sim"))
+    return first_row_by(scored, ["ref_id"], [-F.col("sim"), F.col("rank_id")])
+
+
 # --- the registries as search records ------------------------------------------------------------
 
 def _claims(refs: DataFrame) -> DataFrame:

@@ -80,10 +80,11 @@ def s3(spark, sf):
 
 @query("s4_read_refs_dir", """
 WITH f AS (SELECT printf('%012d.bib', ref_id) AS p, ref_id AS file, 0 AS k, nullif(trim(regexp_replace(regexp_replace(title, '[{}"\\\\]', '', 'g'), '\\s+', ' ', 'g')), '') AS title FROM fx_refs
-  UNION ALL SELECT printf('%012d.json', ref_id), ref_id, 0, title FROM fx_refs UNION ALL SELECT printf('%012d.json', ref_id), ref_id, 1, 'loose text' FROM fx_refs WHERE ref_id % 10 = 0)
+  UNION ALL SELECT printf('%012d.json', ref_id), ref_id, 0, title FROM fx_refs UNION ALL SELECT printf('%012d.json', ref_id), ref_id, 1, 'loose text' FROM fx_refs WHERE ref_id % 10 = 0
+  UNION ALL SELECT printf('%012d.md', ref_id), ref_id, 0, t FROM (SELECT ref_id, trim(regexp_replace(title, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM fx_refs) WHERE length(t) + 3 >= 15)
 SELECT p AS path, row_number() OVER (ORDER BY p, k) AS ref_id, title FROM f""")
 def s4(spark, sf):
-    df = readers.combine_parts(readers.parse_refs_json(_json_texts(spark, sf)), parse_bibtex(_bib_texts(spark, sf)))
+    df = readers.combine_parts(readers.parse_refs_json(_json_texts(spark, sf)), parse_bibtex(_bib_texts(spark, sf)), parse_markdown(_md_texts(spark, sf)))
     return df.select("path", "ref_id", "title")
 
 

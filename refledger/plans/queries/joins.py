@@ -483,6 +483,11 @@ def t1_cited(spark, sf):
     return dc.discover(view(spark, sf, "fx_pubmed"), view(spark, sf, "fx_openalex"), _TOPIC, 20, "cited", 1995, True).drop("source_rank", "row_order")
 
 
+@query("t1_discover_newest", _discover_sql("year DESC NULLS LAST", "year DESC NULLS LAST"))
+def t1_newest(spark, sf):
+    return dc.discover(view(spark, sf, "fx_pubmed"), view(spark, sf, "fx_openalex"), _TOPIC, 20, "newest").drop("source_rank", "row_order")
+
+
 # --- the verdict ---------------------------------------------------------------------------------------------------
 
 VERIFY_SQL = NORMAL_SQL + f""",

@@ -202,18 +202,24 @@ def f3_f5(spark, sf):
                     ids.normalise_url(F.col("url")).alias("url_key"))
 
 
-#: Texts of other writing systems beside the documents' own; the script each one is of.
+#: Texts of other writing systems and the script each one is of.
 _SCRIPTS = [("Журнал истории", "cyrillic"), ("深度学习方法", "han"), ("歴史のノート", "kana"), ("1984 - 2001", "none")]
+_TIMES = "(doc_id % 9) * (doc_id % 9) * 12"
 
 
-@query("f8_script_family", "SELECT doc_id, CASE doc_id % 5 " + " ".join(
-    f"WHEN {i} THEN {q(name)}" for i, (_, name) in enumerate(_SCRIPTS, 1)) + " ELSE 'latin' END AS script FROM documents WHERE regexp_matches(text, '\\p{L}')")
+@query("f8_script_family", f"""
+WITH t AS (SELECT doc_id, {_TIMES} AS times, len(regexp_extract_all(coalesce(text, ''), '\\p{{L}}')) AS own,
+  CASE doc_id % 5 {" ".join(f"WHEN {i} THEN {sum(c.isalpha() for c in sample)}" for i, (sample, _) in enumerate(_SCRIPTS, 1))} ELSE 0 END AS letters,
+  CASE doc_id % 5 {" ".join(f"WHEN {i} THEN {q(name)}" for i, (_, name) in enumerate(_SCRIPTS, 1))} END AS added FROM documents)
+SELECT doc_id, CASE WHEN times > 0 AND added = 'kana' THEN 'kana' WHEN own + times * letters = 0 THEN 'none'
+  WHEN times * letters > own THEN added ELSE 'latin' END AS script FROM t""")
 def f8(spark, sf):
-    d = view(spark, sf, "documents").filter(F.col("text").rlike(r"\p{L}"))
-    text = F.col("text")
+    """Every document's own text, with more or less text of another script behind it."""
+    other = F.lit("")
     for i, (sample, _) in enumerate(_SCRIPTS, 1):
-        text = F.when(F.col("doc_id") % 5 == i, F.lit(sample)).otherwise(text)
-    return d.select("doc_id", tx.script_family(text).alias("script"))
+        other = F.when(F.col("doc_id") % 5 == i, F.lit(sample)).otherwise(other)
+    text = F.concat(F.coalesce("text", F.lit("")), F.expr("repeat(other, cast(" + _TIMES + " as int))"))
+    return view(spark, sf, "documents").withColumn("other", other).select("doc_id", tx.script_family(text).alias("script"))
 
 
 @query("f9_seq_ratio")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refledger import schemas
 from refledger.functions import text as tx
 from refledger.operators.common import first_row_by, number_rows
+from refledger.session import cut_lineage
 from refledger.sources.bibtex import parse_bibtex
 from refledger.sources.markdown import parse_markdown
 
@@ -59,15 +60,17 @@ def number_parts(parts: DataFrame, list_id: Column | None = None) -> DataFrame:
     """Assign list and row ids: files in name order, entries in file order.
 
     Every file is its own list unless ``list_id`` says otherwise."""
-    # one row per file, never per entry; folders are numbered first, then the files of each folder
+    # one row per file, never per entry: ranges of file names of about equal size are numbered each on its own, and
+    # start where the ranges before them end (one row a range)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    files = parts.groupBy("path").agg(F.count("*").alias("n")).withColumn("folder", folder)
-    inside, across = Window.partitionBy("folder").orderBy("path"), Window.partitionBy(F.lit(0)).orderBy("folder")
+    files = cut_lineage(parts.groupBy("path").agg(F.count("*").alias("n")).withColumn("folder", folder).repartitionByRange(
+        "folder", "path").withColumn("part", F.spark_partition_id()))
+    inside, across = Window.partitionBy("part").orderBy("folder", "path"), Window.partitionBy(F.lit(0)).orderBy("part")
     before = Window.unboundedPreceding, -1
-    folders = files.groupBy("folder").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select(
-        "folder", F.coalesce(F.sum("k").over(across.rowsBetween(*before)), F.lit(0)).alias("files_before"),
+    ranges = files.groupBy("part").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select(
+        "part", F.coalesce(F.sum("k").over(across.rowsBetween(*before)), F.lit(0)).alias("files_before"),
         F.coalesce(F.sum("s").over(across.rowsBetween(*before)), F.lit(0)).alias("rows_before"))
-    sized = files.join(folders, "folder").select(
+    sized = files.join(ranges, "part").select(
         "path", (F.col("files_before") + F.row_number().over(inside)).alias("file_no"),
         (F.col("rows_before") + F.coalesce(F.sum("n").over(inside.rowsBetween(*before)), F.lit(0))).alias("offset"))
     df = parts.join(sized, "path")
