@@ -10,11 +10,10 @@ dimensions, so some v is orthogonal to all of them, and the pair agrees in that
 missed, whatever the data.
 
 * Equal fingerprints are one node, so copies never meet in a table.
-* In every table, the nodes of one key are compared with the smallest of them only, which is linear in the nodes.
-* A key whose nodes still lie in different components, and of which there are over two, is split again by 15 tables
-  over the bits that the key leaves free.  A pair within the radius stays together in one of them at each level, and
-  with RADIUS or fewer free bits all nodes of a key are linked, so splitting ends with every link's effect found.
-  All pairs of a key are never made.
+* Nodes that share a key in a table are compared in a small matrix if they are at most ``CELL``; it gives no more than a
+  link a node.  A key with more nodes is split again by 15 tables over the bits that it leaves free.  A pair within the
+  radius stays together in one of them at each level, and a key that leaves b bits free has no more than 2**b nodes, so
+  splitting ends with every pair compared that can be within the radius.  All pairs of a key are never made.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a document without id is
 linked and counted, and the smallest id of a component is taken without it (null if there is no other); repeated rows
@@ -23,7 +22,7 @@ are separate rows of one node; without documents there are no rows; other column
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,8 @@ P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
 VECTORS = [1, 2, 4, 8, 15, 3, 5, 6, 9, 10, 12, 7, 11, 13, 14]
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
+#: Nodes of a key that are compared at once.
+CELL = 256
 
 
 def turned(x: np.ndarray, bits: int) -> np.ndarray:
@@ -166,24 +167,40 @@ def dealt(members: DataFrame) -> DataFrame:
     return arrow_map(members.select("fp", "free"), one, "free bigint, key bigint, fp bigint")
 
 
+def cell_links(cells: DataFrame) -> DataFrame:
+    """(a, b): for each node of a cell (fps: at most ``CELL`` nodes) a link to the smallest node that it reaches there."""
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for fps in batch.column(0):
+            fp = np.sort(fps.values.to_numpy())
+            bits = fp.view(np.uint64)
+            near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= RADIUS
+            least, before = near.argmax(axis=1), None
+            while before is None or (least != before).any():
+                before = least
+                least = np.where(near, before[None, :], len(fp)).min(axis=1)
+            linked = least < np.arange(len(fp))
+            a.append(fp[linked])
+            b.append(fp[least[linked]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    return arrow_map(cells.select("fps"), one, "a bigint, b bigint")
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): verified links between the distinct fingerprints of ``nodes`` (fp) that connect all that links connect."""
-    members, found = nodes.select("fp", F.lit(-1).cast("long").alias("free")), None
+    """(node, root): components of the distinct fingerprints of ``nodes`` (fp) that have a link."""
+    members, found = nodes.select("fp", F.lit(-1).cast("long").alias("free")), []
     while True:
-        tables = cut_lineage(dealt(members).distinct() if found is not None else dealt(members))
-        groups = tables.groupBy("free", "key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
-        stars = tables.join(groups, ["free", "key"])
-        new = stars.filter(F.col("fp") != F.col("least")).filter(
-            F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-        found = cut_lineage((new if found is None else found.unionByName(new)).distinct())
-        roots = components(found)
-        # two nodes are compared already, and so are all nodes of a key that leaves no more than the radius free
-        open_ones = stars.filter(F.col("n") > 2).filter(F.bit_count("free") > RADIUS).join(
-            roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = open_ones.groupBy("free", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-        members = cut_lineage(open_ones.join(mixed, ["free", "key"], "left_semi").select("fp", "free"))
+        tables = cut_lineage(dealt(members).distinct() if found else dealt(members))
+        groups = cut_lineage(tables.groupBy("free", "key").agg(
+            F.min("fp").alias("b"), F.max("fp").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+        found.append(groups.filter(F.col("n") == 2).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b"))
+        rest = cut_lineage(tables.join(groups.filter("n > 2").select("free", "key", "n"), ["free", "key"]))
+        cells = rest.filter(F.col("n") <= CELL).groupBy("free", "key").agg(F.collect_list("fp").alias("fps"))
+        found.append(cell_links(cells))
+        members = rest.filter(F.col("n") > CELL).select("fp", "free")
         if members.isEmpty():
-            return roots
+            return components(reduce(DataFrame.unionByName, found))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:

@@ -94,14 +94,15 @@ def test_every_table_splits_and_covers():
         free = max(tables, key=int.bit_count)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_dense_groups_lose_no_link(spark, seed):
+@pytest.mark.parametrize("seed, cell", [(1, 256), (2, 64), (1, 12)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, seed, cell):
     """Clouds of fingerprints around few centres: keys with many nodes, most of them further apart than the radius."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = random.Random(seed)
     fps = set()
     for _ in range(3):
         centre = rng.getrandbits(64)
-        fps |= {centre ^ sum({1 << rng.randrange(10 + 54 * (i % 2)) for _ in range(rng.randrange(9))}) for i in range(250)}
+        fps |= {centre ^ sum({1 << rng.randrange(10 + 54 * (i % 2)) for _ in range(rng.randrange(9))}) for i in range(120 if cell < 64 else 250)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     roots = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp bigint"))
     got = {}
