@@ -47,7 +47,7 @@ def w1_global(spark, sf):
     return dedupe.mark_duplicates(_shared_ids(spark, sf), mode="global")
 
 
-@query("w1_mark_duplicates", ("WITH RECURSIVE " + _SHARED + "," + _KEYS.strip()[5:]).replace("FROM fx_refs)", "FROM sh)") + """
+DUPLICATES_SQL = ("WITH RECURSIVE " + _SHARED + "," + _KEYS.strip()[5:]).replace("FROM fx_refs)", "FROM sh)") + """
 , flat AS (SELECT s.list_id, s.ref_id, row_number() OVER (PARTITION BY s.list_id ORDER BY s.ref_id) AS pos,
     list(k.key ORDER BY k.r) FILTER (WHERE k.key IS NOT NULL) AS ks, list(k.kind ORDER BY k.r) FILTER (WHERE k.key IS NOT NULL) AS kd
   FROM sh s LEFT JOIN keys k ON k.ref_id = s.ref_id GROUP BY 1, 2),
@@ -56,7 +56,10 @@ step AS (SELECT list_id, 0::BIGINT AS pos, NULL::BIGINT AS ref_id, MAP([]::VARCH
     CASE WHEN h.i IS NOT NULL THEN s.seen[f.kd[h.i] || '|' || f.ks[h.i]] END, f.kd[h.i]
   FROM step s JOIN flat f ON f.list_id = s.list_id AND f.pos = s.pos + 1
   CROSS JOIN LATERAL (SELECT min(i) AS i FROM unnest(range(1, coalesce(len(f.ks), 0) + 1)) t(i) WHERE map_contains(s.seen, f.kd[i] || '|' || f.ks[i])) h)
-SELECT list_id, ref_id, dup_of AS duplicate_of, dup_kind AS duplicate_kind FROM step WHERE dup_of IS NOT NULL""")
+SELECT list_id, ref_id, dup_of AS duplicate_of, dup_kind AS duplicate_kind FROM step WHERE dup_of IS NOT NULL"""
+
+
+@query("w1_mark_duplicates", DUPLICATES_SQL)
 def w1_greedy(spark, sf):
     return dedupe.mark_duplicates(_shared_ids(spark, sf))
 

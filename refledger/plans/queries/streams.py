@@ -13,7 +13,7 @@ from refledger.functions.similarity import TOKEN
 from refledger.operators import match
 from refledger.plans.queries.base import query, registries, title_key_sql
 from refledger.plans.queries.joins import NOTICE_SQL, VERIFY_SQL
-from refledger.plans.queries.lists import SCORE_SQL, _RUNS, _V
+from refledger.plans.queries.lists import DUPLICATES_SQL, SCORE_SQL, _V, _shared_ids
 from refledger.plans.verify import verify
 from refledger.streaming import jobs
 
@@ -115,6 +115,22 @@ def st3(spark, sf):
     return out.groupBy("list_id", "dedupe_key").agg(F.count("*").alias("n"))
 
 
+@query("st3_dedupe_all_keys", DUPLICATES_SQL.replace(
+    "SELECT list_id, ref_id, dup_of AS duplicate_of, dup_kind AS duplicate_kind FROM step WHERE dup_of IS NOT NULL",
+    "SELECT list_id, ref_id FROM step WHERE ref_id IS NOT NULL AND dup_of IS NULL"))
+def st3_all_keys(spark, sf):
+    """References with repeated identifiers, in three scheduled runs; the rows that remain are those of the batch rule."""
+    where = scratch(spark)
+    rows = _shared_ids(spark, sf).select("list_id", "ref_id", "title", "url", "doi", "pmid", F.expr(
+        "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, ref_id)").alias("ts"))
+    last = rows.agg(F.max("ref_id")).first()[0] or 0
+    for i in range(3):
+        rows.filter(F.floor(F.col("ref_id") * 3 / (last + 1)) == i).write.mode("append").parquet(f"{where}/in")
+        drain(jobs.dedupe_all_keys_stream(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), f"{where}/out", f"{where}/held",
+                                          f"{where}/checkpoint", delay="100 days"))
+    return spark.read.parquet(f"{where}/out").select("list_id", "ref_id")
+
+
 def _probe_stream(spark, sf) -> DataFrame:
     return stream_table(spark, sf, "events").select(
         F.col("event_id").alias("probe_id"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"),

@@ -13,7 +13,8 @@ from refledger import fixed_values as fv
 from refledger.functions import identifiers as ids
 from refledger.functions import text as tx
 from refledger.functions.shipping import ship_by_value
-from refledger.operators import profile, score
+from refledger.operators import dedupe, profile, score
+from refledger.session import cut_lineage
 from refledger.sources import exports
 
 ship_by_value(__name__)
@@ -132,6 +133,35 @@ def dedupe_stream(refs: DataFrame, ts: str = "ts", delay: str = "7 days") -> Dat
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["list_id", "dedupe_key"])
 
 
+def dedupe_all_keys_stream(refs: DataFrame, out_path: str, state_path: str, checkpoint: str, ts: str = "ts", delay: str = "7 days"):
+    """Rows that repeat no earlier row by url, DOI or PMID (each with the title), appended under ``out_path``.
+
+    The batch rule over micro-batches: only rows that are no duplicates themselves hold their keys.  A micro-batch first
+    loses the rows whose keys are held, then settles the others among themselves (``mark_duplicates``), and its originals
+    become holders.  Holders leave the state when the newest row is more than ``delay`` past them.  Rows without a key
+    always pass.  State folders take turns as those of ``probe_health_stream`` do, so a replay finds its input untouched."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(batch)
+        keys = cut_lineage(dedupe.duplicate_keys(rows))
+        row, key = ["list_id", "ref_id"], ["list_id", "kind", "key"]
+        held = spark.read.parquet(turn_folder(state_path, batch_id - 1)) if batch_id > 0 else None
+        fresh = rows
+        if held is not None:
+            hit = keys.join(held.select(*key), key, "left_semi").select(*row).distinct()
+            fresh = rows.join(hit, row, "left_anti")
+        fresh = cut_lineage(fresh)
+        originals = cut_lineage(fresh.join(dedupe.mark_duplicates(fresh), row, "left_anti"))
+        originals.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        new = keys.join(originals.select(*row, F.col(ts).alias("held_at")), row).select(*key, F.col("ref_id").alias("holder"), "held_at")
+        both = new if held is None else held.unionByName(new)
+        newest = both.agg(F.max("held_at").alias("newest"))  # one row
+        both.join(F.broadcast(newest)).filter(F.col("held_at") >= F.col("newest") - F.expr(f"INTERVAL {delay}")).drop("newest").write.mode(
+            "overwrite").parquet(turn_folder(state_path, batch_id))
+
+    return refs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def probe_windows(probes: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Failure rate per host and tumbling event-time window; rows later than the watermark are dropped."""
     return probes.withWatermark("ts", delay).groupBy(F.window("ts", window), "host").agg(
@@ -150,7 +180,7 @@ def probe_health_stream(probes: DataFrame, state_path: str, checkpoint: str, thr
     batch n - 2 wrote, and a replay of batch n finds its input untouched.  ``probe_health`` reads the last state."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(health_folder(state_path, batch_id - 1)) if batch_id > 0 else None
+        before = spark.read.parquet(turn_folder(state_path, batch_id - 1)) if batch_id > 0 else None
         rows = batch.select("host", "ts", "probe_id", "error_kind")
         if before is None:
             timely, late = rows, None
@@ -173,12 +203,12 @@ def probe_health_stream(probes: DataFrame, state_path: str, checkpoint: str, thr
         j.select("host", tail.cast("bigint").alias("tail"), longest.cast("bigint").alias("longest_run"),
                  (F.coalesce("is_open", F.lit(False)) | (longest >= threshold)).alias("is_open"), F.coalesce("seen", "old_seen").alias("seen"),
                  (F.coalesce("n_late", F.lit(0)) + F.coalesce("new_late", F.lit(0))).cast("bigint").alias("n_late"),
-                 F.lit(batch_id).cast("bigint").alias("version")).write.mode("overwrite").parquet(health_folder(state_path, batch_id))
+                 F.lit(batch_id).cast("bigint").alias("version")).write.mode("overwrite").parquet(turn_folder(state_path, batch_id))
 
     return probes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def health_folder(state_path: str, batch_id: int) -> str:
+def turn_folder(state_path: str, batch_id: int) -> str:
     return f"{state_path}/turn={batch_id % 2}"
 
 

@@ -188,3 +188,22 @@ def test_plan_shape(spark, sf):
     physical = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
     assert listed(spark, sf).columns
+
+
+def test_stream_dedupe_by_any_key(spark, tmp_path):
+    """Equal DOIs with different urls are one row, also across micro-batches; old holders are forgotten."""
+    from refledger.streaming import jobs
+
+    schema = "list_id bigint, ref_id bigint, title string, url string, doi string, pmid string, day int"
+    runs = [[(1, 1, "one title", "https://a.org/1", "10.1/x", None, 1), (1, 2, "one title", "https://a.org/2", "10.1/X", None, 1),
+             (1, 3, "other title", "https://a.org/1", None, None, 1), (1, 4, None, None, None, None, 1)],
+            [(1, 5, "one title", "https://a.org/5", "10.1/x", "7", 2), (1, 6, "one title", "https://a.org/6", None, "7", 2), (2, 7, "one title", None, "10.1/x", None, 2)],
+            [(1, 8, "one title", "https://a.org/6", None, None, 3)], [(1, 9, "last", None, "10.1/z", None, 40)], [(1, 10, "one title", None, "10.1/x", None, 41)]]
+    for rows in runs:
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.expr("timestamp '2024-01-01' + make_dt_interval(day)"))
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.dedupe_all_keys_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/held",
+                                    f"{tmp_path}/cp").awaitTermination()
+    kept = sorted(r.ref_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert kept == [1, 3, 4, 6, 7, 9, 10]  # 5 repeats 1 and holds nothing, so 6 is kept and 8 repeats it; 10 comes after 1 has left
+    assert len(list((tmp_path / "held").glob("turn=*"))) == 2
