@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from refledger.functions.shipping import ship_by_value
 
@@ -47,7 +48,7 @@ def in_part(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 # --- Arrow side ------------------------------------------------------------------------------------
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType,
               rows: int | None = None) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch.  ``rows`` bounds the rows handled at once;
     batches are also cut where their texts pass 3 MB, so memory does not depend on text lengths."""

@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refledger.functions.shipping import ship_by_value
 from refledger.llm.common import arrow_map, hash_share, no_null_text, only, range_hashes, split_words
+from refledger.session import cut_lineage
 
 ship_by_value(__name__)
 
@@ -198,17 +200,22 @@ def unpacked(keys: np.ndarray, labellers: int) -> np.ndarray:
     return (keys[:, None] // 3 ** np.arange(labellers)) % 3 - 1
 
 
-def shared_terms(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Slots that toxic documents (1; negative: unknown) have and others hardly ever: at least 4 documents and 20
-    times the share."""
-    yes, no = np.zeros(WIDTH), np.zeros(WIDTH)
-    for f, x in zip(features, toxic):
-        if x >= 0:
-            words = np.unique(f[f < (1 << BITS)])
-            yes[words] += x
-            no[words] += 1 - x
-    n_yes, n_no = max(1.0, toxic[toxic >= 0].sum()), max(1.0, (1 - toxic[toxic >= 0]).sum())
-    return (yes >= 4) & ((yes + 0.1) / n_yes > 20 * (no + 0.5) / n_no)
+def shared_terms(rows: DataFrame, weight: str) -> np.ndarray:
+    """Word slots that the rows of class 1 have and others hardly ever: at least 4 rows and 20 times the share.
+
+    ``weight`` says how far a row of ``rows`` (features, ...) belongs to class 1 (0 to 1, null: unknown).  Spark counts
+    in millionths, so that sums do not depend on their order; what comes back are the chosen slots.
+    """
+    known = rows.filter(F.col(weight).isNotNull()).select("features", F.round(F.col(weight) * 1e6).cast("long").alias("yes"))
+    sums = known.agg(F.sum("yes"), F.count("*")).first()
+    n_yes, n_no = max(1.0, (sums[0] or 0) / 1e6), max(1.0, sums[1] - (sums[0] or 0) / 1e6)
+    words = F.array_distinct(F.filter("features", lambda f: f < (1 << BITS)))
+    of_slot = known.select("yes", F.explode(words).alias("slot")).groupBy("slot").agg(
+        (F.sum("yes") / 1e6).alias("yes"), (F.sum(1_000_000 - F.col("yes")) / 1e6).alias("no"))
+    chosen = of_slot.filter((F.col("yes") >= 4) & ((F.col("yes") + 0.1) / n_yes > 20 * (F.col("no") + 0.5) / n_no))
+    out = np.zeros(WIDTH, bool)
+    out[chosen.select("slot").toArrow()["slot"].to_numpy()] = True
+    return out
 
 
 def insult_slots() -> np.ndarray:
@@ -263,8 +270,8 @@ class Scorer:
     toxic_table: np.ndarray
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int, annotated: int) -> pa.Table:
-    """Features, votes and annotation of the sample (bounded; the only rows that reach the driver)."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, annotated: int) -> DataFrame:
+    """(h, th, features, votes, toxic) of the sample's documents, toxic -1 where nothing is known; stays in Spark."""
     # both sides are cut by the hash of the id before they meet, so only about the sample's texts are moved
     texts = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     notes = only(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL")
@@ -275,36 +282,46 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int, annotated: int) ->
     def within(share: float) -> tuple[DataFrame, DataFrame]:
         near = notes.filter(hash_share(F.col("doc_id"), share)).groupBy(F.col("doc_id").alias("__d")).agg(
             F.max("toxic").alias("toxic"))
-        return texts.filter(hash_share(F.col("doc_id"), share)), near
+        return texts.filter(hash_share(F.col("doc_id"), share)).withColumns(
+            {"h": F.xxhash64("doc_id"), "th": F.xxhash64("text")}), near
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        """The rows with the smallest hashes; only hashes are sorted, the texts stay in their tasks."""
+        rows = rows.select("h", "th", "text", F.col("toxic").cast("long").alias("toxic"))
+        key = F.struct("h", "th")
+        last = rows.select("h", "th").distinct().orderBy("h", "th").limit(most).agg(F.max(key).alias("m")).first()["m"]
+        if last is None:
+            return rows.filter("false")
+        cut = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["th"]).alias("th"))
+        return rows.filter(key <= cut).dropDuplicates(["h", "th"])
 
-    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
     rows, near = within(share_noted)
-    noted = rows.join(near, F.col("doc_id") == F.col("__d")).filter("toxic IS NOT NULL").orderBy(*order).limit(annotated)
+    noted = first(rows.join(near, F.col("doc_id") == F.col("__d")).filter("toxic IS NOT NULL"), annotated)
     rows, near = within(share_rest)
-    rest = rows.join(near, F.col("doc_id") == F.col("__d"), "left").filter("toxic IS NULL").orderBy(*order).limit(
-        sample - annotated)
+    rest = first(rows.join(near, F.col("doc_id") == F.col("__d"), "left").filter("toxic IS NULL"), sample - annotated)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = read(batch["text"])
         return pa.RecordBatch.from_arrays(
-            [pa.array(row_features(t, batch.num_rows), pa.list_(pa.int32())), pa.array(packed(votes(t)), pa.int64()),
-             batch["toxic"].cast(pa.int64()).fill_null(-1)], names=["features", "votes", "toxic"])
+            [batch["h"], batch["th"], pa.array(row_features(t, batch.num_rows), pa.list_(pa.int32())), pa.array(packed(votes(t)), pa.int64()),
+             batch["toxic"].fill_null(-1)], names=["h", "th", "features", "votes", "toxic"])
 
-    taken = noted.unionByName(rest).select("text", F.col("toxic").cast("long").alias("toxic"))
-    return arrow_map(taken, features, "features array<int>, votes long, toxic long").toArrow()
+    return arrow_map(noted.unionByName(rest), features, "h long, th long, features array<int>, votes long, toxic long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, annotated: int = ANNOTATED) -> Scorer | None:
-    """None where there is no document."""
-    got = sampled(docs, labels, sample, annotated)
-    if not got.num_rows:
+    """None where there is no document.
+
+    The sample's features stay in Spark, which counts how often classes have a slot; the driver gets a few numbers a
+    document and, of the features, those in slots that a head uses.
+    """
+    rows = cut_lineage(sampled(docs, labels, sample, annotated))
+    if rows.isEmpty():
         return None
-    lists = got["features"].combine_chunks()
-    flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    features = [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    noted = got["toxic"].to_numpy()
-    terms, insults = shared_terms(features, noted), insult_slots()
-    sent = docs.sparkSession.sparkContext.broadcast((terms, insults))  # fixed size
+    context = docs.sparkSession.sparkContext
+    terms = shared_terms(rows.withColumn("w", F.when(F.col("toxic") >= 0, F.col("toxic"))), "w")
+    insults = insult_slots()
+    sent = context.broadcast((terms, insults))  # fixed size
 
     def patterns(batch: pa.RecordBatch) -> pa.RecordBatch:
         known_terms, known_insults = sent.value
@@ -319,31 +336,50 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, annotated: i
     every = arrow_map(only(docs, "text"), patterns, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     keys, n = every["key"].to_numpy(), every["n"].to_numpy().astype(float)
     table, prior = estimate(unpacked(keys // 4, LABELLERS), n, 0.2)
-    bad = posterior(unpacked(got["votes"].to_numpy(), LABELLERS), table, prior)
 
-    hit = [np.array([known[f[f < (1 << BITS)]].any() for f in features]) for known in (terms, insults)]
-    own = toxic_votes(hit[0], hit[1], noted)
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """What the votes on toxicity see of a row: 1 a shared term, 2 an insult."""
+        flat, size = batch["features"].flatten().to_numpy(), batch["features"].value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        hit = [np.bincount(row, known[flat] & (flat < (1 << BITS)), len(size)) > 0 for known in sent.value]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit[0] + 2 * hit[1], pa.int64())], names=[*batch.schema.names, "hit"])
+
+    rows = cut_lineage(arrow_map(rows, found, "h long, th long, features array<int>, votes long, toxic long, hit long"))
+    few = rows.groupBy("votes", "toxic", "hit").agg(F.count("*").alias("n")).toArrow()  # bounded by the sample's rows
+    kind, noted, code, times = (few[c].to_numpy() for c in ("votes", "toxic", "hit", "n"))
+    bad = posterior(unpacked(kind, LABELLERS), table, prior)
     # all documents by their terms and insults, the sample also by its annotations
-    code = keys % 4
-    corpus = toxic_votes(code % 2 == 1, code // 2 == 1, np.full(len(keys), -1))
-    t_table, t_prior = estimate(np.concatenate([corpus, own]), np.concatenate([n, np.ones(len(own))]), 0.1)
+    corpus = toxic_votes(keys % 4 % 2 == 1, keys % 4 // 2 == 1, np.full(len(keys), -1))
+    own = toxic_votes(code % 2 == 1, code // 2 == 1, noted)
+    t_table, t_prior = estimate(np.concatenate([corpus, own]), np.concatenate([n, times.astype(float)]), 0.1)
     toxic = posterior(own, t_table, t_prior)
+
+    of_kind = docs.sparkSession.createDataFrame(
+        pa.table({"votes": kind, "toxic": noted, "hit": code, "bad": bad, "harm": toxic, "harmful": np.round(toxic)}))
+    marked = rows.join(F.broadcast(of_kind), ["votes", "toxic", "hit"])
     # low quality shows in the measures and in words of their own kind; toxicity in terms alone
-    bins = np.arange(WIDTH) >= (1 << BITS)
-    heads = [fit(features, bad, bins | shared_terms(features, bad)),
-             fit(features, toxic, insults | shared_terms(features, np.round(toxic)))]
+    used = [(np.arange(WIDTH) >= (1 << BITS)) | shared_terms(marked, "bad"), insults | shared_terms(marked, "harmful")]
+    slim = context.broadcast(used[0] | used[1])
+
+    def needed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = [f[slim.value[f]] for f in (x.values.to_numpy() for x in batch["features"])]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept, pa.list_(pa.int32()))], names=["h", "th", "bad", "harm", "features"])
+
+    got = arrow_map(marked.select("h", "th", "bad", "harm", "features"), needed, "h long, th long, bad double, harm double, features array<int>").toArrow()
+    got = got.sort_by([("h", "ascending"), ("th", "ascending")])
+    features = [x.values.to_numpy() for x in got["features"]]
+    heads = [fit(features, got[c].to_numpy(), u) for c, u in zip(("bad", "harm"), used)]
     return Scorer(np.stack([h[0] for h in heads], 1), np.array([h[1] for h in heads]), table, t_table)
 
 
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
-    """``docs`` with p_low, p_toxic and ``accepted`` (neither above one half)."""
+    """``docs`` as struct ``row`` beside p_low, p_toxic and ``accepted`` (neither above one half)."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # hashed weights, of fixed size
-    names = docs.columns
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = sent.value
         rows = batch.num_rows
-        t = read(batch["text"])
+        t = read(pa.compute.struct_field(batch["row"], "text"))
         z = np.zeros((rows, 2))
         if known is not None and rows:
             # each distinct word brings its slots once
@@ -353,19 +389,21 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                 z[:, head] += np.bincount(t.pair_row, of_word[t.pair_word, head], rows)
         p = np.where((t.n_words > 0)[:, None], 1 / (1 + np.exp(-np.clip(z, -500, 500))), [[1.0, 0.0]])
         more = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p <= 0.5).all(1))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "p_low", "p_toxic", "accepted"])
+        return pa.RecordBatch.from_arrays([batch["row"], *more], names=["row", "p_low", "p_toxic", "accepted"])
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return arrow_map(docs, judge, f"{kinds}, p_low double, p_toxic double, accepted boolean")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scores = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("p_low", "p_toxic")],
+                           T.StructField("accepted", T.BooleanType())])
+    return arrow_map(rows, judge, scores)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, score (of being good), p_low, p_toxic, accepted of every document."""
     scored = score(only(docs, "doc_id", "text"), learn(docs, labels, **options))
-    return scored.select("doc_id", ((1 - F.col("p_low")) * (1 - F.col("p_toxic"))).alias("score"), "p_low", "p_toxic",
+    return scored.select("row.doc_id", ((1 - F.col("p_low")) * (1 - F.col("p_toxic"))).alias("score"), "p_low", "p_toxic",
                          "accepted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    return score(docs, learn(docs, labels, **options)).filter("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, learn(docs, labels, **options)).filter("accepted").select(*[F.col(f"row.`{c}`") for c in docs.columns])

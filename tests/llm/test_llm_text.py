@@ -408,6 +408,15 @@ def test_quality_odd_rows(spark, scorer_data, odd_docs, no_docs):
     assert quality.classify(no_docs, labels).count() == 0
 
 
+def test_accepted_keeps_columns_of_any_name(scorer_data):
+    docs, labels = scorer_data
+    named = docs.selectExpr("*", "'a' AS accepted", "'b' AS p_low", "'c' AS p_toxic", "'e' AS toxic", "1 AS h", "2 AS `odd name`")
+    kept = quality.accepted(named, labels)
+    assert kept.columns == named.columns
+    assert {tuple(r)[-6:] for r in kept.collect()} == {("a", "b", "c", "e", 1, 2)}
+    assert kept.count() == quality.classify(docs, labels).filter("accepted").count()
+
+
 def test_em_finds_the_labellers():
     rng = np.random.default_rng(7)
     truth = rng.random(20000) < 0.2
