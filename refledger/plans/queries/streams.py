@@ -29,8 +29,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = driver_table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A driver table as a stream, be it one file or a folder of part files.  As a pattern of one name the path may be
+    either; a plain path of a stream must be a folder."""
+    return spark.readStream.schema(driver_table(spark, sf, name).schema).parquet(f"{sf.rstrip('/')}/{{{name}.parquet}}")
 
 
 def stream_refs(spark: SparkSession, sf: str) -> DataFrame:
