@@ -164,19 +164,39 @@ def _budget_col(n: Column) -> Column:
 def _near_candidates(nodes: DataFrame) -> DataFrame:
     """Pairs of title nodes of one list that can reach ratio 0.92: exact, by shared segments.
 
+    ``nodes``: list_id, title_key (once per list) and others; returns list_id and the other columns of both, by the
+    suffixes _a (the shorter key; of equal lengths the smaller) and _b.
+
     With at most d edits, one of the d + 1 segments of the shorter key survives whole in the longer
     one, shifted by no more than the edits around it.  The longer key therefore looks up its own
-    substrings at the allowed positions; no pair is formed without a shared segment.
+    substrings at the allowed positions; no pair is formed without a shared segment.  Only lengths that another key
+    of the list has are looked up, and only hashes and numbers of nodes travel; texts are fetched for the pairs.
     """
-    short = nodes.select(
-        "list_id", F.col("title_key").alias("ka"), F.length("title_key").alias("n"),
-        F.explode(_segments(F.col("title_key"))).alias("s")).select(
-            "list_id", "ka", "n", "s.seg", "s.piece")
-    m = F.length("title_key")
-    lowest = F.ceil(m * fv.SIM_CLONE / (2 - fv.SIM_CLONE) - 1e-9).cast("int")
-    probe = nodes.select(
-        "list_id", F.col("title_key").alias("kb"), m.alias("m"),
-        F.explode(F.sequence(F.greatest(lowest, F.lit(8)), m)).alias("n"))
+    spark = nodes.sparkSession
+    # numbered once written, so the numbers are read back as they are
+    nodes = cut_lineage(nodes.filter("list_id IS NOT NULL").withColumns(
+        {"node": F.monotonically_increasing_id(), "m": F.length("title_key")}))
+    lengths = nodes.groupBy("list_id", "m").agg(F.count("*").alias("k")).groupBy("list_id").agg(
+        F.collect_list(F.struct(F.col("m").alias("n"), "k")).alias("lengths"))
+
+    def lowest(m: Column) -> Column:
+        return F.greatest(F.ceil(m * fv.SIM_CLONE / (2 - fv.SIM_CLONE) - 1e-9).cast("int"), F.lit(8))
+
+    m = F.col("m")
+    shorter = F.transform(F.filter("lengths", lambda x: (x["n"] >= lowest(m)) & ((x["n"] < m) | ((x["n"] == m) & (x["k"] > 1)))), lambda x: x["n"])
+    met = F.exists("lengths", lambda x: (m >= lowest(x["n"])) & ((x["n"] > m) | ((x["n"] == m) & (x["k"] > 1))))
+    # one key makes hundreds of rows, so the keys are dealt evenly before they do, whatever their bytes; written, as a
+    # filter by ``met`` would else move into the join, whose generated code can't take functions over arrays of one side
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    open_nodes = cut_lineage(nodes.join(lengths, "list_id").select(
+        "list_id", "node", "title_key", "m", shorter.alias("shorter"), met.alias("met")).repartition(tasks, "node"))
+
+    def place(n, seg, piece):
+        return F.xxhash64("list_id", n, seg, piece).alias("place")
+
+    short = open_nodes.filter("met").select("list_id", "node", "m", F.explode(_segments(F.col("title_key"))).alias("s")).select(
+        place("m", "s.seg", "s.piece"), F.col("node").alias("node_a"))
+    probe = open_nodes.select("list_id", "node", "title_key", "m", F.explode("shorter").alias("n"))
     probe = probe.withColumn("d", _budget_col(F.col("n"))).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("seg"))
     start = F.floor(F.col("seg") * F.col("n") / (F.col("d") + 1)).cast("int")
@@ -186,12 +206,25 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     lo = F.greatest(-F.col("seg"), gap - (F.col("d") - F.col("seg")), -start)
     hi = F.least(F.col("seg"), gap + (F.col("d") - F.col("seg")), F.col("m") - width - start)
     probe = probe.withColumns({"start": start, "width": width, "lo": lo, "hi": hi}).filter("lo <= hi").select(
-        "list_id", "kb", "n", "seg", F.explode(F.transform(
-            F.sequence("lo", "hi"),
-            lambda sh: F.substr(F.col("kb"), F.col("start") + sh + 1, F.col("width")))).alias("piece"))
-    pairs = probe.join(short, ["list_id", "n", "seg", "piece"]).filter(
-        (F.col("n") < F.length("kb")) | (F.col("ka") < F.col("kb")))
-    return pairs.select("list_id", "ka", "kb").distinct()
+        "list_id", "node", "title_key", "n", "seg", "start", "width", F.explode(F.sequence("lo", "hi")).alias("sh")).select(
+        place("n", "seg", F.substr(F.col("title_key"), F.col("start") + F.col("sh") + 1, F.col("width"))), F.col("node").alias("node_b"))
+    # rows made by explode look as small as the keys that they come from, so a broadcast is ruled out by name
+    pairs = probe.join(short.hint("merge"), "place").filter("node_a <> node_b").select("node_a", "node_b").distinct()
+
+    def side(s):
+        return nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in nodes.columns])
+
+    # places of two lists or lengths may share a hash
+    return pairs.join(side("a"), "node_a").join(side("b"), "node_b").filter(
+        (F.col("list_id_a") == F.col("list_id_b")) & ((F.col("m_a") < F.col("m_b")) | (
+            (F.col("m_a") == F.col("m_b")) & (F.col("title_key_a") < F.col("title_key_b"))))).withColumnRenamed(
+        "list_id_a", "list_id").drop("list_id_b", "node_a", "node_b", "m_a", "m_b")
+
+
+def _near(nodes: DataFrame) -> DataFrame:
+    """``_near_candidates`` that exact native bounds let reach the ratio."""
+    ka, kb = F.col("title_key_a"), F.col("title_key_b")
+    return _near_candidates(nodes).filter(length_bound(ka, kb) >= fv.SIM_CLONE).filter(bag_bound(ka, kb) >= fv.SIM_CLONE)
 
 
 def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame:
@@ -228,24 +261,15 @@ def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame
 
 
 def _near_titles(nodes: DataFrame, model: SimilarityModel) -> DataFrame:
-    cand = _near_candidates(nodes)
-    cand = cand.filter(length_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE).filter(
-        bag_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE)
-
-    def side(s):
-        return nodes.select("list_id", *[F.col(c).alias(f"{c}_{s}") for c in nodes.columns if c != "list_id"])
-
-    j = (
-        cand.join(side("a").withColumnRenamed("title_key_a", "ka"), ["list_id", "ka"])
-        .join(side("b").withColumnRenamed("title_key_b", "kb"), ["list_id", "kb"]))
+    j = _near(nodes)
     same = F.col("lead_doi_a") == F.col("lead_doi_b")
     # leading variants when their DOIs differ, otherwise the next variant with another DOI
     ra = F.when(~same | F.col("other_ref_b").isNotNull(), F.col("lead_ref_a")).otherwise(F.col("other_ref_a"))
     rb = F.when(same & F.col("other_ref_b").isNotNull(), F.col("other_ref_b")).otherwise(F.col("lead_ref_b"))
     j = j.withColumns({"ra": ra, "rb": rb}).filter("ra is not null and rb is not null")
     # the ratio takes the earlier row first
-    first, second = F.when(F.col("ra") < F.col("rb"), F.col("ka")).otherwise(F.col("kb")), F.when(
-        F.col("ra") < F.col("rb"), F.col("kb")).otherwise(F.col("ka"))
+    ordered, ka, kb = F.col("ra") < F.col("rb"), F.col("title_key_a"), F.col("title_key_b")
+    first, second = F.when(ordered, ka).otherwise(kb), F.when(ordered, kb).otherwise(ka)
     scored = j.withColumn("sim", model.plain(first, second)).filter(F.col("sim") >= fv.SIM_CLONE)
     return scored.select(
         "list_id", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
@@ -283,10 +307,8 @@ def clone_groups(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> CloneGro
     titles = rows.groupBy("list_id", "title_key").agg(F.min("ref_id").alias("title_group"))
     members = rows.join(titles, ["list_id", "title_key"]).select(
         "list_id", "ref_id", "title_group", F.length("title_key").alias("length"), "doi")
-    cand = _near_candidates(titles.select("list_id", "title_key")).filter(
-        (length_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE) & (bag_bound(F.col("ka"), F.col("kb")) >= fv.SIM_CLONE))
-    for side in ("a", "b"):
-        cand = cand.join(titles.select("list_id", F.col("title_key").alias(f"k{side}"), F.col("title_group").alias(side)), ["list_id", f"k{side}"])
+    cand = _near(titles).select("list_id", F.col("title_key_a").alias("ka"), F.col("title_key_b").alias("kb"),
+                                F.col("title_group_a").alias("a"), F.col("title_group_b").alias("b"))
     # the ratio takes the earlier title first
     ordered = F.col("a") < F.col("b")
     first, second = (F.when(ordered, F.col(x)).otherwise(F.col(y)) for x, y in (("ka", "kb"), ("kb", "ka")))
