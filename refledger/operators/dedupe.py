@@ -161,23 +161,29 @@ def _budget_col(n: Column) -> Column:
     return F.floor((n + longest) * (1 - fv.SIM_CLONE) + 1e-9).cast("int")
 
 
+#: Lists of so many titles are compared pair by pair: one title meets fewer others than it has substrings to look up.
+SMALL_LIST = 256
+
+
 def _near_candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs of title nodes of one list that can reach ratio 0.92: exact, by shared segments.
+    """Pairs of title nodes of one list that can reach ratio 0.92: exact, by length in small lists, else by shared segments.
 
     ``nodes``: list_id, title_key (once per list) and others; returns list_id and the other columns of both, by the
     suffixes _a (the shorter key; of equal lengths the smaller) and _b.
 
-    With at most d edits, one of the d + 1 segments of the shorter key survives whole in the longer
-    one, shifted by no more than the edits around it.  The longer key therefore looks up its own
-    substrings at the allowed positions; no pair is formed without a shared segment.  Only lengths that another key
+    With at most e edits, the first segment of the shorter key before whose end there are no more edits than segments
+    before it (one of the first e + 1) survives whole in the longer one: segment i after exactly i edits, so shifted by
+    -i, -i + 2, ... or i, and by no more than the e - i edits behind it allow.  The longer key therefore looks up its own
+    substrings at these positions; no pair is formed without a shared segment.  Only lengths that another key
     of the list has are looked up, and only hashes and numbers of nodes travel; texts are fetched for the pairs.
+    A list of at most ``SMALL_LIST`` titles needs no lookups: its titles meet by list and are told apart by length.
     """
     spark = nodes.sparkSession
     # numbered once written, so the numbers are read back as they are
     nodes = cut_lineage(nodes.filter("list_id IS NOT NULL").withColumns(
         {"node": F.monotonically_increasing_id(), "m": F.length("title_key")}))
     lengths = nodes.groupBy("list_id", "m").agg(F.count("*").alias("k")).groupBy("list_id").agg(
-        F.collect_list(F.struct(F.col("m").alias("n"), "k")).alias("lengths"))
+        F.collect_list(F.struct(F.col("m").alias("n"), "k")).alias("lengths"), F.sum("k").alias("titles"))
 
     def lowest(m: Column) -> Column:
         return F.greatest(F.ceil(m * fv.SIM_CLONE / (2 - fv.SIM_CLONE) - 1e-9).cast("int"), F.lit(8))
@@ -188,7 +194,7 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     # one key makes hundreds of rows, so the keys are dealt evenly before they do, whatever their bytes; written, as a
     # filter by ``met`` would else move into the join, whose generated code can't take functions over arrays of one side
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    open_nodes = cut_lineage(nodes.join(lengths, "list_id").select(
+    open_nodes = cut_lineage(nodes.join(lengths.filter(F.col("titles") > SMALL_LIST), "list_id").select(
         "list_id", "node", "title_key", "m", shorter.alias("shorter"), met.alias("met")).repartition(tasks, "node"))
 
     def place(n, seg, piece):
@@ -197,16 +203,19 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     short = open_nodes.filter("met").select("list_id", "node", "m", F.explode(_segments(F.col("title_key"))).alias("s")).select(
         place("m", "s.seg", "s.piece"), F.col("node").alias("node_a"))
     probe = open_nodes.select("list_id", "node", "title_key", "m", F.explode("shorter").alias("n"))
-    probe = probe.withColumn("d", _budget_col(F.col("n"))).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("seg"))
+    # edits that keep the ratio at these two lengths: as many more than the gap as come in pairs (one deleted, one inserted)
+    gap = F.col("m") - F.col("n")
+    most = F.floor((F.col("n") + F.col("m")) * (1 - fv.SIM_CLONE) + 1e-9).cast("int")
+    probe = probe.withColumn("d", _budget_col(F.col("n"))).withColumn("e", F.least(F.col("d"), most - (most - gap) % 2)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("seg"))
     start = F.floor(F.col("seg") * F.col("n") / (F.col("d") + 1)).cast("int")
     width = (F.floor((F.col("seg") + 1) * F.col("n") / (F.col("d") + 1)) - F.floor(
         F.col("seg") * F.col("n") / (F.col("d") + 1))).cast("int")
-    gap = F.col("m") - F.col("n")
-    lo = F.greatest(-F.col("seg"), gap - (F.col("d") - F.col("seg")), -start)
-    hi = F.least(F.col("seg"), gap + (F.col("d") - F.col("seg")), F.col("m") - width - start)
+    lo = F.greatest(-F.col("seg"), gap - (F.col("e") - F.col("seg")), -start)
+    lo = lo + F.pmod(lo - F.col("seg"), F.lit(2))
+    hi = F.least(F.col("seg"), gap + (F.col("e") - F.col("seg")), F.col("m") - width - start)
     probe = probe.withColumns({"start": start, "width": width, "lo": lo, "hi": hi}).filter("lo <= hi").select(
-        "list_id", "node", "title_key", "n", "seg", "start", "width", F.explode(F.sequence("lo", "hi")).alias("sh")).select(
+        "list_id", "node", "title_key", "n", "seg", "start", "width", F.explode(F.sequence("lo", "hi", F.lit(2))).alias("sh")).select(
         place("n", "seg", F.substr(F.col("title_key"), F.col("start") + F.col("sh") + 1, F.col("width"))), F.col("node").alias("node_b"))
     # rows made by explode look as small as the keys that they come from, so a broadcast is ruled out by name
     pairs = probe.join(short.hint("merge"), "place").filter("node_a <> node_b").select("node_a", "node_b").distinct()
@@ -215,9 +224,14 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
         return nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in nodes.columns])
 
     # places of two lists or lengths may share a hash
-    return pairs.join(side("a"), "node_a").join(side("b"), "node_b").filter(
-        (F.col("list_id_a") == F.col("list_id_b")) & ((F.col("m_a") < F.col("m_b")) | (
-            (F.col("m_a") == F.col("m_b")) & (F.col("title_key_a") < F.col("title_key_b"))))).withColumnRenamed(
+    looked_up = pairs.join(side("a"), "node_a").join(side("b"), "node_b").filter(F.col("list_id_a") == F.col("list_id_b"))
+    # dealt by lists, as here too one key makes many rows, whatever its bytes
+    few = nodes.join(lengths.filter(F.col("titles") <= SMALL_LIST).select("list_id"), "list_id").repartition(tasks, "list_id")
+    met_all = few.select(*[F.col(c).alias(f"{c}_a") for c in nodes.columns]).join(
+        few.select(*[F.col(c).alias(f"{c}_b") for c in nodes.columns]), F.col("list_id_a") == F.col("list_id_b")).filter(
+        F.col("m_a") >= lowest(F.col("m_b")))
+    return looked_up.unionByName(met_all).filter((F.col("m_a") < F.col("m_b")) | (
+        (F.col("m_a") == F.col("m_b")) & (F.col("title_key_a") < F.col("title_key_b")))).withColumnRenamed(
         "list_id_a", "list_id").drop("list_id_b", "node_a", "node_b", "m_a", "m_b")
 
 
