@@ -7,9 +7,12 @@ arithmetic.  One SQL text per view serves both engines: Spark reads it here, Duc
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from refledger.session import cut_lineage
+
 DRIVER_TABLES = ["benchmark", "conversations", "documents", "embeddings", "events", "labels", "pages"]
 
 VIEWS: dict[str, str] = {}
@@ -252,11 +255,21 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view (or driver table) as a DataFrame."""
+def written_refs(spark: SparkSession, sf_dir: str) -> str:
+    """Name of a temporary view with the rows of ``fx_refs``, written once: nearly every other view begins with them, and
+    each would read all texts for the titles again."""
+    name = f"written_{uuid.uuid4().hex}"
+    cut_lineage(view(spark, sf_dir, "fx_refs")).createOrReplaceTempView(name)
+    return name
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, written: str | None = None) -> DataFrame:
+    """A derived view (or driver table) as a DataFrame.  ``written``: where the rows of ``fx_refs`` are already."""
     if name not in VIEWS:
         return driver_table(spark, sf_dir, name)
     text = with_views(f"SELECT * FROM {name}")
+    if written is not None:
+        text = text.replace(f"fx_refs AS ({VIEWS['fx_refs'].strip()})", f"fx_refs AS (SELECT * FROM {written})")
     for table in dict.fromkeys(t for t in _NAME.findall(text) if t in DRIVER_TABLES):
         text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
     return spark.sql(text)

@@ -85,7 +85,8 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
     ``records``: source, r_ord, r_id, r_title, r_year, r_doi (ties go to the smallest r_ord, r_id).
     Returns q_id, source, r_id, r_title, r_year, r_doi, sim for scores of at least the source's floor.
 
-    * Copies collapse first on both sides, so a title repeated a billion times is matched once.
+    * Copies collapse first on both sides, so a title repeated a billion times is matched once (once a year
+      where years must agree).
     * An equal title key with a compatible year scores 1 and needs no search.
     * The others meet the records that contain their two longest words, keyed by the *pair* of
       words; one frequent word alone never forms a group, and there is no cap on candidates.  Pairs
@@ -102,23 +103,25 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
         return out
 
     every = F.array(*[F.lit(s.name) for s in sources])
+    gated = per_source("year_gate", True)
+    # where years need not agree, a title is one question and one record, whatever its years
+    q_year = F.when(gated, F.col("q_year")).otherwise(F.lit(ANY_YEAR)).alias("q_year")
     text = claims.select(
         "q_id", F.col("q_title"), F.coalesce("q_year", F.lit(NO_YEAR)).alias("q_year"),
         F.length(tx.strip(F.col("q_title"))).alias("q_len"),
         (F.col("q_sources") if "q_sources" in claims.columns else every).alias("q_sources")).filter(
             F.col("q_len") >= min(s.min_length for s in sources))
-    questions = text.select("q_id", "q_title", "q_year", F.explode("q_sources").alias("source"))
+    questions = text.select("q_id", "q_title", "q_year", F.explode("q_sources").alias("source")).withColumn("q_year", q_year)
     distinct_q = (
-        text.select("q_title", "q_year", "q_len", F.explode("q_sources").alias("source")).distinct()
+        text.select("q_title", "q_year", "q_len", F.explode("q_sources").alias("source")).withColumn("q_year", q_year).distinct()
         .filter(F.col("q_len") >= per_source("min_length", 0))
         .withColumn("q_words", search_words(F.col("q_title"))).filter(F.size("q_words") >= 2)
         .select("q_title", "q_year", two_longest(F.col("q_words")).alias("top"),
                 tx.title_key(F.col("q_title")).alias("q_key"), "source"))
     distinct_r = (
         records.filter(F.coalesce(F.trim("r_title"), F.lit("")) != "")
-        .groupBy("source", "r_title", "r_year").agg(F.min(F.struct("r_ord", "r_id", "r_doi")).alias("r"))
-        .select("source", "r_title", "r_year", "r.*", tx.title_key(F.col("r_title")).alias("r_key")))
-    gated = per_source("year_gate", True)
+        .groupBy("source", "r_title", F.when(gated, F.col("r_year")).alias("y")).agg(F.min(F.struct("r_ord", "r_id", "r_doi", "r_year")).alias("r"))
+        .select("source", "r_title", "r.*", tx.title_key(F.col("r_title")).alias("r_key")))
     year_ok = ~gated | tx.years_compatible(F.nullif(F.col("q_year"), F.lit(NO_YEAR)), F.col("r_year"))
     keys = ["source", "q_title", "q_year"]
     row = F.struct(*_ROW, "sim")

@@ -34,23 +34,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- inputs ----------------------------------------------------------------------------------------
 
-def refs(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "fx_records")
+def refs(spark: SparkSession, sf: str, written: str | None = None) -> DataFrame:
+    return view(spark, sf, "fx_records", written)
 
 
-def works(spark: SparkSession, sf: str) -> DataFrame:
+def works(spark: SparkSession, sf: str, written: str | None = None) -> DataFrame:
     names = F.transform(F.split(F.col("families"), r"\|"), lambda f: F.struct(
         f.alias("family"), F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("name")))
-    return view(spark, sf, "fx_csl").withColumn("authors", names).drop("families")
+    return view(spark, sf, "fx_csl", written).withColumn("authors", names).drop("families")
 
 
-def registries(spark: SparkSession, sf: str, with_pages: bool = True) -> Registries:
+def registries(spark: SparkSession, sf: str, with_pages: bool = True, written: str | None = None) -> Registries:
     return Registries(
-        works=works(spark, sf), pubmed=view(spark, sf, "fx_pubmed"), arxiv=view(spark, sf, "fx_arxiv"),
-        openalex=view(spark, sf, "fx_openalex"), s2_papers=view(spark, sf, "fx_s2"),
-        retractions=match.build_retraction_index(view(spark, sf, "fx_notices")),
-        oa_status=view(spark, sf, "fx_oa"), probes=view(spark, sf, "fx_url_probes"),
-        archives=view(spark, sf, "fx_archives"),
+        works=works(spark, sf, written), pubmed=view(spark, sf, "fx_pubmed", written), arxiv=view(spark, sf, "fx_arxiv", written),
+        openalex=view(spark, sf, "fx_openalex", written), s2_papers=view(spark, sf, "fx_s2", written),
+        retractions=match.build_retraction_index(view(spark, sf, "fx_notices", written)),
+        oa_status=view(spark, sf, "fx_oa", written), probes=view(spark, sf, "fx_url_probes", written),
+        archives=view(spark, sf, "fx_archives", written),
         pages=view(spark, sf, "pages") if with_pages else None,
         probe_order=("probe_id",), archive_order="snapshot_id")
 

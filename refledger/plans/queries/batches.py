@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
-from refledger.fixtures import view
+from refledger.fixtures import view, written_refs
 from refledger.functions.similarity import TOKEN
 from refledger.operators import normalise
 from refledger.plans.batch import Batch, verify_batch
@@ -19,11 +19,12 @@ POLICY = "deny-domain=github.com|blog.example.org"
 
 
 def _batch(spark, sf) -> Batch:
-    b = view(spark, sf, "fx_batch")
+    written = written_refs(spark, sf)
+    b = view(spark, sf, "fx_batch", written)
     semantic = F.when(F.col("support").isNotNull(), F.struct(
         F.concat(F.lit("claim "), F.col("ref_id").cast("string")).alias("claim"), "support",
         F.lit("").alias("quote"), F.lit(None).cast("string").alias("note")))
-    reg = replace(registries(spark, sf, with_pages=False), citations=view(spark, sf, "fx_cites"))
+    reg = replace(registries(spark, sf, with_pages=False, written=written), citations=view(spark, sf, "fx_cites", written))
     screen = view(spark, sf, "fx_votes").select(
         "ref_id", F.when(F.col("judge") == "SUPPORTS", "SUPPORTS").otherwise("REFUTES").alias("label"), "prob")
     return verify_batch(b.withColumn("semantic", semantic).drop("support"), reg, view(spark, sf, "fx_votes").filter("ref_id % 2 = 0"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refledger import fixed_values as fv
-from refledger.fixtures import view
+from refledger.fixtures import view, written_refs
 from refledger.functions.similarity import TOKEN
 from refledger.operators import discover as dc
 from refledger.operators import fuzzy, match, normalise, profile, score
@@ -528,14 +528,16 @@ verdicts AS (SELECT * FROM va UNION ALL SELECT * FROM vb)
 
 @query("v1_verify", VERIFY_SQL + "SELECT list_id, ref_id, rule, verdict, needs_human FROM verdicts")
 def v1(spark, sf):
-    reg = registries(spark, sf, with_pages=False)
-    return verify(refs(spark, sf), reg, model=TOKEN).select("list_id", "ref_id", "rule", "verdict", "needs_human")
+    written = written_refs(spark, sf)
+    reg = registries(spark, sf, with_pages=False, written=written)
+    return verify(refs(spark, sf, written), reg, model=TOKEN).select("list_id", "ref_id", "rule", "verdict", "needs_human")
 
 
 @query("v1_verify_sequence")
 def v1_sequence(spark, sf):
     """The default model with every registry, including landing pages."""
-    return verify(refs(spark, sf), registries(spark, sf)).select(
+    written = written_refs(spark, sf)
+    return verify(refs(spark, sf, written), registries(spark, sf, written=written)).select(
         "list_id", "ref_id", "rule", "verdict", "needs_human", "landing_confirmed", "archive_url", "is_oa", "pmid_filled", "doi_filled")
 
 
@@ -547,4 +549,5 @@ def v1_offline(spark, sf):
 
 @query("v1_notes")
 def v1_notes(spark, sf):
-    return with_notes(verify(refs(spark, sf), registries(spark, sf))).select("list_id", "ref_id", "note")
+    written = written_refs(spark, sf)
+    return with_notes(verify(refs(spark, sf, written), registries(spark, sf, written=written))).select("list_id", "ref_id", "note")
