@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refledger.functions.shipping import ship_by_value
-from refledger.llm.common import arrow_map, hash_share, no_null_text, only, range_hashes, split_words
+from refledger.llm.common import arrow_map, hash_share, no_null_text, only, pieces, range_hashes, split_words
 from refledger.session import cut_lineage
 
 ship_by_value(__name__)
 
 SAMPLE, ANNOTATED = 16000, 12000
+#: Bytes of text that are turned into arrays at once: these take some fifty times as much.
+AT_ONCE = 500_000
 BITS = 22
 #: Lengths of word beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
@@ -71,6 +73,25 @@ class Texts:
 
 
 def read(column: pa.Array) -> Texts:
+    """A batch, read in parts of ``AT_ONCE`` bytes; what comes out is the same as in one part."""
+    parts, before = [], None
+    for part in pieces(pa.RecordBatch.from_arrays([column], names=["text"]), 4096, AT_ONCE):
+        t, before = read_part(part["text"], before)
+        parts.append(t)
+    if len(parts) < 2:
+        return parts[0] if parts else read_part(column, None)[0]
+    word_hash, first, same = np.unique(np.concatenate([t.word_hash for t in parts]), return_index=True, return_inverse=True)
+    rows = np.cumsum([0, *[len(t.n_words) for t in parts]])
+    words = np.cumsum([0, *[len(t.word_hash) for t in parts]])
+    # words are in the order of their hashes in each part as in all, so the pairs stay in order
+    return Texts(np.concatenate([t.n_words for t in parts]), np.concatenate([t.measures for t in parts]), word_hash,
+                 np.concatenate([t.stems for t in parts])[first],
+                 np.concatenate([t.pair_row + lo for t, lo in zip(parts, rows)]),
+                 np.concatenate([same[lo + t.pair_word] for t, lo in zip(parts, words)]))
+
+
+def read_part(column: pa.Array, before: np.uint64 | None) -> tuple[Texts, np.uint64 | None]:
+    """``before``: hash of the last word of the parts before; comes back as that of this one."""
     text = no_null_text(column)
     rows = len(text)
     data, bounds, counts = split_words(text)
@@ -100,8 +121,15 @@ def read(column: pa.Array) -> Texts:
     pairs = np.unique(row_of * max(1, len(word_hash)) + same)
     pair_row, pair_word = pairs // max(1, len(word_hash)), pairs % max(1, len(word_hash))
     # distinct (row, word, next word); a batch is small enough for the product to fit 63 bits
-    square = len(word_hash) ** 2
-    follow = np.unique(row_of[1:] * square + same[:-1] * len(word_hash) + same[1:])
+    base = len(word_hash) + 1
+    square = base ** 2
+    ahead = same[:-1]
+    if before is not None and len(same):
+        at = np.searchsorted(word_hash, before)
+        known = at < len(word_hash) and word_hash[at] == before
+        ahead = np.concatenate([[at if known else len(word_hash)], ahead])
+    n_pairs = len(ahead)
+    follow = np.unique(row_of[len(same) - n_pairs:] * square + ahead * base + same[len(same) - n_pairs:])
     inside = np.bincount(follow // max(1, square), minlength=rows)
     distinct = np.bincount(pair_row, minlength=rows)
     enough = counts >= 30
@@ -112,7 +140,7 @@ def read(column: pa.Array) -> Texts:
     spans = trimmed[first]
     stems = np.stack([range_hashes(data, np.stack([spans[:, 0], np.minimum(spans[:, 0] + s, spans[:, 1])], 1))
                       ^ np.uint64(s) for s in STEMS], 1) if len(first) else np.zeros((0, len(STEMS)), np.uint64)
-    return Texts(counts, measures, word_hash, stems, pair_row, pair_word)
+    return Texts(counts, measures, word_hash, stems, pair_row, pair_word), hashes[-1] if len(hashes) else before
 
 
 def trim(bounds: np.ndarray, solid: np.ndarray) -> np.ndarray:
