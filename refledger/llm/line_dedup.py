@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refledger.functions.shipping import ship_by_value
-from refledger.llm.common import BASE, BASE_INVERSE, arrow_map, mixed, no_null_text, only, powers, range_hashes, split_words
+from refledger.llm.common import (
+    BASE, BASE_INVERSE, arrow_map, mixed, no_null_text, only, powers, range_hashes, sifted, sifted_out, split_words)
 from refledger.session import cut_lineage
 
 ship_by_value(__name__)
@@ -128,16 +129,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     exploded = distinct.filter(F.col("n") >= NEAR).select("line", F.explode("keys").alias("key"))
     shared = cut_lineage(exploded.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("key").alias("__k")))
     hopeful = exploded.join(shared, F.col("key") == F.col("__k"), "left_semi").select(F.col("line").alias("__l")).distinct()
-    chosen = distinct.join(hopeful, F.col("line") == F.col("__l"), "left_semi")
-    wanted = chosen.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.text_hash").alias("__t")).agg(
-        F.collect_list(F.struct("line", "at.no", "n")).alias("__lines"))  # at most the lines of one text
-    texts = only(docs, "doc_id", "text").join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")))
+    chosen = cut_lineage(distinct.join(hopeful, F.col("line") == F.col("__l"), "left_semi").select("line", "n", "at"))
+    # each line is read at its first place only, so these lines are shuffled, not the texts
     split = F.split("text", "\n", -1)
-    picked = texts.select("__d", "__t", "__lines", split.alias("__all")).select("__d", "__t", F.explode(F.transform(
-        "__lines", lambda x: F.struct(x.line.alias("line"), x.no.alias("no"), x.n.alias("n"), F.get("__all", x.no).alias("words")))).alias("x"))
-    lines = cut_lineage(picked.select("x.line", "x.n", "x.words", F.struct(
-        F.col("__d").alias("doc_id"), F.col("__t").alias("text_hash"), F.col("x.no").alias("no")).alias("at")).dropDuplicates(["line"]))
+    places = only(docs, "doc_id", "text").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split).alias("no", "words")).select(
+        F.struct("doc_id", "text_hash", F.col("no").cast("long").alias("no")).alias("__place"), "words")
+    picked = sifted(places, F.col("__place"), chosen, F.col("at")).join(chosen, F.col("__place") == F.col("at"))
+    lines = cut_lineage(picked.select("line", "n", "words", "at").dropDuplicates(["line"]))
 
     place = lines.select(F.col("line").alias("__l"), "at")
     every = cut_lineage(variants(lines))
@@ -184,9 +183,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     known = cut_lineage(distinct.join(near, F.col("line") == F.col("__x"), "left").select(
         F.col("line").alias("__l"), F.col("at").alias("__first"), F.col("__x").isNotNull().alias("__near")))
     gone = found.join(known, F.col("line") == F.col("__l")).filter(F.col("__near") | (F.col("__first") < at))
-    per_text = gone.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(
-        F.collect_set("no").alias("__gone"))  # at most the lines of one text
-    rows = docs.join(per_text, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left")
+    per_text = cut_lineage(gone.groupBy(F.struct("doc_id", "text_hash").alias("__d")).agg(
+        F.collect_set("no").alias("__gone")))  # at most the lines of one text
+    # only texts that lose lines are shuffled; a key of a null id equals its like
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    keyed = docs.withColumn("__key", key)
+    rows = sifted(keyed, F.col("__key"), per_text, F.col("__d")).join(per_text, F.col("__key") == F.col("__d"), "left").drop(
+        "__key", "__d").unionByName(sifted_out(keyed, F.col("__key"), per_text, F.col("__d")).drop("__key").withColumn(
+            "__gone", F.lit(None).cast("array<bigint>")))
     lines = F.split("text", "\n", -1)
     rows = rows.withColumn("__all", F.when(F.length("text") > 0, lines).otherwise(F.array().cast("array<string>")))
     kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
