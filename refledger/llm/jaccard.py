@@ -165,19 +165,24 @@ def may_link(size: Column, pos: Column, other: Column, other_pos: Column) -> Col
     return sizes & (1 + F.least(size - pos, other - other_pos) - 1 >= least_overlap(size, other))
 
 
-def postings(groups: DataFrame) -> DataFrame:
+def postings(made: DataFrame) -> DataFrame:
     """(token, grp, size, pos, rep, rep_size, rep_pos) of tokens that more than one group has.
 
-    The representative of a token is the group in which it stands earliest.
+    The representative of a token is the group in which it stands earliest.  ``made`` may hold a group several times.
     """
-    each = groups.select("grp", "size", "n_rare", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "grp", "size", F.col("pos").cast("long").alias("pos"), (F.col("pos") >= F.col("n_rare")).alias("frequent"))
+    def spelled(groups: DataFrame) -> DataFrame:
+        return groups.select("grp", "size", "n_rare", F.posexplode("prefix").alias("pos", "token")).select(
+            "token", "grp", "size", F.col("pos").cast("long").alias("pos"), (F.col("pos") >= F.col("n_rare")).alias("frequent"))
+
+    each = spelled(made.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "n_rare")]))
     first = F.struct("pos", "size", "grp")
     w = Window.partitionBy("token")  # at most FREQUENT rows share a token here
     rare = each.filter("NOT frequent").withColumn("__n", F.count("*").over(w)).filter("__n > 1").withColumn(
         "rep", F.min(first).over(w)).drop("__n", "frequent")
     often = each.filter("frequent").drop("frequent")
-    heads = often.groupBy("token").agg(F.min(first).alias("rep"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    # copies of a group don't change who is first, so the prefixes need not be shuffled to find that
+    heads = spelled(made).filter("frequent").groupBy("token").agg(
+        F.min(first).alias("rep"), F.min("grp").alias("__lo"), F.max("grp").alias("__hi")).filter("__lo <> __hi").select("token", "rep")
     spread = often.join(cut_lineage(heads).withColumnRenamed("token", "__t"), F.col("token") == F.col("__t")).drop("__t")
     return cut_lineage(rare.unionByName(spread).select(
         "token", "grp", "size", "pos", F.col("rep.grp").alias("rep"), F.col("rep.size").alias("rep_size"),
@@ -214,11 +219,10 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     made = prefixed(docs, n, frequency_sketch(docs, n))
     rows = cut_lineage(made.select("doc_id", "size", "node", "grp"))
     real = rows.filter("size > 0")
-    groups = made.filter("size > 0").groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "n_rare")])
     nodes = cut_lineage(real.groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"),
                                                  F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
     heads = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("members"))
-    posts = postings(groups)
+    posts = postings(made.filter("size > 0"))
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of groups (g, h) to pairs of a group's first node and every member of the other."""
@@ -298,9 +302,13 @@ def texts_of_nodes(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int)
 
 def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """One row of each group of near duplicates (the one with the smallest id; of repeated rows, one), all columns."""
-    kept = near_duplicates(docs, n).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    ids = near_duplicates(docs, n).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__d")).distinct()
+    # one key for the lookup and the numbering, so the texts are shuffled once; a pair of a null id equals its like
+    pair = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    kept = only(docs, "doc_id", "text").select("doc_id", pair.alias("__p")).join(
+        ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi").select("__p").distinct()
     kinds = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    w = Window.partitionBy("doc_id", F.xxhash64("text"))
-    return single.withColumn("__n", F.row_number().over(w.orderBy(F.lit(0)))).filter("__n = 1").select(*kinds)
+    single = docs.withColumn("__k", pair).join(kept, F.col("__k") == F.col("__p"), "left_semi")
+    w = Window.partitionBy("__k").orderBy(F.lit(0))
+    return single.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*kinds)
