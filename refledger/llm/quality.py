@@ -400,9 +400,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, annotated: i
     return Scorer(np.stack([h[0] for h in heads], 1), np.array([h[1] for h in heads]), table, t_table)
 
 
+def weights_at(places: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rows of ``weights`` at the wanted slots; ``places`` are their slots in order, others weigh nothing."""
+    if not len(places):
+        return np.zeros((*wanted.shape, weights.shape[1]), weights.dtype)
+    at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+    return np.where((places[at] == wanted)[..., None], weights[at], weights.dtype.type(0))
+
+
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """``docs`` as struct ``row`` beside p_low, p_toxic and ``accepted`` (neither above one half)."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # hashed weights, of fixed size
+    # few slots have weights, and only those are sent
+    places = np.flatnonzero(scorer.weights.any(1)) if scorer else None
+    sent = docs.sparkSession.sparkContext.broadcast(scorer and (places, scorer.weights[places], scorer.bias))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = sent.value
@@ -410,9 +420,10 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
         t = read(pa.compute.struct_field(batch["row"], "text"))
         z = np.zeros((rows, 2))
         if known is not None and rows:
+            places, weights, bias = known
             # each distinct word brings its slots once
-            of_word = known.weights[slots(t)].sum(1)
-            z = known.weights[bin_slots(t)].sum(1) + known.bias
+            of_word = weights_at(places, weights, slots(t)).sum(1)
+            z = weights_at(places, weights, bin_slots(t)).sum(1) + bias
             for head in (0, 1):
                 z[:, head] += np.bincount(t.pair_row, of_word[t.pair_word, head], rows)
         p = np.where((t.n_words > 0)[:, None], 1 / (1 + np.exp(-np.clip(z, -500, 500))), [[1.0, 0.0]])
