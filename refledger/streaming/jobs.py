@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,14 +57,61 @@ def with_cache_key(refs: DataFrame, profile: str = "general") -> DataFrame:
     return refs.withColumn("cache_key", ids.cache_key(have, fv.RULES_VERSION, profile))
 
 
+#: Rows of one key that are sorted in memory, and rows of a run that are read back at once.
+RUN, BACK = 200_000, 10_000
+
+
+def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of all frames by ts_hours and ref_id, some at a time; runs of a long key wait on disk."""
+    by = ["ts_hours", "ref_id"]
+
+    def rows(frame: pd.DataFrame) -> list[tuple]:
+        return [*frame.itertuples(index=False)]
+
+    def run(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held, ignore_index=True).sort_values(by)
+
+    def read_back(file) -> Iterator[tuple]:
+        file.seek(0)
+        while (frame := pickle.load(file)) is not None:
+            yield from rows(frame)
+
+    def place(r: tuple) -> tuple:  # missing values behind the others, as in a run
+        return tuple(x for v in (r.ts_hours, r.ref_id) for x in (v != v, 0 if v != v else v))
+
+    files, held, size = [], [], 0
+    try:
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= RUN:
+                files.append(tempfile.TemporaryFile())
+                whole = run(held)
+                for lo in range(0, len(whole), BACK):
+                    pickle.dump(whole[lo:lo + BACK], files[-1], pickle.HIGHEST_PROTOCOL)
+                pickle.dump(None, files[-1])
+                held, size = [], 0
+        last = run(held) if held else pd.DataFrame()
+        parts = (last[lo:lo + BACK] for lo in range(0, len(last), BACK))
+        if not files:
+            yield from map(rows, parts)
+            return
+        merged = heapq.merge(*map(read_back, files), (r for part in parts for r in rows(part)), key=place)
+        while some := [*itertools.islice(merged, BACK)]:
+            yield some
+    finally:
+        for file in files:
+            file.close()
+
+
 class VerdictCache(StatefulProcessor):
     """Last cacheable verdict per key.
 
-    Input rows: cache_key, ref_id, ts (event time), ts_hours (the same clock in hours), verdict (null
-    asks the cache) and bypass_read.  Output: cache_key, ref_id, verdict, cached, age_hours.  The age
+    Input rows: cache_key, ref_id, ts (event time in microseconds), ts_hours (the same clock in hours), verdict
+    (null asks the cache) and bypass_read.  Output: cache_key, ref_id, verdict, cached, age_hours.  The age
     is taken from the row clock, so replays give the same answer; an event-time timer clears an entry
-    once the watermark has passed its TTL.  The rows of a key pass through as a stream of Arrow
-    batches, so a hot key needs no more memory than one batch."""
+    once the watermark has passed its TTL.  The rows of a key come as Arrow batches in any order; they are
+    sorted by time in runs, so a hot key needs no more memory than a run and a batch of every run on disk."""
 
     def __init__(self, ttl_hours: float = fv.CACHE_TTL_HOURS):
         self.ttl_hours = ttl_hours
@@ -70,12 +121,13 @@ class VerdictCache(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "verdict string, ts_hours double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    # Spark names the arguments of an expired timer
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.entry.get() if self.entry.exists() else None
         before = stored
-        for frame in rows:
+        for some in in_order(rows):
             out = []
-            for r in frame.sort_values(["ts_hours", "ref_id"]).itertuples(index=False):
+            for r in some:
                 age = r.ts_hours - stored[1] if stored is not None else None
                 if r.verdict is not None:
                     out.append((key[0], r.ref_id, r.verdict, False, None))
@@ -93,9 +145,9 @@ class VerdictCache(StatefulProcessor):
     def _expiry(self, ts_hours: float) -> int:
         return int((ts_hours + self.ttl_hours) * 3_600_000) + 1
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # an older entry's timer leaves a newer entry alone
-        if self.entry.exists() and self._expiry(self.entry.get()[1]) <= expired_timer_info.getExpiryTimeInMs():
+        if self.entry.exists() and self._expiry(self.entry.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.entry.clear()
         return iter([])
 
@@ -108,9 +160,12 @@ CACHE_OUT = "cache_key string, ref_id bigint, verdict string, cached boolean, ag
 
 def verdict_cache(rows: DataFrame, ttl_hours: float = fv.CACHE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
     """Keyed cache over a stream of lookups and fresh verdicts (cache_key, ref_id, ts, verdict, bypass_read)."""
-    clock = F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000.0
-    keyed = rows.withWatermark("ts", delay).select(
-        "cache_key", "ref_id", "ts", clock.alias("ts_hours"), "verdict", "bypass_read")
+    ts = F.col("ts").cast("timestamp")
+    timed = rows.withWatermark("ts", delay)
+    # pandas holds no time after the year 2262, so the event time goes on as a number, still marked as what the watermark compares
+    event = F.unix_micros(ts).alias("ts", metadata=timed.schema["ts"].metadata)
+    keyed = timed.select(
+        "cache_key", "ref_id", event, (F.unix_millis(ts) / 3_600_000.0).alias("ts_hours"), "verdict", "bypass_read")
     return keyed.groupBy("cache_key").transformWithStateInPandas(
         statefulProcessor=VerdictCache(ttl_hours), outputStructType=CACHE_OUT, outputMode="Append", timeMode="EventTime")
 
