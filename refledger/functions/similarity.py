@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refledger.functions.shipping import ship_by_value
-from refledger.functions.text import jaccard, title_key, token_set, token_sim
+from refledger.functions.text import title_key, token_or_prefix_sim, token_sim
 
 ship_by_value(__name__)
 
@@ -77,23 +77,33 @@ def key_ratio(a: Column, b: Column) -> Column:
 def title_sim(a: Column, b: Column) -> Column:
     """Larger of the sequence ratio on title keys and the token Jaccard; null when either is null."""
     both = a.isNotNull() & b.isNotNull()
-    return F.when(both, F.greatest(key_ratio(a, b), jaccard(token_set(a), token_set(b))))
+    return F.when(both, F.greatest(key_ratio(a, b), token_sim(a, b)))
 
 
 def token_only(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), token_sim(a, b))
 
 
+def ratio_or_prefix(a: Column, b: Column) -> Column:
+    """``lower_ratio`` of the first text with the second, or with as long a beginning of it, whichever is larger."""
+    head = F.when(F.length(b) >= F.length(a), F.substr(b, F.lit(1), F.length(a)))
+    return F.greatest(lower_ratio(a, b), lower_ratio(a, head))
+
+
+def token_or_prefix(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), token_or_prefix_sim(a, b))
+
+
 class SimilarityModel:
-    """The measures the matchers use: on plain titles, on title keys, and the two-channel one.
+    """The measures the matchers use: on plain titles, on title keys, the two-channel one, and on titles or their beginnings.
 
     ``sequence`` is the default; ``token`` replaces the sequence ratio by the token Jaccard, which
     stays inside the JVM and has an SQL equivalent.
     """
 
-    def __init__(self, name: str, plain: Similarity, key: Similarity, title: Similarity):
-        self.name, self.plain, self.key, self.title = name, plain, key, title
+    def __init__(self, name: str, plain: Similarity, key: Similarity, title: Similarity, prefix: Similarity):
+        self.name, self.plain, self.key, self.title, self.prefix = name, plain, key, title, prefix
 
 
-SEQUENCE = SimilarityModel("sequence", lower_ratio, key_ratio, title_sim)
-TOKEN = SimilarityModel("token", token_only, token_only, token_only)
+SEQUENCE = SimilarityModel("sequence", lower_ratio, key_ratio, title_sim, ratio_or_prefix)
+TOKEN = SimilarityModel("token", token_only, token_only, token_only, token_or_prefix)

@@ -150,11 +150,15 @@ def title_search(claims: DataFrame, records: DataFrame, sources: list[TitleSourc
         by_title = model.title(F.when(~use_prefix, F.col("q_title")), F.when(~use_prefix, F.col("r_title")))
     if len(plain_sources) < len(sources):
         hyphens = r"[\-‐-―]+"
-        t = F.when(use_prefix, F.regexp_replace("q_title", hyphens, " "))
-        r = F.when(use_prefix, F.regexp_replace("r_title", hyphens, " "))
-        head = F.when(F.length(r) >= F.length(t), F.substr(r, F.lit(1), F.length(t)))
-        by_prefix = F.greatest(model.plain(t, r), model.plain(t, head))
-    scored = pairs.withColumn("sim", F.coalesce(by_title, by_prefix)).filter(F.col("sim") >= floor)
+        pairs = pairs.withColumns({
+            "q_plain": F.when(use_prefix, F.regexp_replace("q_title", hyphens, " ")),
+            "r_plain": F.when(use_prefix, F.regexp_replace("r_title", hyphens, " "))})
+        by_prefix = model.prefix(F.col("q_plain"), F.col("r_plain"))
+    sim = F.coalesce(by_title, by_prefix)
+    if model.name == "sequence":
+        scored = pairs.withColumn("sim", sim).filter(F.col("sim") >= floor)
+    else:  # a filter would compute a native score twice
+        scored = pairs.select("*", F.explode(F.filter(F.array(sim), lambda s: s >= floor)).alias("sim"))
     near = scored.groupBy(*keys).agg(F.min_by(row, F.struct(-F.col("sim"), "r_ord", "r_id")).alias("m"))
     found = near if exact is None else exact.unionByName(near)
     return questions.join(found, keys).select(

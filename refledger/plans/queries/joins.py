@@ -14,6 +14,7 @@ from refledger.plans.queries.base import (
     NORMAL_SQL, in_sql, jaccard_sql, q, query, refs, registries, results, title_key_sql, tokens_sql,
     url_key_sql, works)
 from refledger.plans.verify import verify, with_notes
+from refledger.session import cut_lineage
 from refledger.sources import readers
 
 
@@ -294,7 +295,10 @@ def j8(spark, sf):
     18, 0.82, prefix=True, gate=False) + """
 SELECT q_id AS ref_id, true AS s2_title_matched, round(sim, 6) AS s2_title_sim FROM st""")
 def j8_title(spark, sf):
-    df = fuzzy.confirm_by_title(_norm(spark, sf), view(spark, sf, "fx_s2"), TOKEN)
+    """Claims and papers are both read off the references, and the claims are asked for twice, so both are written once."""
+    written = written_refs(spark, sf)
+    claims = cut_lineage(normalise.normalise_refs(refs(spark, sf, written)).select("ref_id", "clean_title", "year"))
+    df = fuzzy.confirm_by_title(claims, view(spark, sf, "fx_s2", written), TOKEN)
     return df.withColumn("s2_title_sim", F.round("s2_title_sim", 6))
 
 
