@@ -161,6 +161,23 @@ def _budget_col(n: Column) -> Column:
     return F.floor((n + longest) * (1 - fv.SIM_CLONE) + 1e-9).cast("int")
 
 
+#: Neighbours on this wheel of eight differ in one bit.
+WHEEL = (0, 1, 3, 7, 15, 14, 12, 8)
+
+
+def _signature(key: Column) -> Column:
+    """Two numbers (lo, hi) that differ in as many bits as there are insertions and deletions between two keys, or fewer: the
+    characters are of 32 kinds, and the count of a kind is a place on ``WHEEL``."""
+    wheel = F.array(*[F.lit(x).cast("bigint") for x in WHEEL])
+
+    def half(kinds: Column, first: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(first), F.lit(first + 15)), F.lit(0).cast("bigint"), lambda bits, k: F.shiftleft(bits, 4).bitwiseOR(
+            F.get(wheel, (F.size(kinds) - F.size(F.array_remove(kinds, k))) % len(WHEEL))))
+
+    return tx.once(F.transform(F.split(key, ""), lambda c: F.ascii(c).bitwiseAND(F.lit(31))),
+                   lambda kinds: F.struct(half(kinds, 0).alias("lo"), half(kinds, 16).alias("hi")))
+
+
 #: Lists of so many titles are compared pair by pair: one title meets fewer others than it has substrings to look up.
 SMALL_LIST = 256
 
@@ -175,7 +192,8 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     before it (one of the first e + 1) survives whole in the longer one: segment i after exactly i edits, so shifted by
     -i, -i + 2, ... or i, and by no more than the e - i edits behind it allow.  The longer key therefore looks up its own
     substrings at these positions; no pair is formed without a shared segment.  Only lengths that another key
-    of the list has are looked up, and only hashes and numbers of nodes travel; texts are fetched for the pairs.
+    of the list has are looked up, and only hashes, numbers of nodes and signatures travel: pairs whose signatures differ
+    in more bits than edits are left leave where they meet; texts are fetched for the others.
     A list of at most ``SMALL_LIST`` titles needs no lookups: its titles meet by list and are told apart by length.
     """
     spark = nodes.sparkSession
@@ -195,18 +213,20 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     # filter by ``met`` would else move into the join, whose generated code can't take functions over arrays of one side
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     open_nodes = cut_lineage(nodes.join(lengths.filter(F.col("titles") > SMALL_LIST), "list_id").select(
-        "list_id", "node", "title_key", "m", shorter.alias("shorter"), met.alias("met")).repartition(tasks, "node"))
+        "list_id", "node", "title_key", "m", shorter.alias("shorter"), met.alias("met")).repartition(tasks, "node").withColumn(
+        "sign", _signature(F.col("title_key"))))
 
     def place(n, seg, piece):
         return F.xxhash64("list_id", n, seg, piece).alias("place")
 
-    short = open_nodes.filter("met").select("list_id", "node", "m", F.explode(_segments(F.col("title_key"))).alias("s")).select(
-        place("m", "s.seg", "s.piece"), F.col("node").alias("node_a"))
-    probe = open_nodes.select("list_id", "node", "title_key", "m", F.explode("shorter").alias("n"))
+    short = open_nodes.filter("met").select("list_id", "node", "m", "sign.*", F.explode(_segments(F.col("title_key"))).alias("s")).select(
+        place("m", "s.seg", "s.piece"), F.col("node").alias("node_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    probe = open_nodes.select("list_id", "node", "title_key", "m", F.col("sign.lo").alias("lo_b"), F.col("sign.hi").alias("hi_b"),
+                              F.explode("shorter").alias("n"))
     # edits that keep the ratio at these two lengths: as many more than the gap as come in pairs (one deleted, one inserted)
     gap = F.col("m") - F.col("n")
     most = F.floor((F.col("n") + F.col("m")) * (1 - fv.SIM_CLONE) + 1e-9).cast("int")
-    probe = probe.withColumn("d", _budget_col(F.col("n"))).withColumn("e", F.least(F.col("d"), most - (most - gap) % 2)).select(
+    probe = probe.withColumns({"d": _budget_col(F.col("n")), "most": most}).withColumn("e", F.least(F.col("d"), most - (most - gap) % 2)).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("seg"))
     start = F.floor(F.col("seg") * F.col("n") / (F.col("d") + 1)).cast("int")
     width = (F.floor((F.col("seg") + 1) * F.col("n") / (F.col("d") + 1)) - F.floor(
@@ -215,10 +235,14 @@ def _near_candidates(nodes: DataFrame) -> DataFrame:
     lo = lo + F.pmod(lo - F.col("seg"), F.lit(2))
     hi = F.least(F.col("seg"), gap + (F.col("e") - F.col("seg")), F.col("m") - width - start)
     probe = probe.withColumns({"start": start, "width": width, "lo": lo, "hi": hi}).filter("lo <= hi").select(
-        "list_id", "node", "title_key", "n", "seg", "start", "width", F.explode(F.sequence("lo", "hi", F.lit(2))).alias("sh")).select(
-        place("n", "seg", F.substr(F.col("title_key"), F.col("start") + F.col("sh") + 1, F.col("width"))), F.col("node").alias("node_b"))
+        "list_id", "node", "title_key", "n", "seg", "start", "width", "most", "lo_b", "hi_b",
+        F.explode(F.sequence("lo", "hi", F.lit(2))).alias("sh")).select(
+        place("n", "seg", F.substr(F.col("title_key"), F.col("start") + F.col("sh") + 1, F.col("width"))), F.col("node").alias("node_b"),
+        "most", "lo_b", "hi_b")
     # rows made by explode look as small as the keys that they come from, so a broadcast is ruled out by name
-    pairs = probe.join(short.hint("merge"), "place").filter("node_a <> node_b").select("node_a", "node_b").distinct()
+    differ = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
+    pairs = probe.join(short.hint("merge"), "place").filter((F.col("node_a") != F.col("node_b")) & (differ <= F.col("most"))).select(
+        "node_a", "node_b").distinct()
 
     def side(s):
         return nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in nodes.columns])
@@ -254,7 +278,7 @@ def clone_pairs(refs: DataFrame, model: SimilarityModel = SEQUENCE) -> DataFrame
       so the output is as large as the findings are many.
     """
     key = tx.title_key(F.coalesce(named_title(refs), F.lit("")))
-    variants = (
+    variants = cut_lineage(  # read by every part below
         refs.select("list_id", "ref_id", key.alias("title_key"),
                     F.lower(F.coalesce(F.col("doi"), F.lit(""))).alias("doi"))
         .filter((F.length("title_key") >= 8) & (F.col("doi") != ""))
